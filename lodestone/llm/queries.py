@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import toxicity
+from lodestone.llm import toxicity, warc
+from lodestone.runtime import work_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,5 +17,28 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity}
-SQL: dict[str, str] = {}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), root)
+    return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op5_warc": op5_warc,
+}
+SQL = {
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), d AS (
+            SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+        ), m AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < top THEN top END AS refers_to
+        FROM m
+    """,
+}
