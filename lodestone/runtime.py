@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -75,6 +76,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
