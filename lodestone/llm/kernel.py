@@ -122,7 +122,7 @@ def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, U64(k) * U64(0xE7037ED1A0B428DB))
+    total = np.full(n, U64(k * 0xE7037ED1A0B428DB % 2**64))
     for t in range(k):
         total += values[t : t + n] * _SHINGLE[t]
     return mix(total)
