@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard, toxicity, warc
+from lodestone.llm import jaccard, substring, toxicity, warc
 from lodestone.runtime import work_path
 
 
@@ -27,12 +27,43 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicate(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_toxicity": op2_toxicity,
     "op5_warc": op5_warc,
+    "op7_suffix_array": op7_suffix_array,
 }
 SQL = {
+    "op7_suffix_array": """
+        WITH h AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+        ), w AS (
+            SELECT doc_id, i, x[2 * i + 1 : 2 * i + 100] AS g
+            FROM (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - 50)) AS i FROM h WHERE len(x) >= 100)
+        ), m AS (
+            SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM w
+        ), r AS (
+            SELECT doc_id, i, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+            FROM m WHERE least < doc_id
+        ), g AS (
+            SELECT doc_id, i, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+        ), s AS (
+            SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run
+        ), k AS (
+            SELECT doc_id, a AS cut, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from FROM s
+        ), j AS (
+            SELECT k.doc_id, string_agg(x[2 * kept_from + 1 : 2 * cut], '' ORDER BY cut) AS front, max(b) AS last, sum(b - cut) AS n, count(*) AS c
+            FROM k JOIN h ON h.doc_id = k.doc_id GROUP BY k.doc_id
+        )
+        SELECT h.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(CASE WHEN j.doc_id IS NULL THEN x ELSE concat(front, x[2 * last + 1 :]) END)) AS kept_sha256
+        FROM h LEFT JOIN j ON j.doc_id = h.doc_id
+    """,
     "op1_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
