@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard, substring, toxicity, warc
+from lodestone.llm import jaccard, lm, substring, toxicity, warc
 from lodestone.runtime import work_path
 
 
@@ -32,11 +32,16 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_toxicity": op2_toxicity,
     "op5_warc": op5_warc,
     "op7_suffix_array": op7_suffix_array,
+    "op10_katz": op10_katz,
 }
 SQL = {
     "op7_suffix_array": """
