@@ -13,9 +13,10 @@ sign blanks as well. No similar pair is lost.
 
 Signatures are dealt to buckets as packed arrays. Groups of a signature first
 give pairs with their smallest member (a star). Pairs are tested by size, then
-by a parity sketch that bounds the difference from below, then exactly. What
-groups have in several components after that is tested in blocks of members by
-size and sketch, and exactly if it may still be similar. Equal sets are one
+by a parity sketch that bounds the difference from below, then exactly. Groups
+that have several components after that are tested in blocks of members by size
+and sketch: first only the nearest members of each two components, then, with
+the components that gives, every pair that may still be similar. Equal sets are one
 class from the start, identified by a 64-bit hash of the set, and links inside
 a component that is already known are not looked for.
 
@@ -166,7 +167,7 @@ def _sign(words: int, similarity: int, buckets: int, hot: dict[int, int]):
             order = np.lexsort((row, bucket)) if buckets > 1 << 16 else np.argsort(bucket.astype(np.uint16), kind="stable")
             sig, row, bucket = sig[order].astype(np.uint32), row[order], bucket[order]
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-            end = np.append(cut[1:], len(bucket))
+            end = np.append(cut[1:], len(bucket))[: len(cut)]
             member = cid[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[cut].astype(np.int32)), pa.array([sig[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary()), pa.array([member[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())],
@@ -260,29 +261,42 @@ def _may_link(similarity: int):
     return run
 
 
-def _blocks(similarity: int):
-    """Pairs of a group's members in different components that pass by size and sketch, block by block."""
+def _blocks(similarity: int, nearest: bool):
+    """Pairs of a group's members in different components that pass by size and sketch;
+    nearest: only that with the fewest differing bits for each two components."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cid")
         cid, n, root, side = (table.column(c).to_numpy() for c in ("cid", "n", "root", "side"))
         sk = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
-        out = []
         words = min(map(len, sk))
         # members of one group differ little in size; all are folded to the shortest sketch
         m = np.stack([fold(x, words) for x in sk])
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
-        for i in left:
-            j = right[right > i] if side[i] == 2 else right
-            j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]))]
+        roots, size = np.unique(root, return_counts=True)
+        common = roots[np.argmax(size)]
+        main, here = root == common, np.arange(len(cid))
+        out = [np.zeros((0, 5), np.int64)]
+        # pairs inside the largest component aren't asked for: one side is always outside of it
+        for i in np.flatnonzero(~main):
+            j = np.flatnonzero((root != root[i]) & (main | (here > i)) & ((side != side[i]) | (side == 2)))
+            j = j[100 * np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i])]
+            if not len(j):
+                continue
+            d = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
+            ok = d <= (n[j] + n[i]) * (100 - similarity) // (100 + similarity)
+            j, d = j[ok], d[ok]
+            if nearest and len(j) > 1:
+                order = np.lexsort((d, root[j]))
+                j, d = j[order], d[order]
+                keep = np.concatenate(([True], root[j][1:] != root[j][:-1]))
+                j, d = j[keep], d[keep]
             if len(j):
-                d = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
-                j = j[d <= (n[j] + n[i]) * (100 - similarity) // (100 + similarity)]
-                if len(j):
-                    out.append(np.stack((np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])), 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                out.append(np.stack((np.minimum(root[j], root[i]), np.maximum(root[j], root[i]), d, np.minimum(cid[j], cid[i]), np.maximum(cid[j], cid[i])), 1))
+        found = np.concatenate(out)
+        if nearest and len(found) > 1:
+            found = found[np.lexsort(found.T[::-1])]
+            found = found[np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(1)))]
+        return pa.table({"a": pa.array(found[:, 3].copy()), "b": pa.array(found[:, 4].copy())})
 
     return run
 
@@ -339,6 +353,24 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, s
     return links
 
 
+def _between(found: DataFrame, roots: DataFrame, classes: DataFrame, similarity: int, nearest: bool) -> DataFrame:
+    """Distinct pairs of a signature's members in different components that may be similar."""
+    groups = found.where("kind = 1").select("bucket", "members", "sizes")
+    labels = groups.select("bucket", "members").mapInArrow(_members, "bucket int, cid long").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+    mixed = materialize(groups.groupBy("bucket").cogroup(labels.groupBy("bucket")).applyInArrow(_mixed, "gid long, cid long"), "mixed")
+    # a group of m members is cut into m / BLOCK chunks, and each pair of chunks is a task's work
+    chunks = mixed.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    side = classes.select("cid", "n", "sketch").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "sketch", F.coalesce("root", "cid").alias("root"))
+    dealt = (
+        mixed.join(chunks, "gid")
+        .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        .select("gid", "cid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+        .join(side, "cid")
+    )
+    return dealt.groupBy("gid", "x", "y").applyInArrow(_blocks(similarity, nearest), "a long, b long").distinct()
+
+
 def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
     spark = docs.sparkSession
@@ -356,24 +388,14 @@ def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, buck
     found = materialize(dealt.groupBy("bucket").applyInArrow(_group, _FOUND), "found")
     release(spark)
     links = _verify(found.where("kind = 0").select("a", "b").distinct(), docs, classes, words, similarity)
-    roots = materialize(components(links), "roots")
-
-    groups = found.where("kind = 1").select("bucket", "members", "sizes")
-    labels = groups.select("bucket", "members").mapInArrow(_members, "bucket int, cid long").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = materialize(groups.groupBy("bucket").cogroup(labels.groupBy("bucket")).applyInArrow(_mixed, "gid long, cid long"), "mixed")
-    # a group of m members is cut into m / BLOCK chunks, and each pair of chunks is a task's work
-    chunks = mixed.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    side = classes.select("cid", "n", "sketch").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "sketch", F.coalesce("root", "cid").alias("root"))
-    dealt = (
-        mixed.join(chunks, "gid")
-        .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("gid", "cid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        .join(side, "cid")
-    )
-    rest = dealt.groupBy("gid", "x", "y").applyInArrow(_blocks(similarity), "a long, b long").distinct()
-    more = _verify(rest, docs, classes, words, similarity, sketched=True)
-    roots = components(links.unionAll(more))
+    # stars join most of what belongs together; then the nearest members of different
+    # components of a group, and at last whatever pairs may still link two components
+    for nearest in (True, False):
+        roots = materialize(components(links), "roots")
+        rest = _between(found, roots, classes, similarity, nearest)
+        more = _verify(rest, docs, classes, words, similarity, sketched=True)
+        links = links.unionAll(more)
+    roots = components(links)
 
     component = (
         classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
@@ -383,8 +405,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, buck
     component = component.join(least, "root").select("cid", "component_id")
     # rows that repeat an id are one node: they share the smallest component
     out = every.select("doc_id", "n", "cid").join(component, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    for x in (found, mixed):
-        drop(x)
+    drop(found)
     release(spark)
     return out
 
