@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard, lm, substring, toxicity, warc
+from lodestone.llm import flac, jaccard, lm, substring, toxicity, warc
 from lodestone.runtime import work_path
 
 
@@ -27,6 +27,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.features(flac.encode_column(_read(spark, sf_dir, "documents")))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.deduplicate(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_toxicity": op2_toxicity,
     "op5_warc": op5_warc,
+    "op6_flac": op6_flac,
     "op7_suffix_array": op7_suffix_array,
     "op10_katz": op10_katz,
 }
