@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +79,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # Python's references go first, then what they held in the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def estimated_bytes(df: DataFrame) -> int:
