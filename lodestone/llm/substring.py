@@ -42,7 +42,7 @@ from lodestone.runtime import drop, materialize, release
 U64 = np.uint64
 WIDTH, GRAM = 50, 20
 #: Text handled at once, fragments of a hash bucket and of a suffix bucket.
-PIECE, BUCKET, SUFFIX_BUCKET = 1 << 20, 1_500_000, 16_000
+PIECE, BUCKET, SUFFIX_BUCKET = 1 << 20, 700_000, 16_000
 #: Grams with more different fragments than this are aggregated by window.
 HOT = 50_000
 BROADCAST_IDS = 400_000
@@ -282,8 +282,28 @@ def _look_into(width: int):
     def run(table: pa.Table) -> pa.Table:
         data, offs = K.texts(table.column("bytes").combine_chunks())
         doc, whole = table.column("doc_id").to_numpy(), table.column("whole").to_numpy()
+        # a window whose hash no other document has can't repeat; only fragments with others are sorted
         size = np.diff(offs) - width + 1
         at, owner = K.ranges(offs[:-1], size), np.repeat(np.arange(len(size)), size)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(K._BYTE[data] * K._power(K._BASE, len(data)), out=total[1:])
+        h = (total[at + width] - total[at]) * K._power(K._BASE_INVERSE, len(data) + 1)[at]
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], doc[owner[order]]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+        keep = np.sort(order[np.repeat(several, np.diff(np.append(first, len(h))))])
+        at, owner = at[keep], owner[keep]
+        del total, h, d, order
+        if not len(at):
+            return _FOUND_ARROW.empty_table()
+        rows = np.unique(owner)
+        length = np.diff(offs)[rows]
+        begin = np.concatenate(([0], np.cumsum(length)[:-1]))
+        data = data[K.ranges(offs[:-1][rows], length)]
+        new = np.searchsorted(rows, owner)
+        at = at - offs[:-1][owner] + begin[new]
+        doc, whole, offs, owner = doc[rows], whole[rows], np.append(begin, len(data)), new
         where = np.full(len(data), -1, np.int64)
         where[at] = owner
         hit_at = []
