@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import flac, jaccard, lm, substring, toxicity, warc
+from lodestone.llm import flac, jaccard, lm, sentencepiece, substring, tokencount, toxicity, warc
 from lodestone.runtime import work_path
 
 
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(_read(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_path(spark, "warc")
     warc.write(_read(spark, sf_dir, "pages"), root)
@@ -36,6 +40,11 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece.encode(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"))
 
@@ -43,9 +52,11 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_toxicity": op2_toxicity,
+    "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
     "op6_flac": op6_flac,
     "op7_suffix_array": op7_suffix_array,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_katz": op10_katz,
 }
 SQL = {
