@@ -43,8 +43,8 @@ U64 = np.uint64
 WORDS = 5
 #: The threshold, in hundredths: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
-#: Signatures that a bucket holds on average, and members of a block.
-BUCKET, BLOCK = 1_500_000, 2048
+#: Signatures that a bucket holds on average, buckets at least, members of a block, and of the groups of a task.
+BUCKET, BUCKETS, BLOCK, SHARE = 1_500_000, 64, 2048, 20_000
 #: Sets with at least 1 / HOT of all rows as copies sign once only.
 HOT = 10_000
 #: Needed ids up to this number are broadcast (8 bytes each), beyond it the texts are shuffled.
@@ -261,42 +261,49 @@ def _may_link(similarity: int):
     return run
 
 
+def _close(cid: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, sk: list[np.ndarray], similarity: int, nearest: bool) -> np.ndarray:
+    """Pairs of one group's members in different components that pass by size and
+    sketch, with their components and the number of differing bits."""
+    words = min(map(len, sk))
+    # members of one group differ little in size; all are folded to the shortest sketch
+    m = np.stack([fold(x, words) for x in sk])
+    roots, size = np.unique(root, return_counts=True)
+    main, here = root == roots[np.argmax(size)], np.arange(len(cid))
+    out = [np.zeros((0, 5), np.int64)]
+    # pairs inside the largest component aren't asked for: one side is always outside of it
+    for i in np.flatnonzero(~main):
+        j = np.flatnonzero((root != root[i]) & (main | (here > i)) & ((side != side[i]) | (side == 2)))
+        j = j[100 * np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i])]
+        if not len(j):
+            continue
+        d = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
+        ok = d <= (n[j] + n[i]) * (100 - similarity) // (100 + similarity)
+        j, d = j[ok], d[ok]
+        if nearest and len(j) > 1:
+            order = np.lexsort((d, root[j]))
+            j, d = j[order], d[order]
+            keep = np.concatenate(([True], root[j][1:] != root[j][:-1]))
+            j, d = j[keep], d[keep]
+        if len(j):
+            out.append(np.stack((np.minimum(root[j], root[i]), np.maximum(root[j], root[i]), d, np.minimum(cid[j], cid[i]), np.maximum(cid[j], cid[i])), 1))
+    return np.concatenate(out)
+
+
 def _blocks(similarity: int, nearest: bool):
-    """Pairs of a group's members in different components that pass by size and sketch;
-    nearest: only that with the fewest differing bits for each two components."""
+    """The close pairs of some groups, each once; nearest: of each two components the
+    one with the fewest differing bits."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cid")
-        cid, n, root, side = (table.column(c).to_numpy() for c in ("cid", "n", "root", "side"))
+        table = table.sort_by([("gid", "ascending"), ("cid", "ascending")])
+        gid, cid, n, root, side = (table.column(c).to_numpy() for c in ("gid", "cid", "n", "root", "side"))
         sk = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
-        words = min(map(len, sk))
-        # members of one group differ little in size; all are folded to the shortest sketch
-        m = np.stack([fold(x, words) for x in sk])
-        roots, size = np.unique(root, return_counts=True)
-        common = roots[np.argmax(size)]
-        main, here = root == common, np.arange(len(cid))
-        out = [np.zeros((0, 5), np.int64)]
-        # pairs inside the largest component aren't asked for: one side is always outside of it
-        for i in np.flatnonzero(~main):
-            j = np.flatnonzero((root != root[i]) & (main | (here > i)) & ((side != side[i]) | (side == 2)))
-            j = j[100 * np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i])]
-            if not len(j):
-                continue
-            d = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
-            ok = d <= (n[j] + n[i]) * (100 - similarity) // (100 + similarity)
-            j, d = j[ok], d[ok]
-            if nearest and len(j) > 1:
-                order = np.lexsort((d, root[j]))
-                j, d = j[order], d[order]
-                keep = np.concatenate(([True], root[j][1:] != root[j][:-1]))
-                j, d = j[keep], d[keep]
-            if len(j):
-                out.append(np.stack((np.minimum(root[j], root[i]), np.maximum(root[j], root[i]), d, np.minimum(cid[j], cid[i]), np.maximum(cid[j], cid[i])), 1))
-        found = np.concatenate(out)
+        cut = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
+        found = np.concatenate([_close(cid[a:b], n[a:b], root[a:b], side[a:b], sk[a:b], similarity, nearest) for a, b in zip(cut, [*cut[1:], len(gid)], strict=True)])
         if nearest and len(found) > 1:
             found = found[np.lexsort(found.T[::-1])]
             found = found[np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(1)))]
-        return pa.table({"a": pa.array(found[:, 3].copy()), "b": pa.array(found[:, 4].copy())})
+        found = np.unique(found[:, 3:], axis=0)
+        return pa.table({"a": pa.array(found[:, 0].copy()), "b": pa.array(found[:, 1].copy())})
 
     return run
 
@@ -361,14 +368,17 @@ def _between(found: DataFrame, roots: DataFrame, classes: DataFrame, similarity:
     # a group of m members is cut into m / BLOCK chunks, and each pair of chunks is a task's work
     chunks = mixed.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     side = classes.select("cid", "n", "sketch").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "sketch", F.coalesce("root", "cid").alias("root"))
+    # small groups share tasks, where pairs that several groups have are found once
+    tasks = -(-mixed.count() // SHARE)
     dealt = (
         mixed.join(chunks, "gid")
+        .withColumn("g", F.when(F.col("k") > 1, F.col("gid")).otherwise(F.pmod("gid", F.lit(max(tasks, 1)))))
         .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("gid", "cid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+        .select("g", "gid", "cid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
         .join(side, "cid")
     )
-    return dealt.groupBy("gid", "x", "y").applyInArrow(_blocks(similarity, nearest), "a long, b long").distinct()
+    return dealt.groupBy("g", "x", "y").applyInArrow(_blocks(similarity, nearest), "a long, b long").distinct()
 
 
 def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
@@ -380,7 +390,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, buck
         every.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
     total = every.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
-    buckets = max(16, -(-(total.n or 0) // bucket))
+    buckets = max(BUCKETS, -(-(total.n or 0) // bucket))
     floor = max(64, total.rows // HOT)
     hot = {r.cid: r.rep for r in classes.where(F.col("copies") >= floor).select("cid", "rep").collect()}  # HOT rows at most
 
