@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import flac, jaccard, lm, sentencepiece, substring, tokencount, toxicity, warc
+from lodestone.llm import decontaminate, flac, jaccard, lm, sentencepiece, substring, tokencount, toxicity, warc
 from lodestone.runtime import work_path
 
 
@@ -45,10 +45,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("overlap", "question_overlap", "answer_overlap")))
+
+
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"))
 
 
+#: A-Z in lower case, then words.
+_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -57,6 +65,7 @@ QUERIES = {
     "op6_flac": op6_flac,
     "op7_suffix_array": op7_suffix_array,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_decontamination": op9_decontamination,
     "op10_katz": op10_katz,
 }
 SQL = {
@@ -120,4 +129,38 @@ SQL = {
             CASE WHEN page_id < top THEN top END AS refers_to
         FROM m
     """,
+    "op9_decontamination": f"""
+        WITH i AS (
+            SELECT item_id, {_WORDS.format("text")} AS w,
+                {_WORDS.format("CASE WHEN contains(text, '. ') THEN regexp_extract(text, '(?s)^(.*[.]) ', 1) ELSE text END")} AS q,
+                {_WORDS.format("CASE WHEN contains(text, '. ') THEN regexp_extract(text, '(?s)^.*[.] (.*)$', 1) END")} AS a
+            FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+        ), g AS (
+            SELECT DISTINCT item_id, 'w' AS part, array_to_string(w[k : k + 4], ' ') AS x FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS k FROM i)
+            UNION ALL SELECT DISTINCT item_id, 'q', array_to_string(q[k : k + 4], ' ') FROM (SELECT *, unnest(generate_series(1, len(q) - 4)) AS k FROM i)
+            UNION ALL SELECT DISTINCT item_id, 'a', unnest(a) FROM i
+        ), n AS (
+            SELECT item_id, part, count(*) AS n FROM g GROUP BY ALL
+        ), d AS (
+            SELECT doc_id, {_WORDS.format("text")} AS w FROM documents
+        ), t AS (
+            SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS x, false AS one FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS k FROM d)
+            UNION ALL SELECT DISTINCT doc_id, unnest(w), true FROM d
+        ), h AS (
+            SELECT doc_id, item_id, part, count(*) AS n FROM t JOIN g ON g.x = t.x AND (g.part = 'a') = t.one GROUP BY ALL
+        ), s AS (
+            SELECT h.doc_id, h.item_id, h.part, h.n * 1.0::DOUBLE / n.n AS share FROM h JOIN n ON n.item_id = h.item_id AND n.part = h.part
+        ), o AS (
+            SELECT w.doc_id, w.item_id, w.share AS overlap,
+                CASE WHEN nq.n IS NULL THEN 1 ELSE coalesce(q.share, 0) END AS question_overlap,
+                CASE WHEN na.n IS NULL THEN 1 ELSE coalesce(a.share, 0) END AS answer_overlap
+            FROM (SELECT * FROM s WHERE part = 'w') w
+            LEFT JOIN (SELECT * FROM s WHERE part = 'q') q ON q.doc_id = w.doc_id AND q.item_id = w.item_id
+            LEFT JOIN (SELECT * FROM s WHERE part = 'a') a ON a.doc_id = w.doc_id AND a.item_id = w.item_id
+            LEFT JOIN (SELECT * FROM n WHERE part = 'q') nq ON nq.item_id = w.item_id
+            LEFT JOIN (SELECT * FROM n WHERE part = 'a') na ON na.item_id = w.item_id
+        )
+        SELECT doc_id, item_id, round(overlap, 6) AS overlap, round(question_overlap::DOUBLE, 6) AS question_overlap, round(answer_overlap::DOUBLE, 6) AS answer_overlap
+        FROM o WHERE overlap >= 0.8 OR (question_overlap >= 0.8 AND answer_overlap >= 0.8)
+    """,
 }
