@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, flac, jaccard, lm, sentencepiece, substring, tokencount, toxicity, warc
+from lodestone.llm import decontaminate, flac, jaccard, lines, lm, sentencepiece, substring, tokencount, toxicity, warc
 from lodestone.runtime import work_path
 
 
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(_read(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTU
 QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
     "op6_flac": op6_flac,
@@ -116,6 +122,34 @@ SQL = {
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
         JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
     """,
+    "op3_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i, raw, regexp_replace(raw, '^[\x09\x0B\x0C\r ]+|[\x09\x0B\x0C\r ]+$', '', 'g') AS k
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+        ), f AS (
+            SELECT k, min(doc_id * 2147483648 + i) AS place, length(k) AS n FROM l WHERE length(k) >= 20 GROUP BY k
+        ), s AS (
+            SELECT *, unnest([0, 1, 2]) AS j, n // 3 AS base, 3 - (n - 3 * (n // 3)) AS short FROM f
+        ), x AS (
+            SELECT place, k, n, j, base * j + greatest(j - short, 0) AS at, substr(k, CAST(base * j + greatest(j - short, 0) + 1 AS BIGINT), CAST(CASE WHEN j < short THEN base ELSE base + 1 END AS BIGINT)) AS seg FROM s
+        ), c AS (
+            SELECT place, k, n, n - less AS m, less, j, o
+            FROM (SELECT *, unnest([0, 1, 2]) AS less FROM f), (SELECT unnest([0, 1, 2]) AS j), (SELECT unnest([-2, -1, 0, 1, 2]) AS o)
+        ), p AS (
+            SELECT place, k, n, m, j, substr(k, CAST((m // 3) * j + greatest(j - (3 - (m - 3 * (m // 3))), 0) + 1 + o AS BIGINT), CAST(CASE WHEN j < 3 - (m - 3 * (m // 3)) THEN m // 3 ELSE m // 3 + 1 END AS BIGINT)) AS seg
+            FROM c WHERE (m // 3) * j + greatest(j - (3 - (m - 3 * (m // 3))), 0) + 1 + o >= 1
+        ), e AS (
+            SELECT DISTINCT greatest(x.place, p.place) AS place
+            FROM x JOIN p ON x.seg = p.seg AND x.n = p.m AND x.j = p.j AND x.place <> p.place
+            WHERE levenshtein(x.k, p.k) <= 2
+        ), r AS (
+            SELECT l.doc_id, l.i, l.raw, f.place IS NOT NULL AND (f.place <> l.doc_id * 2147483648 + l.i OR e.place IS NOT NULL) AS gone
+            FROM l LEFT JOIN f ON f.k = l.k LEFT JOIN e ON e.place = f.place
+        )
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed,
+            sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM r GROUP BY doc_id
+    """,
     "op5_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
