@@ -41,8 +41,8 @@ from lodestone.runtime import drop, materialize, release
 
 U64 = np.uint64
 WIDTH, GRAM = 50, 20
-#: Text handled at once, fragments of a hash bucket and of a suffix bucket.
-PIECE, BUCKET, SUFFIX_BUCKET = 1 << 20, 700_000, 16_000
+#: Text handled at once, hash buckets at least, fragments of a hash bucket and of a suffix bucket.
+PIECE, BUCKETS, BUCKET, SUFFIX_BUCKET = 1 << 20, 64, 700_000, 16_000
 #: Grams with more different fragments than this are aggregated by window.
 HOT = 50_000
 BROADCAST_IDS = 400_000
@@ -383,7 +383,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
     # copies are told by their text's hash; they neither send nor receive anything
     copies = materialize(known.join(texts, "sha256").where("doc_id > least").select("doc_id", "sha256").distinct(), "copies")
     total = every.agg(F.sum("n_bytes").alias("n")).first().n or 0
-    buckets = max(16, -(-total * 2 // (width - gram + 2) // BUCKET))
+    buckets = max(BUCKETS, -(-total * 2 // (width - gram + 2) // BUCKET))
 
     few = copies.count() <= BROADCAST_IDS
     gone = copies.select("doc_id").distinct()
