@@ -44,7 +44,9 @@ WORDS = 5
 #: The threshold, in hundredths: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 #: Signatures that a bucket holds on average, buckets at least, members of a block, and of the groups of a task.
-BUCKET, BUCKETS, BLOCK, SHARE = 1_500_000, 64, 2048, 20_000
+BUCKET, BUCKETS, BLOCK, SHARE = 1_000_000, 64, 2048, 20_000
+#: Pairs of a task before repeated ones are dropped.
+HELD = 300_000
 #: Sets with at least 1 / HOT of all rows as copies sign once only.
 HOT = 10_000
 #: Needed ids up to this number are broadcast (8 bytes each), beyond it the texts are shuffled.
@@ -212,6 +214,7 @@ def _group(table: pa.Table) -> pa.Table:
     rows = [pa.table([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_FOUND_ARROW)]
     if large.any():
         rows.append(pa.Table.from_pylist([{"kind": 1, "bucket": bucket, "members": members.tobytes(), "sizes": size[large].astype(np.uint32).tobytes()}], schema=_FOUND_ARROW))
+    K.tidy()
     return pa.concat_tables(rows)
 
 
@@ -289,6 +292,15 @@ def _close(cid: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, s
     return np.concatenate(out)
 
 
+def _once(found: np.ndarray, nearest: bool) -> np.ndarray:
+    """Each pair once; nearest: each two components once, by their nearest pair."""
+    if len(found) > 1:
+        found = found[np.lexsort(found.T[::-1])]
+        keys = found[:, :2] if nearest else found[:, 3:]
+        found = found[np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))]
+    return found
+
+
 def _blocks(similarity: int, nearest: bool):
     """The close pairs of some groups, each once; nearest: of each two components the
     one with the fewest differing bits."""
@@ -298,11 +310,15 @@ def _blocks(similarity: int, nearest: bool):
         gid, cid, n, root, side = (table.column(c).to_numpy() for c in ("gid", "cid", "n", "root", "side"))
         sk = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
         cut = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
-        found = np.concatenate([_close(cid[a:b], n[a:b], root[a:b], side[a:b], sk[a:b], similarity, nearest) for a, b in zip(cut, [*cut[1:], len(gid)], strict=True)])
-        if nearest and len(found) > 1:
-            found = found[np.lexsort(found.T[::-1])]
-            found = found[np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(1)))]
-        found = np.unique(found[:, 3:], axis=0)
+        parts, held = [], 0
+        for a, b in zip(cut, [*cut[1:], len(gid)], strict=True):
+            parts.append(_close(cid[a:b], n[a:b], root[a:b], side[a:b], sk[a:b], similarity, nearest))
+            held += len(parts[-1])
+            if held > HELD:
+                parts = [_once(np.concatenate(parts), nearest)]
+                held = len(parts[0]) // 2
+        found = _once(np.concatenate(parts), nearest)[:, 3:]
+        K.tidy()
         return pa.table({"a": pa.array(found[:, 0].copy()), "b": pa.array(found[:, 1].copy())})
 
     return run

@@ -6,12 +6,17 @@ A-Z is lower-cased; every separator is ASCII, so bytes and characters agree.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_libc = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
+if not hasattr(_libc, "malloc_trim"):
+    _libc = None
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -51,6 +56,13 @@ def _power(base: U64, n: int) -> np.ndarray:
     return _powers[key][:n]
 
 
+def tidy() -> None:
+    """Give memory that this worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and row offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,6 +89,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + max_bytes, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    tidy()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,10 +5,9 @@ Lines (between "\\n", compared without white space at their ends) of at least
 class is put under ``threshold`` + 1 segments with its length; by the
 pigeonhole principle, a line within the threshold contains one of them near its
 place, so each class probes the segments of its own and of slightly shorter
-lengths with the substrings that multi-match-aware selection leaves. The join's
-condition tests what an edit can change at most: parities of the words and
-counts of letters. Surviving pairs are verified by banded bit-parallel edit
-distance: for each number of errors k a word holds, for the diagonals of the
+lengths with the substrings that multi-match-aware selection leaves. Pairs
+are tested by the parities of their words, of which an edit changes three at
+most, and verified by banded bit-parallel edit distance: for each number of errors k a word holds, for the diagonals of the
 band, which prefixes are within k edits; a character of the line updates all.
 
 An occurrence is removed if its text occurred before (by document id, then
@@ -29,38 +28,38 @@ from lodestone.runtime import drop, materialize, release
 
 #: Edits, and characters of a line that takes part.
 THRESHOLD, MIN_CHARS = 2, 20
-#: Letters that are counted, a byte each.
-LETTERS = "eainrsto"
 
 
 def _key(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"^[\t\r\f\x0B ]+|[\t\r\f\x0B ]+$", ""))
+    return F.btrim(line, F.lit(" \t\r\f\x0b"))
 
 
-def _segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment; the longer ones come last."""
-    base = F.floor(length / (threshold + 1)).cast("int")
+def _segment(length: Column, i: Column, threshold: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of the i-th segment of a line of this length; the longer ones come last."""
+    base = F.call_function("div", length, F.lit(threshold + 1)).cast("int")
     short = (threshold + 1) - (length - base * (threshold + 1))
-    out = []
-    for i in range(threshold + 1):
-        start = base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1
-        out.append((start.cast("int"), F.when(F.lit(i) < short, base).otherwise(base + 1).cast("int")))
-    return out
+    return base * i + F.greatest(i - short, F.lit(0)) + 1, base + F.when(i < short, 0).otherwise(1)
 
 
-def _index_keys(key: Column, length: Column, threshold: int) -> Column:
-    return F.array(*(F.xxhash64(F.substring(key, s, n), length, F.lit(i)) for i, (s, n) in enumerate(_segments(length, threshold))))
+def _index(first: DataFrame, threshold: int) -> DataFrame:
+    """(k, a, na): the key of each segment of each class."""
+    rows = first.select("id", "key", "n", F.explode(F.array(*map(F.lit, range(threshold + 1)))).alias("i"))
+    start, size = _segment(F.col("n"), F.col("i"), threshold)
+    return rows.select(F.xxhash64(F.substring("key", start, size), "n", "i").alias("k"), F.col("id").alias("a"), F.col("n").alias("na"))
 
 
-def _probe_keys(key: Column, length: Column, threshold: int) -> Column:
-    out = []
+def _probe(first: DataFrame, threshold: int) -> DataFrame:
+    """(k, b, nb): the substrings of each class that can be a segment of a line at most ``threshold`` shorter."""
+    steps = []
     for less in range(threshold + 1):
-        for i, (s, n) in enumerate(_segments(length - less, threshold)):
+        for i in range(threshold + 1):
             left, right = i, threshold - i
-            for o in range(max(-left, less - right), min(left, less + right) + 1):
-                inside = (s + o >= 1) & (s + o + n - 1 <= length)
-                out.append(F.when(inside, F.xxhash64(F.substring(key, s + o, n), length - less, F.lit(i))))
-    return F.array(*out)
+            steps += [(less, i, o) for o in range(max(-left, less - right), min(left, less + right) + 1)]
+    step = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(o).alias("o")) for less, i, o in steps))
+    rows = first.select("id", "key", "n", F.explode(step).alias("s")).select("id", "key", "n", (F.col("n") - F.col("s.less")).alias("m"), F.col("s.i").alias("i"), F.col("s.o").alias("o"))
+    start, size = _segment(F.col("m"), F.col("i"), threshold)
+    rows = rows.select("id", "key", "n", "m", "i", (start + F.col("o")).alias("start"), size.alias("size")).where("start >= 1 and start + size - 1 <= n")
+    return rows.select(F.xxhash64(F.substring("key", F.col("start"), F.col("size")), "m", "i").alias("k"), F.col("id").alias("b"), F.col("n").alias("nb"))
 
 
 def _word_parity(key: Column) -> Column:
@@ -68,39 +67,22 @@ def _word_parity(key: Column) -> Column:
     return F.aggregate(F.split(key, " "), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(64)))))
 
 
-def _letters(key: Column) -> Column:
-    """Counts of some letters modulo 256, packed; an edit changes two of them by one."""
-    total = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        count = F.length(key) - F.length(F.replace(key, F.lit(c), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(256)).cast("long"), 8 * i))
-    return total
-
-
-def _letter_distance(a: str, b: str) -> str:
-    # differences of counts modulo 256
-    parts = []
-    for i in range(len(LETTERS)):
-        d = f"pmod(shiftrightunsigned({a}, {8 * i}) - shiftrightunsigned({b}, {8 * i}), 256)"
-        parts.append(f"least({d}, 256 - {d})")
-    return " + ".join(parts)
-
-
 def within(x: Column, y: Column, threshold: int) -> Column:
     """Whether two strings are within ``threshold`` edits, by a banded bit-parallel automaton."""
     t, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
-    xs, ys = F.split(x, ""), F.split(y, "")
     lx, ly = F.length(x), F.length(y)
-    # bit b of word k: the first i characters of y and i + b - t of x are within k edits
-    start = F.struct(*(F.lit(sum(1 << (j + t) for j in range(k + 1))).cast("int").alias(f"r{k}") for k in range(t + 1)))
+    # bit b of word k: the first i characters of y and i + b - t of x are within k edits.
+    # The characters are in the state, so that they are split once
+    words = [F.lit(sum(1 << (j + t) for j in range(k + 1))).alias(f"r{k}") for k in range(t + 1)]
+    start = F.struct(F.split(x, "").alias("xs"), F.split(y, "").alias("ys"), *words)
 
     def step(s: Column, i: Column) -> Column:
-        c = F.get(ys, i)
+        c, xs = F.get(s["ys"], i), s["xs"]
         match = F.lit(0)
         for b in range(width):
             match = match.bitwiseOR(F.when(F.get(xs, i + (b - t)) == c, F.lit(1 << b)).otherwise(F.lit(0)))
-        return F.struct(*_step(s, match, t, full))
+        return F.struct(xs.alias("xs"), s["ys"].alias("ys"), *_step(s, match, t, full))
 
     end = F.aggregate(F.sequence(F.lit(0), ly - 1), start, step)
     near = F.abs(lx - ly) <= t
@@ -144,21 +126,16 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
         .select("doc_id", "f.line", "f.h", _key(F.get("lines", F.col("f.line"))).alias("key"))
         .where(F.xxhash64("key") == F.col("h"))
         .dropDuplicates(["doc_id", "line"])
-        .select(F.monotonically_increasing_id().alias("id"), "doc_id", "line", "h", F.hash("key").alias("g"), "key", F.length("key").alias("n"), _word_parity(F.col("key")).alias("w"), _letters(F.col("key")).alias("c"))
+        .select(F.monotonically_increasing_id().alias("id"), "doc_id", "line", "h", F.hash("key").alias("g"), "key", F.length("key").alias("n"))
     )
     first = materialize(first, "classes")
     release(spark)
-    key, n = F.col("key"), F.col("n")
-    index = first.select(F.explode(_index_keys(key, n, threshold)).alias("k"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), F.col("c").alias("ca"))
-    probe = first.select(F.explode(_probe_keys(key, n, threshold)).alias("k"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.col("c").alias("cb")).where("k is not null")
-    possible = F.expr(f"(na < nb or a < b) and a <> b and bit_count(wa ^ wb) <= {3 * threshold} and {_letter_distance('ca', 'cb')} <= {2 * threshold}")
-    pairs = index.alias("i").join(probe.alias("p"), (F.col("i.k") == F.col("p.k")) & possible).select("a", "b").distinct()
+    index, probe = _index(first, threshold), _probe(first, threshold)
+    pairs = index.join(probe, "k").where("a <> b and (na < nb or a < b)").select("a", "b").distinct()
     text = first.select("id", "doc_id", "line", "key", "h", "g")
-    near = (
-        pairs.join(text.toDF("a", "da", "la", "ka", "ha", "ga"), "a")
-        .join(text.toDF("b", "db", "lb", "kb", "hb", "gb"), "b")
-        .where(within(F.col("ka"), F.col("kb"), threshold))
-    )
+    both = pairs.join(text.toDF("a", "da", "la", "ka", "ha", "ga"), "a").join(text.toDF("b", "db", "lb", "kb", "hb", "gb"), "b")
+    parity = F.bit_count(_word_parity(F.col("ka")).bitwiseXOR(_word_parity(F.col("kb"))))
+    near = both.where(F.when(parity <= 3 * threshold, within(F.col("ka"), F.col("kb"), threshold)).otherwise(False))
     a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("la") < F.col("lb")))
     late = materialize(near.select(F.when(a_first, F.col("hb")).otherwise(F.col("ha")).alias("h"), F.when(a_first, F.col("gb")).otherwise(F.col("ga")).alias("g")).distinct(), "late")
     release(spark)
