@@ -42,9 +42,9 @@ from lodestone.runtime import drop, materialize, release
 U64 = np.uint64
 WIDTH, GRAM = 50, 20
 #: Text handled at once, hash buckets at least, fragments of a hash bucket and of a suffix bucket.
-PIECE, BUCKETS, BUCKET, SUFFIX_BUCKET = 1 << 20, 64, 700_000, 16_000
+PIECE, BUCKETS, BUCKET, SUFFIX_BUCKET = 1 << 20, 64, 700_000, 8_000
 #: Grams with more different fragments than this are aggregated by window.
-HOT = 50_000
+HOT = 8_000
 BROADCAST_IDS = 400_000
 #: A perfect difference set modulo 13 (all differences occur).
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -115,6 +115,7 @@ _MARKS_ARROW = pa.schema([("doc_id", pa.int64()), ("full", pa.binary()), ("parti
 
 def _mark(table: pa.Table) -> pa.Table:
     """Of one bucket, per document: fragments that go entirely, fragments to be looked into."""
+    K.tidy()
     g, w, doc = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("grams", np.uint32), ("wholes", np.uint64), ("docs", np.int64)))
     del table
     order = np.argsort(g)
@@ -280,6 +281,7 @@ def _look_into(width: int):
     """Windows (offsets in their fragment) that also start in a smaller id, by the suffix order of the fragments."""
 
     def run(table: pa.Table) -> pa.Table:
+        K.tidy()
         data, offs = K.texts(table.column("bytes").combine_chunks())
         doc, whole = table.column("doc_id").to_numpy(), table.column("whole").to_numpy()
         # a window whose hash no other document has can't repeat; only fragments with others are sorted
