@@ -7,7 +7,8 @@ pigeonhole principle, a line within the threshold contains one of them near its
 place, so each class probes the segments of its own and of slightly shorter
 lengths with the substrings that multi-match-aware selection leaves. Pairs
 are tested by the parities of their words, of which an edit changes three at
-most, and verified by banded bit-parallel edit distance: for each number of errors k a word holds, for the diagonals of the
+most, and by the compiled banded distance with a bound; what that leaves, the
+near lines, is verified by banded bit-parallel edit distance: for each number of errors k a word holds, for the diagonals of the
 band, which prefixes are within k edits; a character of the line updates all.
 
 An occurrence is removed if its text occurred before (by document id, then
@@ -28,6 +29,8 @@ from lodestone.runtime import drop, materialize, release
 
 #: Edits, and characters of a line that takes part.
 THRESHOLD, MIN_CHARS = 2, 20
+#: Classes that share a segment before their texts go along; such segments that are broadcast (8 bytes each).
+HOT, BROADCAST_KEYS = 32, 100_000
 
 
 def _key(line: Column) -> Column:
@@ -100,6 +103,33 @@ def _step(s: Column, match: Column, t: int, full: int) -> list[Column]:
     return [c.alias(f"r{k}") for k, c in enumerate(out)]
 
 
+def _possible(x: Column, y: Column, threshold: int) -> Column:
+    """Tests that compiled expressions can do: word parities, then a banded distance with a bound."""
+    parity = F.bit_count(_word_parity(x).bitwiseXOR(_word_parity(y))) <= 3 * threshold
+    return F.when(parity, F.levenshtein(x, y, threshold) >= 0).otherwise(False)
+
+
+def _pairs(first: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): pairs of classes that share a segment.
+
+    Where very many classes share one, the rows of that segment carry their
+    text, and pairs that can't be near don't leave the join.
+    """
+    index, probe = _index(first, threshold), _probe(first, threshold)
+    order = "a <> b and (na < nb or a < b)"
+    hot = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("k"), "hot")
+    number = hot.count()
+    if not number:
+        return index.join(probe, "k").where(order).select("a", "b").distinct()
+    few = F.broadcast(hot) if number <= BROADCAST_KEYS else hot
+    cool = index.join(few, "k", "left_anti").join(probe, "k").where(order).select("a", "b")
+    text = first.select("id", "key")
+    x = index.join(few, "k", "left_semi").join(text.toDF("a", "ka"), "a")
+    y = probe.join(few, "k", "left_semi").join(text.toDF("b", "kb"), "b")
+    warm = x.join(y, "k").where(F.expr(order) & (F.levenshtein("ka", "kb", threshold) >= 0)).select("a", "b")
+    return cool.unionAll(warm).distinct()
+
+
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, gone): numbers of the lines, from 0, that are removed from each document that loses any."""
     spark = docs.sparkSession
@@ -130,12 +160,11 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     )
     first = materialize(first, "classes")
     release(spark)
-    index, probe = _index(first, threshold), _probe(first, threshold)
-    pairs = index.join(probe, "k").where("a <> b and (na < nb or a < b)").select("a", "b").distinct()
     text = first.select("id", "doc_id", "line", "key", "h", "g")
+    pairs = _pairs(first, threshold)
     both = pairs.join(text.toDF("a", "da", "la", "ka", "ha", "ga"), "a").join(text.toDF("b", "db", "lb", "kb", "hb", "gb"), "b")
-    parity = F.bit_count(_word_parity(F.col("ka")).bitwiseXOR(_word_parity(F.col("kb"))))
-    near = both.where(F.when(parity <= 3 * threshold, within(F.col("ka"), F.col("kb"), threshold)).otherwise(False))
+    possible = _possible(F.col("ka"), F.col("kb"), threshold)
+    near = both.where(F.when(possible, within(F.col("ka"), F.col("kb"), threshold)).otherwise(False))
     a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("la") < F.col("lb")))
     late = materialize(near.select(F.when(a_first, F.col("hb")).otherwise(F.col("ha")).alias("h"), F.when(a_first, F.col("gb")).otherwise(F.col("ga")).alias("g")).distinct(), "late")
     release(spark)
