@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
+from lodestone.runtime import materialize
 
 
 def clean_chunks(chunks: DataFrame, mode: str = "faithful", every: int = 20) -> DataFrame:
@@ -15,28 +16,27 @@ def clean_chunks(chunks: DataFrame, mode: str = "faithful", every: int = 20) ->
     Of the chunks that aren't technical, each ``every``-th (in order of chunk_id)
     is checked for its language; only English passes.
     """
-    c = chunks.withColumn("content", T.fix_unicode(F.col("content"))).withColumn("type", T.content_type(F.col("content")))
-    c = c.withColumn("cleaned", T.clean(F.col("content"), F.col("type.is_technical"), mode))
-    n = F.length("cleaned")
-    c = c.withColumn(
-        "first_reason",
-        F.when(F.col("content").isNull() | (F.col("content") == ""), "too_short").when(F.col("cleaned") == "", "too_short"),
-    )
-    checked = sampled(c.where("first_reason is null and not type.is_technical"), every).select("chunk_id", F.lit(True).alias("checked"))
+    c = chunks.select("chunk_id", "source", "lang", T.fix_unicode(F.col("content")).alias("content")).withColumn("is_technical", T.content_type(F.col("content"))["is_technical"])
+    c = c.select("chunk_id", "source", "lang", "is_technical", (F.coalesce("content", F.lit("")) == "").alias("empty"), T.clean(F.col("content"), F.col("is_technical"), mode).alias("cleaned"))
+    # the cleaned text is read several times below: for the sample, the lengths and the quality
+    c = materialize(c, "cleaned")
+    blank = F.col("empty") | (F.col("cleaned") == "")
+    checked = sampled(c.where(~blank & ~F.col("is_technical")).select("chunk_id"), every).withColumn("checked", F.lit(True))
     c = c.join(checked, "chunk_id", "left")
+    n = F.length("cleaned")
     reason = (
-        F.when(F.col("first_reason").isNotNull(), F.col("first_reason"))
+        F.when(blank, "too_short")
         .when(F.col("checked") & (F.col("lang") != "en"), "non_english")
         .when(n < T.SHORT, "too_short")
         .when(n > T.LONG, "too_long")
     )
-    c = c.withColumn("quality_score", F.round(T.quality(F.col("cleaned"), F.col("type.is_technical")), 6))
+    c = c.withColumn("quality_score", F.round(T.quality(F.col("cleaned"), F.col("is_technical")), 6))
     return c.select(
         "chunk_id",
         "source",
         F.col("cleaned").alias("content"),
         "quality_score",
-        F.col("type.is_technical").alias("is_technical"),
+        "is_technical",
         F.coalesce(reason, F.when(F.col("quality_score") < T.LOW_QUALITY, "low_quality")).alias("reason"),
     )
 

@@ -175,5 +175,6 @@ def find_path(edges: DataFrame, start: int, end: int, depth: int = 4) -> DataFra
     for _ in range(depth):
         level = level.join(step, "at").select(F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
         level = level.groupBy("at").agg(F.min("path").alias("path")).join(seen.select("at"), "at", "left_anti")
+        level = materialize(level, "paths")  # each level is read by all later ones
         seen = seen.unionAll(level)
     return seen.where(F.col("at") == end).select("path", (F.size("path") - 1).alias("depth"))
