@@ -16,8 +16,8 @@ line), or if its text is within the threshold of one that occurred before.
 
 Defined results: a null text stays null and has no lines; an empty text has one
 empty line; shorter lines always stay; rows with a null id stay whole and
-remove nothing; of rows that repeat an id, equal lines at the same place stay
-in each. Extra columns are kept.
+remove nothing; rows that repeat an id are taken as one document with one text:
+equal lines at the same place stay in each. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -45,14 +45,14 @@ def _segment(length: Column, i: Column, threshold: int) -> tuple[Column, Column]
 
 
 def _index(first: DataFrame, threshold: int) -> DataFrame:
-    """(k, a, na): the key of each segment of each class."""
+    """(k, a): the key of each segment of each class."""
     rows = first.select("id", "key", "n", F.explode(F.array(*map(F.lit, range(threshold + 1)))).alias("i"))
     start, size = _segment(F.col("n"), F.col("i"), threshold)
-    return rows.select(F.xxhash64(F.substring("key", start, size), "n", "i").alias("k"), F.col("id").alias("a"), F.col("n").alias("na"))
+    return rows.select(F.xxhash64(F.substring("key", start, size), "n", "i").alias("k"), F.col("id").alias("a"))
 
 
 def _probe(first: DataFrame, threshold: int) -> DataFrame:
-    """(k, b, nb): the substrings of each class that can be a segment of a line at most ``threshold`` shorter."""
+    """(k, b): the substrings of each class that can be a segment of a line at most ``threshold`` shorter."""
     steps = []
     for less in range(threshold + 1):
         for i in range(threshold + 1):
@@ -62,7 +62,7 @@ def _probe(first: DataFrame, threshold: int) -> DataFrame:
     rows = first.select("id", "key", "n", F.explode(step).alias("s")).select("id", "key", "n", (F.col("n") - F.col("s.less")).alias("m"), F.col("s.i").alias("i"), F.col("s.o").alias("o"))
     start, size = _segment(F.col("m"), F.col("i"), threshold)
     rows = rows.select("id", "key", "n", "m", "i", (start + F.col("o")).alias("start"), size.alias("size")).where("start >= 1 and start + size - 1 <= n")
-    return rows.select(F.xxhash64(F.substring("key", F.col("start"), F.col("size")), "m", "i").alias("k"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    return rows.select(F.xxhash64(F.substring("key", F.col("start"), F.col("size")), "m", "i").alias("k"), F.col("id").alias("b"))
 
 
 def _word_parity(key: Column) -> Column:
@@ -116,17 +116,17 @@ def _pairs(first: DataFrame, threshold: int) -> DataFrame:
     text, and pairs that can't be near don't leave the join.
     """
     index, probe = _index(first, threshold), _probe(first, threshold)
-    order = "a <> b and (na < nb or a < b)"
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     hot = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("k"), "hot")
     number = hot.count()
     if not number:
-        return index.join(probe, "k").where(order).select("a", "b").distinct()
+        return index.hint("shuffle_hash").join(probe, "k").where("a <> b").select(*pair).distinct()
     few = F.broadcast(hot) if number <= BROADCAST_KEYS else hot
-    cool = index.join(few, "k", "left_anti").join(probe, "k").where(order).select("a", "b")
+    cool = index.join(few, "k", "left_anti").hint("shuffle_hash").join(probe, "k").where("a <> b").select(*pair)
     text = first.select("id", "key")
     x = index.join(few, "k", "left_semi").join(text.toDF("a", "ka"), "a")
     y = probe.join(few, "k", "left_semi").join(text.toDF("b", "kb"), "b")
-    warm = x.join(y, "k").where(F.expr(order) & (F.levenshtein("ka", "kb", threshold) >= 0)).select("a", "b")
+    warm = x.join(y, "k").where((F.col("a") != F.col("b")) & (F.levenshtein("ka", "kb", threshold) >= 0)).select(*pair)
     return cool.unionAll(warm).distinct()
 
 
@@ -140,22 +140,17 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     place = (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line")).cast("decimal(38,0)")
     occurrences = materialize(line.select("doc_id", "line", F.xxhash64("key").alias("h"), F.hash("key").alias("g")), "occurrences")
     classes = occurrences.groupBy("h", "g").agg(F.min(place).alias("place"))
-    firsts = (
-        classes.select(
-            "h",
-            F.floor(F.col("place") / F.lit(1 << 31).cast("decimal(12,0)")).cast("long").alias("doc_id"),
-            F.pmod("place", F.lit(1 << 31).cast("decimal(12,0)")).cast("int").alias("line"),
-        )
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("line", "h")).alias("firsts"))
-    )
-    # texts of the classes, from the document of their first occurrence
+    # of each document the lines that take part, in order, and whether their text is here first
+    marked = occurrences.join(classes, ["h", "g"]).select("doc_id", F.struct("line", "h", (place == F.col("place")).alias("first")).alias("m"))
+    marked = marked.groupBy("doc_id").agg(F.array_distinct(F.array_sort(F.collect_list("m"))).alias("m")).where(F.exists("m", lambda m: m["first"]))
+    taking_part = F.filter(F.split("text", "\n"), lambda x: F.length(_key(x)) >= min_chars)
     first = (
-        rows.join(firsts, "doc_id")
-        .select("doc_id", F.split("text", "\n").alias("lines"), F.explode("firsts").alias("f"))
-        .select("doc_id", "f.line", "f.h", _key(F.get("lines", F.col("f.line"))).alias("key"))
+        rows.join(marked, "doc_id")
+        .select("doc_id", "m", F.posexplode(taking_part).alias("k", "raw"))
+        .select("doc_id", F.get("m", F.col("k")).alias("m"), _key(F.col("raw")).alias("key"))
+        .where("m.first")
+        .select("doc_id", "m.line", "m.h", "key")
         .where(F.xxhash64("key") == F.col("h"))
-        .dropDuplicates(["doc_id", "line"])
         .select(F.monotonically_increasing_id().alias("id"), "doc_id", "line", "h", F.hash("key").alias("g"), "key", F.length("key").alias("n"))
     )
     first = materialize(first, "classes")
