@@ -255,7 +255,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for lo in range(0, len(frames), LANES):
         some = frames[lo : lo + LANES]
         n = np.array([f[3] for f in some])
-        x = np.zeros((len(some), int(n.max())), np.uint8)
+        x = np.zeros((len(some), max(int(n.max()), ORDER + 1)), np.uint8)
         for row, (i, _, a, m) in zip(x, some, strict=True):
             row[:m] = np.frombuffer(payloads[i], np.uint8, m, a)
         samples = np.where(np.arange(x.shape[1]) < n[:, None], x.astype(np.int32) - 128, 0)
@@ -331,7 +331,8 @@ def decode_frames(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     coef, shift = np.zeros((max(most, 1), lanes), np.int64), np.zeros(lanes, np.int64)
     for p in range(1, 5):
         j = np.flatnonzero(fixed & (order == p))
-        coef[:p, j] = np.array(FIXED[p])[:, None]
+        if len(j):
+            coef[:p, j] = np.array(FIXED[p])[:, None]
     j = np.flatnonzero(lpc)
     precision = bits.read(at[j], 4) + 1
     shift[j] = _signed(bits.read(at[j] + 4, 5), 5)

@@ -1,0 +1,155 @@
+"""Numpy kernels against plain Python."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodestone.llm import flac, jaccard, kernel, lm, substring, toxicity, warc
+
+TEXTS = ["", "a", "  a  b\tc\n", "ÄÖ é ÀB", "x " * 50, "one two three four five six", "\n\n", "a b c d e f g a b c d e"]
+
+
+def _lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def _words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", _lower(t))
+
+
+def test_words_and_shingles():
+    data, offs = kernel.texts(pa.array([*TEXTS, None]))
+    s, e, row = kernel.words(data, offs)
+    raw = bytes(data)
+    for i, t in enumerate(TEXTS):
+        assert [_lower(raw[a:b].decode()) for a, b, r in zip(s, e, row) if r == i] == _words(t)
+    values, at = kernel.shingle_sets(data, offs)
+    for i, t in enumerate([*TEXTS, ""]):
+        w = _words(t)
+        want = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        assert at[i + 1] - at[i] == len(want)
+    h = kernel.span_hashes(data, s, e)
+    by = {}
+    for k, (a, b) in enumerate(zip(s, e)):
+        by.setdefault(_lower(raw[a:b].decode()), set()).add(int(h[k]))
+    assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+
+
+def test_partenum_signatures_lose_no_similar_pair():
+    rng = np.random.default_rng(0)
+    bands = jaccard.Bands()
+    for n in [*range(1, 60), 90, 150, 400, 1000]:
+        for _ in range(6):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            # the most differing set that still links
+            b, k = a, 0
+            while True:
+                k += 1
+                m = n - k // 2
+                c = np.concatenate((a[: n - k // 2 - k % 2], rng.integers(0, 2**63, k // 2, dtype=np.uint64))) if k > 1 else a[: n - 1]
+                inter = len(np.intersect1d(a, c))
+                if not len(c) or 100 * inter < 80 * len(np.union1d(a, c)):
+                    break
+                b = c
+            if len(b) == len(a) and (b == a).all():
+                continue
+            values, offs = np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])
+            sig, row = jaccard.signatures(values, offs, bands)
+            assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (n, len(b), m)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 70, 300):
+        a, b = np.unique(rng.integers(0, 400, n, dtype=np.uint64)), np.unique(rng.integers(0, 400, n, dtype=np.uint64))
+        x, y = (np.frombuffer(s, np.uint64) for s in jaccard.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])))
+        w = min(len(x), len(y))
+        d = int(np.bitwise_count(jaccard.fold(x, w) ^ jaccard.fold(y, w)).sum())
+        assert d <= len(np.setxor1d(a, b))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=400), st.integers(1, 40))
+def test_suffix_order(text, depth):
+    if not text:
+        return
+    data = np.frombuffer(text, np.uint8)
+    got = np.concatenate(list(substring.suffix_order(data, np.arange(len(data)), depth, 7)))
+    keys = [(text + bytes(depth))[i : i + depth] for i in got]
+    assert sorted(got) == list(range(len(data))) and keys == sorted(keys)
+
+
+def test_fragments_cover_every_window():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abc ") for _ in range(5000)).encode()
+    first, last, _, _ = substring.fragments(np.frombuffer(text, np.uint8))
+    assert first[0] == 0 and last[-1] == len(text) - 50 and (first[1:] == last[:-1] + 1).all()
+    assert len(substring.fragments(np.frombuffer(text[:49], np.uint8))[0]) == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.binary(max_size=3000), max_size=6))
+def test_flac_round_trip(payloads):
+    medias = flac.encode(payloads)
+    assert [b"".join(b for _, b in blocks) for blocks in flac.decode(medias)] == payloads
+
+
+def test_flac_blocks_checksums_and_streams_without_seek_table():
+    payload = bytes(range(256)) * 17 + b"a" * 3000 + bytes(5)
+    (media,) = flac.encode([payload])
+    (blocks,) = flac.decode([media])
+    assert [at for at, _ in blocks] == list(range(0, len(payload), flac.BLOCK))
+    bad = bytearray(media)
+    bad[-20] ^= 1
+    with pytest.raises(ValueError):
+        flac.decode([bytes(bad)])
+    with pytest.raises(ValueError):
+        flac.decode([media[:-7]])
+    # without the seek table each frame starts where the last one ended
+    size = int.from_bytes(media[43:46], "big")
+    bare = media[:4] + bytes([0x80]) + media[5:42] + media[46 + size :]
+    assert b"".join(b for _, b in flac.decode([bare])[0]) == payload
+    assert flac.decode(flac.encode([b""])) == [[]]
+
+
+def test_flac_fixed_predictors_by_hand():
+    # one frame of order 1 without residual bits to spare: 0, 1, 2 ... rises by one
+    ramp = bytes(range(100, 164))
+    (media,) = flac.encode([ramp])
+    assert b"".join(b for _, b in flac.decode([media])[0]) == ramp and len(media) < 42 + 22 + 60
+
+
+def test_nnpu_prefers_toxic_words():
+    rng = np.random.default_rng(5)
+    words = rng.integers(100, 5000, (600, 30)).astype(np.int32)
+    toxic = np.arange(600) % 6 == 0
+    rows = [np.unique(np.append(w, [7, 8] if t else [9])) for w, t in zip(words, toxic)]
+    model = toxicity.fit([r for r, t in zip(rows, toxic) if t], rows, toxic.mean(), dimensions=6000)
+    s = model.score(*toxicity._csr(rows))
+    assert s[toxic].min() > 0.5 > s[~toxic].max()
+    empty = toxicity.fit([], rows, 0.1, 6000)
+    assert abs(empty.score(*toxicity._csr([np.zeros(0, np.int32)]))[0] - 0.1) < 1e-6
+
+
+def test_warc_records_and_members():
+    import io
+
+    raw = [warc.record(1, "http://a/b c", b"<p>x</p>", None, None), warc.record(2, None, b"", 1, "http://a")]
+    packed = b"".join(warc._member(r) for r in raw)
+    back = list(warc.members(io.BytesIO(packed)))
+    assert back == raw
+    fields, block = warc.parse(back[0])
+    assert fields["WARC-Type"] == "response" and block.endswith(b"<p>x</p>") and fields["WARC-Target-URI"] == "http://a/b%20c"
+    assert warc.parse(back[1])[0]["WARC-Type"] == "revisit"
+    with pytest.raises(OSError):
+        list(warc.members(io.BytesIO(packed[:-5])))
+
+
+def test_packed_arrays():
+    for x in (np.zeros(0, np.uint64), np.arange(5, dtype=np.uint64) * 2**50, np.array([1.5, -2.0])):
+        assert (lm.unpack(lm.pack(x), x.dtype.type) == x).all()
