@@ -1,0 +1,354 @@
+"""The operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import hashlib
+import math
+import os
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import components, decontaminate, flac, jaccard, lines, lm, sentencepiece, substring, tokencount, toxicity, warc
+from lodestone.llm.pieces import MODEL
+from lodestone.runtime import work_path
+
+BASE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix a jug of bitter violet ink near old quarry walls"
+DOCS = [
+    (0, BASE), (1, BASE), (2, BASE.upper()), (3, BASE + " today"), (4, None), (5, ""), (6, "   \n\t"), (7, "three words here"), (8, "Three Words here"),
+    (9, BASE[:60] + "\n" + BASE[40:] + "\nother line of text that is long enough"), (10, "x" * 200 + " " + BASE), (11, "ä" * 70), (12, "ä" * 70 + "ö"),
+    (13, "unrelated text without any shared run of words whatsoever in here"), (14, "line one is shared by two texts\nline two is not"), (15, "line one is shaped by two texts\nanother thing altogether"),
+    (16, " ".join(f"word{i}" for i in range(3000))), (17, " ".join(f"word{i}" for i in range(20, 3000))), (None, BASE), (18, BASE), (18, BASE),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, 1, 0, i, "z") for i, t in DOCS]
+    return spark.createDataFrame(rows, "doc_id long, text string, n int, a int, cid long, key string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def _words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+
+def _set(t, k=5):
+    w = _words(t)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (50, 60), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in components.components(e).collect()}
+    assert got == {i: 0 for i in range(31)} | {40: 40, 50: 40, 60: 40}
+
+
+def test_jaccard_join(docs, none):
+    ids = sorted({i for i, _ in DOCS if i is not None})
+    sets = {i: _set(t) for i, t in DOCS if i is not None}
+    root = {i: i for i in ids}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in ids:
+        for j in ids:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = jaccard.join(docs, bucket=50).collect()
+    assert len(got) == len(DOCS)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.n_shingles == len(_set(BASE))
+        else:
+            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id)), r
+    assert jaccard.join(none).count() == 0
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = Counter(r.doc_id for r in kept.collect())
+    assert left[None] == 1 and all(left[i] == (find(i) == i) for i in ids)
+
+
+def test_jaccard_near_copies_in_a_large_group(spark):
+    """Neighbours in a long chain of edits link although the ends don't; all must meet."""
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        words[(i * 7) % 120] = f"e{i}"
+    sets = [_set(t) for _, t in rows]
+    linked = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets, sets[1:])]
+    assert all(linked) and 100 * len(sets[0] & sets[-1]) < 80 * len(sets[0] | sets[-1])
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in got.collect()} == {0}
+
+
+def _edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_bit_parallel_distance(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [("", ""), ("a", ""), ("", "ab"), ("abc", "abc"), ("äöü", "äü")]
+    for _ in range(150):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    for t in (0, 1, 2, 3):
+        for r in df.select("x", "y", lines.within(F.col("x"), F.col("y"), t).alias("near")).collect():
+            assert r.near == (_edit(r.x, r.y) <= t), (r, t)
+
+
+def _line_brute(rows, least=20, threshold=2):
+    first = {}
+    strip = " \t\r\f\x0b"
+    for i, t in sorted((i, t) for i, t in rows if i is not None and t is not None):
+        for k, x in enumerate(t.split("\n")):
+            x = x.strip(strip)
+            if len(x) >= least:
+                first.setdefault(x, (i, k))
+    late = {y for y in first for x in first if first[x] < first[y] and abs(len(x) - len(y)) <= threshold and _edit(x, y) <= threshold}
+    return lambda i, k, x: len(x.strip(strip)) >= least and (first[x.strip(strip)] != (i, k) or x.strip(strip) in late)
+
+
+def test_line_dedup(docs, none, spark):
+    small = [(i, t) for i, t in DOCS if i is None or i not in (16, 17)]
+    gone = _line_brute(small)
+    for r in lines.deduplicate(docs.where("doc_id is null or doc_id not in (16, 17)")).collect():
+        original = dict(small)[r.doc_id]
+        if original is None:
+            assert r.text is None and r.n_lines == 0
+        elif r.doc_id is None:
+            assert r.text == original and r.n_removed == 0
+        else:
+            parts = original.split("\n")
+            kept = [x for k, x in enumerate(parts) if not gone(r.doc_id, k, x)]
+            assert r.text == "\n".join(kept) and r.n_removed == len(parts) - len(kept), r.doc_id
+    assert lines.deduplicate(none).count() == 0
+    assert set(docs.columns) <= set(lines.deduplicate(none).columns)
+
+
+def test_line_dedup_with_common_segments(spark, monkeypatch):
+    """Variants of one line share segments; with a low bound they take the way for common ones."""
+    base = "a line about nothing that goes on for quite a while and ends"
+    rows = [(i, base[:k] + "XYZ"[i % 3] + base[k + 1 :]) for i, k in enumerate(range(0, 58, 3))] + [(90 + i, base[: 5 * i] + "#####" + base[5 * i :]) for i in range(8)]
+    gone = _line_brute(rows)
+    want = {i: gone(i, 0, t) for i, t in rows}
+    for bound in (2, 1000):
+        monkeypatch.setattr(lines, "HOT", bound)
+        got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.doc_id: r.n_removed == 1 for r in got.collect()} == want
+
+
+def _substring_brute(rows, width=50):
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            b = (t or "").encode()
+            for k in range(len(b) - width + 1):
+                w = b[k : k + width]
+                least[w] = min(least.get(w, i), i)
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        mark = bytearray(len(b))
+        if i is not None:
+            for k in range(len(b) - width + 1):
+                if least[b[k : k + width]] < i:
+                    mark[k : k + width] = b"\1" * width
+        runs = len(re.findall(b"\1+", bytes(mark)))
+        kept = bytes(x for x, m in zip(b, mark) if not m)
+        out[i] = (len(b), sum(mark), runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 8000])
+def test_substring_dedup(docs, none, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    want = _substring_brute(DOCS)
+    got = substring.deduplicate(docs).collect()
+    assert len(got) == len(DOCS)
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+    assert substring.deduplicate(none).count() == 0
+
+
+def _katz(rows, k=5):
+    """The model in plain dictionaries; returns the scorer and N."""
+    uni, bi = Counter(), Counter()
+    history = Counter()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            seq = [*_words(t), "</s>"]
+            uni.update(seq)
+            for h, w in zip(["<s>", *seq], seq):
+                bi[h, w] += 1
+                history[h] += 1
+
+    def discounts(counts):
+        n = Counter(counts.values())
+        common = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+        out = {}
+        for r in range(1, k + 1):
+            x = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0
+            out[r] = x if 0 < x < 1 else (r - (n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5)) / r
+        return lambda c: c * out.get(c, 1.0)
+
+    du, db = discounts(uni), discounts(bi)
+    total = sum(uni.values())
+    denominator = total + (not any(c <= k for c in uni.values()))
+    unknown = 1 - sum(du(c) for c in uni.values()) / denominator if total else 1.0
+    p1 = lambda w: du(uni[w]) / denominator if uni[w] else unknown
+
+    def p(h, w):
+        if not history[h]:
+            return p1(w)
+        seen = {x: c for (g, x), c in bi.items() if g == h}
+        bottom = history[h] + (not any(c <= k for c in seen.values()))
+        if w in seen:
+            return db(seen[w]) / bottom
+        left = 1 - sum(db(c) for c in seen.values()) / bottom
+        return left / (1 - sum(p1(x) for x in seen)) * p1(w)
+
+    return p, p1, uni, total, history
+
+
+def test_katz_scores(docs, none, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 4000)
+    rows = [(i, t) for i, t in DOCS if i is None or i not in (16, 17)]
+    p, p1, uni, total, history = _katz(rows)
+    for h in ["<s>", "the", "</s>x", *list(history)[:20]]:  # every distribution sums to one, with one unknown word
+        assert abs(sum(p(h, w) for w in uni) + p(h, "<unknown>") - 1) < 1e-9
+    got = lm.score(docs.where("doc_id is null or doc_id not in (16, 17)"), bucket=20).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        seq = [*_words(texts[r.doc_id]), "</s>"]
+        assert r.train_tokens == total and r.n_tokens == len(seq) and r.n_known == sum(uni[w] > 0 for w in seq)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+        assert r.base_score == pytest.approx(sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in seq))
+        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *seq], seq))), r.doc_id
+    assert lm.score(none).count() == 0
+    alone = lm.score(docs.where("doc_id = 4"), held=F.lit(True)).first()
+    assert alone.train_tokens == 0 and alone.score == 0 and alone.base_score == 0
+
+
+def test_decontamination(spark, docs, none):
+    items = [(1, BASE), (2, "A question about seven wizards in the quarry. The answer is violet ink and nothing else"), (3, None), (4, "too short"), (None, BASE), (1, BASE), (5, "")]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect())
+    want = Counter()
+    for i, t in DOCS:
+        for j, q in items:
+            if j is not None and q and len(_words(q)) >= 5 and len(_set(q) & _set(t)) >= 0.8 * len(_set(q)):
+                want[i, j] += 1
+    assert got == want and (0, 1) in want
+    several = Counter((r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench, pass_bytes=60).collect())
+    assert several == want
+    clean = decontaminate.keep_clean(docs, bench, pass_bytes=60)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in DOCS} - {i for i, _ in want}
+    assert decontaminate.matches(none, bench).count() == 0
+    assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.keep_clean(docs, bench.limit(0)).count() == len(DOCS)
+
+
+def test_decontamination_finds_items_across_passage_borders(spark):
+    item = " ".join(f"q{i}" for i in range(50))
+    rows = [(k, " ".join([f"w{j}" for j in range(k)] + [item] + [f"v{j}" for j in range(300)])) for k in range(0, 200, 9)]
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {k for k, _ in rows}
+
+
+def test_toxicity(spark, docs, none):
+    rows = [(i, ("you are a vile scoundrel " if i % 5 == 0 else "what a fine day ") + f"thing{i % 40} other{i % 17}", i) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, labels int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)] + [(None, 1), (3, None), (10, 0), (9999, 1)], "doc_id long, toxic int")
+    got = toxicity.score_documents(d, labels).collect()
+    assert len(got) == 600
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) == (r.doc_id % 5 == 0)
+    clean = toxicity.keep_clean(d, labels)
+    assert clean.columns == d.columns and clean.count() == 480
+    assert toxicity.score_documents(docs, labels.limit(0)).count() == len(DOCS)
+    assert toxicity.score_documents(none, labels).count() == 0
+    odd = toxicity.score_documents(docs, labels).collect()
+    assert {r.score for r in odd if r.doc_id in (4, 5, 6)}.__len__() == 1
+
+
+def test_warc_round_trip(spark):
+    big = "<p>" + "x" * 1200
+    rows = [(1, "http://a", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (6, "http://f", "é" * 600), (7, "http://g", big), (8, "", "ö" * 500), (9, "h", "ö" * 500), (9, "h", "ö" * 500), (None, "n", big)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, kind int").repartition(3)
+    files = []
+    for _ in range(2):
+        root = work_path(spark, "warc-test")
+        m = warc.write(pages, root, range_bytes=3000, roll_bytes=700)
+        files.append(sorted((r.name, r.sha256, r.records) for r in m.collect()))
+        got = warc.read(spark, root).collect()
+        assert sorted(map(str, (r.page_id for r in got))) == sorted(str(r[0]) for r in rows)
+        want = {1: ("revisit", 7), 2: ("revisit", 7), 7: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), 8: ("revisit", 9), 9: ("response", None), None: ("response", None)}
+        for r in got:
+            body = (dict((i, h) for i, _, h in rows)[r.page_id] or "").encode()
+            assert (r.record_type, r.refers_to) == want[r.page_id] and r.payload_bytes == len(body) and r.payload_digest == hashlib.sha1(body).hexdigest()
+    assert files[0] == files[1] and len(files[0]) > 2
+    root = work_path(spark, "warc-test")
+    assert warc.write(pages.limit(0), root).count() == 0 and warc.read(spark, root).count() == 0
+
+
+def test_flac_columns(docs, none):
+    media = flac.encode_column(docs)
+    got = {r.doc_id: r for r in flac.features(media).collect()}
+    texts = dict(DOCS)
+    for i, r in got.items():
+        raw = (texts[i] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert got[0].media_sha256 == got[1].media_sha256 and got[0].feature == got[1].feature and got[4].media_sha256 == got[5].media_sha256
+    blocks = flac.pcm_blocks(media).where("doc_id = 16").orderBy("sample_offset").collect()
+    assert [b.sample_offset for b in blocks] == [k * flac.BLOCK for k in range(len(blocks))] and b"".join(b.pcm for b in blocks).startswith(b"word0 word1")
+    assert flac.features(flac.encode_column(none)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary here")
+def test_token_columns(docs, none):
+    got = {r.doc_id: r for r in sentencepiece.encode(docs).collect()}
+    counts = {r.doc_id: r.n_tokens for r in tokencount.count(docs).collect()}
+    for i, t in DOCS:
+        assert got[i].decoded == (t or "") and got[i].n_tokens == len(got[i].ids) == counts[i]
+    assert sentencepiece.encode(none).count() == 0 and tokencount.count(none).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary here")
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    toxic = [(100 + i, f"you vile scoundrel number {i} of {BASE[i % 50:]}") for i in range(40)]
+    plain = [(200 + i, f"a plain text number {i} about {BASE.split()[i % 20]} and topic {i * 7 % 31} of the day") for i in range(300)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in [*DOCS, *toxic, *plain]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 1) for i, _ in toxic] + [(i, 1, 0) for i, _ in plain], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "unrelated text without any shared run of words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns, name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 13 not in got and not any(i in got for i, _ in toxic) and 0 in got and 1 in got and got[1].n_tokens == 0 and 4 in got
