@@ -17,8 +17,9 @@ RAW_SCHEMA = "url string, url_hash string, title string, content string, content
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = RAW_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """Well-formed rows, and the lines that aren't JSON objects."""
-    rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema + ", _bad string").json(path)
-    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_size": F.col("_metadata.file_size")})
+    parsed = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(parsed.alias("r"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")).select("r.*", "_file", "_size")
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad", "_file")
 
 
