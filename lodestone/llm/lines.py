@@ -31,6 +31,8 @@ from lodestone.runtime import drop, materialize, release
 THRESHOLD, MIN_CHARS = 2, 20
 #: Classes that share a segment before their texts go along; such segments that are broadcast (8 bytes each).
 HOT, BROADCAST_KEYS = 32, 100_000
+#: Classes of pairs up to this number are broadcast (8 bytes each) to pick their texts.
+BROADCAST_IDS = 400_000
 
 
 def _key(line: Column) -> Column:
@@ -45,14 +47,14 @@ def _segment(length: Column, i: Column, threshold: int) -> tuple[Column, Column]
 
 
 def _index(first: DataFrame, threshold: int) -> DataFrame:
-    """(k, a): the key of each segment of each class."""
+    """(k, a, ka): the key of each segment of each class."""
     rows = first.select("id", "key", "n", F.explode(F.array(*map(F.lit, range(threshold + 1)))).alias("i"))
     start, size = _segment(F.col("n"), F.col("i"), threshold)
-    return rows.select(F.xxhash64(F.substring("key", start, size), "n", "i").alias("k"), F.col("id").alias("a"))
+    return rows.select(F.xxhash64(F.substring("key", start, size), "n", "i").alias("k"), F.col("id").alias("a"), F.col("key").alias("ka"))
 
 
 def _probe(first: DataFrame, threshold: int) -> DataFrame:
-    """(k, b): the substrings of each class that can be a segment of a line at most ``threshold`` shorter."""
+    """(k, b, kb): the substrings of each class that can be a segment of a line at most ``threshold`` shorter."""
     steps = []
     for less in range(threshold + 1):
         for i in range(threshold + 1):
@@ -62,7 +64,7 @@ def _probe(first: DataFrame, threshold: int) -> DataFrame:
     rows = first.select("id", "key", "n", F.explode(step).alias("s")).select("id", "key", "n", (F.col("n") - F.col("s.less")).alias("m"), F.col("s.i").alias("i"), F.col("s.o").alias("o"))
     start, size = _segment(F.col("m"), F.col("i"), threshold)
     rows = rows.select("id", "key", "n", "m", "i", (start + F.col("o")).alias("start"), size.alias("size")).where("start >= 1 and start + size - 1 <= n")
-    return rows.select(F.xxhash64(F.substring("key", F.col("start"), F.col("size")), "m", "i").alias("k"), F.col("id").alias("b"))
+    return rows.select(F.xxhash64(F.substring("key", F.col("start"), F.col("size")), "m", "i").alias("k"), F.col("id").alias("b"), F.col("key").alias("kb"))
 
 
 def _word_parity(key: Column) -> Column:
@@ -116,18 +118,14 @@ def _pairs(first: DataFrame, threshold: int) -> DataFrame:
     text, and pairs that can't be near don't leave the join.
     """
     index, probe = _index(first, threshold), _probe(first, threshold)
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    hot = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("k"), "hot")
-    number = hot.count()
-    if not number:
-        return index.hint("shuffle_hash").join(probe, "k").where("a <> b").select(*pair).distinct()
-    few = F.broadcast(hot) if number <= BROADCAST_KEYS else hot
-    cool = index.join(few, "k", "left_anti").hint("shuffle_hash").join(probe, "k").where("a <> b").select(*pair)
-    text = first.select("id", "key")
-    x = index.join(few, "k", "left_semi").join(text.toDF("a", "ka"), "a")
-    y = probe.join(few, "k", "left_semi").join(text.toDF("b", "kb"), "b")
-    warm = x.join(y, "k").where((F.col("a") != F.col("b")) & (F.levenshtein("ka", "kb", threshold) >= 0)).select(*pair)
-    return cool.unionAll(warm).distinct()
+    hot = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("k", F.lit(True).alias("hot")), "hot")
+    few = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    text = lambda c: F.when(F.col("hot"), F.col(c)).alias(c)
+    x = index.join(few, "k", "left").select("k", "a", text("ka"))
+    y = probe.join(few, "k", "left").select("k", "b", text("kb"))
+    near = F.expr(f"a <> b and (ka is null or levenshtein(ka, kb, {threshold}) >= 0)")
+    pairs = x.hint("shuffle_hash").join(y, "k").where(near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -156,7 +154,10 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     first = materialize(first, "classes")
     release(spark)
     text = first.select("id", "doc_id", "line", "key", "h", "g")
-    pairs = _pairs(first, threshold)
+    pairs = materialize(_pairs(first, threshold), "pairs")
+    ids = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
+    # only the texts of pairs are dealt out
+    text = text.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     both = pairs.join(text.toDF("a", "da", "la", "ka", "ha", "ga"), "a").join(text.toDF("b", "db", "lb", "kb", "hb", "gb"), "b")
     possible = _possible(F.col("ka"), F.col("kb"), threshold)
     near = both.where(F.when(possible, within(F.col("ka"), F.col("kb"), threshold)).otherwise(False))

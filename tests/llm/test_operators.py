@@ -339,7 +339,7 @@ def test_token_columns(docs, none):
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
-    toxic = [(100 + i, f"you vile scoundrel number {i} of {BASE[i % 50:]}") for i in range(40)]
+    toxic = [(100 + i, f"you vile scoundrel number {i} go away from topic {i % 31}") for i in range(40)]
     plain = [(200 + i, f"a plain text number {i} about {BASE.split()[i % 20]} and topic {i * 7 % 31} of the day") for i in range(300)]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in [*DOCS, *toxic, *plain]]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
