@@ -42,7 +42,7 @@ from lodestone.runtime import drop, materialize, release
 U64 = np.uint64
 WIDTH, GRAM = 50, 20
 #: Text handled at once, hash buckets at least, fragments of a hash bucket and of a suffix bucket.
-PIECE, BUCKETS, BUCKET, SUFFIX_BUCKET = 1 << 20, 64, 700_000, 8_000
+PIECE, BUCKETS, BUCKET, SUFFIX_BUCKET = 1 << 19, 64, 500_000, 8_000
 #: Grams with more different fragments than this are aggregated by window.
 HOT = 8_000
 BROADCAST_IDS = 400_000
@@ -82,7 +82,7 @@ def fragments(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[n
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in K.slices(batches, "text"):
+    for part in K.slices(batches, "text", 2 << 20):
         data, offs = K.texts(part.column("text"))
         sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offs)), pa.array(sha)], ["doc_id", "n_bytes", "sha256"])
@@ -90,7 +90,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deal(width: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches, "text"):
+        for part in K.slices(batches, "text", 2 << 20):
             data, offs = K.texts(part.column("text"))
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             found = [(i, *fragments(data[a:b], width, gram)[2:]) for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)) if b - a >= width]
@@ -158,7 +158,7 @@ def _cut_out(width: int, gram: int):
     """The bytes of the fragments that are to be looked into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches, "text"):
+        for part in K.slices(batches, "text", 2 << 20):
             data, offs = K.texts(part.column("text"))
             ids, wanted = part.column("doc_id").to_pylist(), part.column("partial")
             rows = []
@@ -349,7 +349,7 @@ def _assemble(width: int, gram: int):
     """Per document: removed spans and the digest of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches, "text"):
+        for part in K.slices(batches, "text", 2 << 20):
             data, offs = K.texts(part.column("text"))
             full, wholes, windows = part.column("full"), part.column("wholes"), part.column("windows")
             rows = []
@@ -458,7 +458,7 @@ def _with_sha(both: DataFrame, width: int, gram: int) -> DataFrame:
     inner = _assemble(width, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in K.slices(batches, "text"):
+        for part in K.slices(batches, "text", 2 << 20):
             data, offs = K.texts(part.column("text"))
             sha = pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offs[:-1], offs[1:], strict=True)])
             for out in inner(iter([part])):
