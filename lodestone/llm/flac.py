@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import kernel as K
 
 #: Samples of a frame, frames coded at once, order of the LPC predictor, bits of its coefficients.
-BLOCK, LANES, ORDER, PRECISION = 1024, 4096, 4, 10
+BLOCK, LANES, ORDER, PRECISION = 1024, 2048, 4, 10
 RATE = 8000
 #: Fixed values of the format: coefficients of the fixed predictors by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
