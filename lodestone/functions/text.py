@@ -182,3 +182,11 @@ def json_block(text: Column) -> Column:
     """The first [...] of a model's answer, outside of code fences; null without one."""
     bare = F.regexp_replace(text, "```(?:json)?", "")
     return F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit(""))
+
+
+def window_chunks(text: Column, size: int = 200, overlap: int = 50) -> Column:
+    """Windows of ``size`` words that share ``overlap`` with the next; none for a blank text."""
+    w = words(text)
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - size) / F.lit(step)), F.lit(0)).cast("int"))
+    return F.when(F.size(w) > 0, F.transform(starts, lambda k: F.array_join(F.slice(w, k * step + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))

@@ -178,3 +178,10 @@ def find_path(edges: DataFrame, start: int, end: int, depth: int = 4) -> DataFra
         level = materialize(level, "paths")  # each level is read by all later ones
         seen = seen.unionAll(level)
     return seen.where(F.col("at") == end).select("path", (F.size("path") - 1).alias("depth"))
+
+
+def prerequisite_elements(chunks: DataFrame) -> DataFrame:
+    """One JSON element per chunk of the prerequisite graph: its topic as the label, its first part as the gate."""
+    label = F.coalesce(F.get("gate_path", F.lit(2)), F.lit("Unknown"))
+    data = F.struct(F.col("chunk_id").cast("string").alias("id"), label.alias("label"), F.get("gate_path", F.lit(0)).alias("gate"))
+    return chunks.select("chunk_id", F.to_json(F.struct(data.alias("data"))).alias("element"))

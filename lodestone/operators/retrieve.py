@@ -216,3 +216,11 @@ def search_reduction(nodes: DataFrame, gate_id: int, branch_id: int, difficulty:
     b = g & (F.col("branch_id") == branch_id)
     d = b & (F.col("difficulty_id") <= difficulty)
     return nodes.agg(F.count("*").alias("total"), F.count_if(g).alias("gate"), F.count_if(b).alias("branch"), F.count_if(d).alias("level"))
+
+
+def by_names(nodes: DataFrame, gates: DataFrame, gate: str, path: list[str] | None = None, level: str | None = None) -> DataFrame:
+    """Nodes of a gate given by name (gates: gate_id, gate), of a path and up to a level."""
+    rows = nodes.join(F.broadcast(gates.where(F.col("gate") == gate)), "gate_id")  # one row by its name
+    if path:
+        rows = rows.where(contains_all(F.col("path"), path))
+    return rows.where(F.col("difficulty_id") <= LEVELS[level]) if level else rows

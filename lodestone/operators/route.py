@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,3 +143,50 @@ def format_taxonomy(tree: list[dict], most: int = 5, depth: int = 3, lines: int
 
     walk(tree, 0)
     return "\n".join(out[:lines])
+
+
+def assign_batches(chunks: DataFrame, workers: int, size: int = 10) -> DataFrame:
+    """Batch and worker of each chunk: batches of ``size`` by gate in order of id, dealt in turn."""
+    n = F.row_number().over(Window.partitionBy("gate").orderBy("chunk_id")) - 1
+    return chunks.withColumn("batch", F.floor(n / size).cast("int")).withColumn("worker", F.col("batch") % workers)
+
+
+def classify(chunks: DataFrame, ask: Callable[[str, list[str]], str], size: int = 10) -> DataFrame:
+    """(chunk_id, answer): labels of a text model, asked for up to ``size`` chunks of one gate at a time.
+
+    ``ask(gate, texts)`` answers with a JSON list of objects that have ``n``, the
+    text's place in the question; answers are matched by it, others are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for gate, group in frame.groupby("gate", sort=True):
+                for at in range(0, len(group), size):
+                    part = group.iloc[at : at + size]
+                    reply = ask(gate, [c[:500] for c in part["content"]])
+                    found = re.search(r"\[.*\]", reply, re.S)
+                    try:
+                        answers = json.loads(found[0]) if found else []
+                    except ValueError:
+                        answers = []
+                    for a in answers:
+                        if isinstance(a, dict) and isinstance(a.get("n"), int) and 0 <= a["n"] < len(part):
+                            out.append((int(part["chunk_id"].iloc[a["n"]]), json.dumps(a)))
+            yield pd.DataFrame(out, columns=["chunk_id", "answer"])
+
+    return chunks.select("chunk_id", "gate", "content").mapInPandas(run, "chunk_id long, answer string")
+
+
+def cached_centroids(points: DataFrame, path: str, per_gate: int | None = None) -> DataFrame:
+    """Centroids from the table at ``path``, which is made if it isn't there."""
+    spark = points.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        centroids(points, per_gate).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def gate_model(gates: DataFrame, name: str) -> DataFrame:
+    """Model and provider of a gate."""
+    return gates.where(F.col("name") == name).select("specialist_model", "provider")

@@ -15,6 +15,7 @@ from lodestone.hooks import Hooks
 from lodestone.operators import clean, dedup, encode, graph, reason, retrieve, route, stats
 from lodestone.plans import fixtures as X
 from lodestone.plans import sql as S
+from lodestone.sources import catalogue as catalogue_sources
 from lodestone.sources import jsonl, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -735,4 +736,42 @@ def reasoning_loop(spark, d):
     return answers
 
 
+@query(f"""
+    WITH w AS (SELECT doc_id, {S.words('text')} AS w FROM documents),
+    k AS (SELECT doc_id, w, unnest(range(0, 1 + CAST(greatest(ceil((len(w) - 200) / 150.0::DOUBLE), 0) AS BIGINT))) AS k FROM w WHERE len(w) > 0)
+    SELECT doc_id AS chunk_id, CAST(k AS INTEGER) AS window, array_to_string(w[k * 150 + 1 : k * 150 + 200], ' ') AS content FROM k
+""")
+def window_chunks(spark, d):
+    return X.chunks(spark, d).select("chunk_id", F.posexplode(T.window_chunks(F.col("content"))).alias("window", "content")).withColumn("window", F.col("window").cast("int"))
+
+
+@query("""
+    SELECT doc_id AS chunk_id, source AS gate, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS INTEGER) AS batch,
+        CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 % 3 AS INTEGER) AS worker FROM documents
+""")
+def batch_assignment(spark, d):
+    return route.assign_batches(X.chunks(spark, d).select("chunk_id", F.col("source").alias("gate")), 3)
+
+
+@query("""
+    SELECT p_brand AS source_type, CAST(count(*) AS BIGINT) AS n, round(sum(CAST(p_size AS DOUBLE)), 6) AS gb FROM part GROUP BY p_brand
+""")
+def source_manifest(spark, d):
+    rows = X.table(spark, d, "part").select(F.col("p_brand").alias("source_type"), F.col("p_size").cast("double").alias("size_gb"))
+    return catalogue_sources.manual_manifest(rows)
+
+
+@query(f"""
+    WITH {X.PATHED} SELECT chunk_id, '{{"data":{{"id":"' || chunk_id || '","label":"' || gate_path[3] || '","gate":"' || gate_path[1] || '"}}}}' AS element FROM pathed
+""")
+def prereq_elements(spark, d):
+    return graph.prerequisite_elements(X.pathed(spark, d))
+
+
+@query(f"WITH {X.NODES} SELECT node_id, gate_id FROM nodes WHERE gate_id = 3 AND list_contains(path, 't1') AND difficulty_id <= 3")
+def filter_by_names(spark, d):
+    names = spark.createDataFrame([(i, f"gate {i}") for i in range(10)], "gate_id int, gate string")
+    return retrieve.by_names(X.nodes(spark, d), names, "gate 3", ["t1"], "advanced").select("node_id", "gate_id")
+
+
 FLAGSHIP = hybrid_rank

@@ -69,3 +69,8 @@ def write_graph(elements: DataFrame, path: str) -> None:
 def write_graphml(lines: DataFrame, path: str) -> None:
     """A GraphML document is one file by its format; its lines come in order."""
     lines.orderBy("part", "name").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """A report of a few rows, as JSON."""
+    stats.coalesce(1).write.mode("overwrite").json(path)

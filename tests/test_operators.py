@@ -277,3 +277,27 @@ def test_entry_and_catalogue(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_source_catalogue(spark, tmp_path):
+    from lodestone.sources import catalogue as sources
+
+    config = {"A": {"huggingface": [{"name": "x/y", "split": "train", "size_gb": 0.5}], "pdfs": [{"name": "p", "size_gb": 2.0, "url": "u"}, {"name": "q", "size_gb": 1.0}], "total_gb": 3.5}}
+    c = sources.catalogue(spark, config)
+    assert c.count() == 3 and rows(sources.manual_manifest(c)) == [("pdfs", 2, 3.0)]
+    assert c.select(F.max(sources.item_limit(F.col("size_gb")))).first()[0] == 100_000
+    spark.range(50).write.parquet(str(tmp_path / "d"))
+    assert sources.scan(spark, str(tmp_path / "d"), 20 / 104857.6).count() == 20
+
+
+def test_batched_labels_are_matched_by_place(spark):
+    c = chunks(spark, ["one", "two", "three"]).withColumn("gate", F.lit("G")).coalesce(1)
+    got = route.classify(c, lambda gate, texts: 'sure: [{"n": 1, "label": "%s"}, {"n": 9}, 3]' % texts[1])
+    assert [(r.chunk_id, json.loads(r.answer)["label"]) for r in got.collect()] == [(1, "two")]
+    assert route.classify(c, lambda g, t: "no list [").count() == 0
+
+
+def test_cached_centroids(spark, tmp_path):
+    p = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0])], "node_id long, gate_id int, vector array<float>")
+    assert route.cached_centroids(p, str(tmp_path / "c")).first().centroid == [0.5, 0.5]
+    assert route.cached_centroids(p.limit(0), str(tmp_path / "c")).count() == 1
