@@ -87,7 +87,8 @@ def within(x: Column, y: Column, threshold: int) -> Column:
         match = F.lit(0)
         for b in range(width):
             match = match.bitwiseOR(F.when(F.get(xs, i + (b - t)) == c, F.lit(1 << b)).otherwise(F.lit(0)))
-        return F.struct(xs.alias("xs"), s["ys"].alias("ys"), *_step(s, match, t, full))
+        # a lambda over one element evaluates the mask once
+        return F.get(F.transform(F.array(match), lambda m: F.struct(xs.alias("xs"), s["ys"].alias("ys"), *_step(s, m, t, full))), F.lit(0))
 
     end = F.aggregate(F.sequence(F.lit(0), ly - 1), start, step)
     near = F.abs(lx - ly) <= t
