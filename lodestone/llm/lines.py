@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import drop, materialize, release
+from lodestone.runtime import drop, materialize, maybe_broadcast, release
 
 #: Edits, and characters of a line that takes part.
 THRESHOLD, MIN_CHARS = 2, 20
@@ -177,7 +177,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of the documents, ``text`` without the removed lines, and the numbers of lines before and after."""
     names = docs.columns
-    gone = removed_lines(docs, threshold, min_chars).toDF("__doc", "__gone")
+    gone = maybe_broadcast(removed_lines(docs, threshold, min_chars)).toDF("__doc", "__gone")
     out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").drop("__doc")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))
