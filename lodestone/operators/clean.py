@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
-from lodestone.runtime import materialize
+from lodestone.runtime import materialize, number_rows
 
 
 def clean_chunks(chunks: DataFrame, mode: str = "faithful", every: int = 20) -> DataFrame:
@@ -42,14 +41,8 @@ def clean_chunks(chunks: DataFrame, mode: str = "faithful", every: int = 20) ->
 
 
 def sampled(chunks: DataFrame, every: int) -> DataFrame:
-    """Each ``every``-th row by chunk_id. The position is found from counts of id
-    ranges, so that no task orders all rows."""
-    spans = 256
-    b = chunks.agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("b"))
-    rows = chunks.crossJoin(F.broadcast(b)).withColumn("span", ((F.col("chunk_id") - F.col("a")) * spans / (F.col("b") - F.col("a") + 1)).cast("int")).drop("a", "b")
-    before = rows.groupBy("span").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    within = F.row_number().over(Window.partitionBy("span").orderBy("chunk_id"))
-    return rows.withColumn("within", within).join(F.broadcast(before), "span").where((F.col("within") + F.col("before")) % every == 0).drop("span", "before", "within")
+    """Each ``every``-th row by chunk_id."""
+    return number_rows(chunks, "chunk_id", name="_n").where((F.col("_n") + 1) % every == 0).drop("_n")
 
 
 def reject_stats(cleaned: DataFrame) -> DataFrame:

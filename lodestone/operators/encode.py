@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lodestone.runtime import number_rows
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 MIN_FREQUENCY, CLUSTERS = 5, 500
@@ -20,22 +21,9 @@ def occurrences(chunks: DataFrame) -> DataFrame:
 
 
 def vocabulary(chunks: DataFrame, min_frequency: int = MIN_FREQUENCY) -> DataFrame:
-    """(token, id, frequency) of frequent tokens; ids count all distinct tokens in order of their first occurrence.
-
-    Ordinals come from sorted ranges: rows are range-partitioned by first
-    occurrence, numbered within ranges of it, and offset by the ranges' sizes.
-    """
+    """(token, id, frequency) of frequent tokens; ids count all distinct tokens in order of their first occurrence."""
     counted = occurrences(chunks).groupBy("token").agg(F.count("*").alias("frequency"), F.min(F.struct("chunk_id", "pos")).alias("first"))
-    span = F.col("first.chunk_id")
-    ranged = counted.withColumn("span", F.floor(span / 64))
-    before = ranged.groupBy("span").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    within = F.row_number().over(Window.partitionBy("span").orderBy("first"))
-    return (
-        ranged.withColumn("within", within)
-        .join(before, "span")
-        .where(F.col("frequency") >= min_frequency)
-        .select("token", (F.col("within") + F.col("before") - 1).alias("id"), "frequency")
-    )
+    return number_rows(counted, "first", name="id").where(F.col("frequency") >= min_frequency).select("token", "id", "frequency")
 
 
 def encode(chunks: DataFrame, vocab: DataFrame) -> DataFrame:

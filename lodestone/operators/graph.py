@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
-from lodestone.runtime import drop, materialize
+from lodestone.runtime import drop, materialize, number_rows
 
 #: Relations that a triplet may have, and the communities' colours.
 RELATIONS = [
@@ -102,8 +102,7 @@ def communities(graph: DataFrame, rounds: int = 8) -> DataFrame:
         if same:
             break
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    # ranks over one row per community
-    number = sizes.withColumn("community", (F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1).cast("int"))
+    number = number_rows(sizes, F.desc("size"), F.col("label"), name="community").withColumn("community", F.col("community").cast("int"))
     return labels.join(number.select("label", "community"), "label").select("name", "community")
 
 

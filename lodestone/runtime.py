@@ -7,8 +7,9 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Tables whose estimated size is at most this may be broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -63,6 +64,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
+    """Add the position of each row, from 0, in a total order of all rows.
+
+    The rows are sorted by ranges and written once; positions within a
+    partition are offset by the sizes of those before it (a row each), so that
+    no task sees all rows.
+    """
+    rows = materialize(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__id", 33))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.groupBy("__part").count().withColumn("__before", before).drop("count")
+    within = F.col("__id").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(offsets), "__part").withColumn(name, within + F.col("__before")).drop("__id", "__part", "__before")
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` returned."""
     spark = df.sparkSession
