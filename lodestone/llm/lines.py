@@ -6,9 +6,8 @@ class is put under ``threshold`` + 1 segments with its length; by the
 pigeonhole principle, a line within the threshold contains one of them near its
 place, so each class probes the segments of its own and of slightly shorter
 lengths with the substrings that multi-match-aware selection leaves. Pairs
-are tested by the parities of their words, of which an edit changes three at
-most, and by the compiled banded distance with a bound; what that leaves, the
-near lines, is verified by banded bit-parallel edit distance: for each number of errors k a word holds, for the diagonals of the
+are first tested by the compiled banded distance with a bound; what that
+leaves, the near lines, is verified by banded bit-parallel edit distance: for each number of errors k a word holds, for the diagonals of the
 band, which prefixes are within k edits; a character of the line updates all.
 
 An occurrence is removed if its text occurred before (by document id, then
@@ -67,11 +66,6 @@ def _probe(first: DataFrame, threshold: int) -> DataFrame:
     return rows.select(F.xxhash64(F.substring("key", F.col("start"), F.col("size")), "m", "i").alias("k"), F.col("id").alias("b"), F.col("key").alias("kb"))
 
 
-def _word_parity(key: Column) -> Column:
-    """An edit changes at most three words."""
-    return F.aggregate(F.split(key, " "), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(64)))))
-
-
 def within(x: Column, y: Column, threshold: int) -> Column:
     """Whether two strings are within ``threshold`` edits, by a banded bit-parallel automaton."""
     t, width = threshold, 2 * threshold + 1
@@ -87,8 +81,7 @@ def within(x: Column, y: Column, threshold: int) -> Column:
         match = F.lit(0)
         for b in range(width):
             match = match.bitwiseOR(F.when(F.get(xs, i + (b - t)) == c, F.lit(1 << b)).otherwise(F.lit(0)))
-        # a lambda over one element evaluates the mask once
-        return F.get(F.transform(F.array(match), lambda m: F.struct(xs.alias("xs"), s["ys"].alias("ys"), *_step(s, m, t, full))), F.lit(0))
+        return F.struct(xs.alias("xs"), s["ys"].alias("ys"), *_step(s, match, t, full))
 
     end = F.aggregate(F.sequence(F.lit(0), ly - 1), start, step)
     near = F.abs(lx - ly) <= t
@@ -106,12 +99,6 @@ def _step(s: Column, match: Column, t: int, full: int) -> list[Column]:
     return [c.alias(f"r{k}") for k, c in enumerate(out)]
 
 
-def _possible(x: Column, y: Column, threshold: int) -> Column:
-    """Tests that compiled expressions can do: word parities, then a banded distance with a bound."""
-    parity = F.bit_count(_word_parity(x).bitwiseXOR(_word_parity(y))) <= 3 * threshold
-    return F.when(parity, F.levenshtein(x, y, threshold) >= 0).otherwise(False)
-
-
 def _pairs(first: DataFrame, threshold: int) -> DataFrame:
     """(a, b): pairs of classes that share a segment.
 
@@ -160,7 +147,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     # only the texts of pairs are dealt out
     text = text.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     both = pairs.join(text.toDF("a", "da", "la", "ka", "ha", "ga"), "a").join(text.toDF("b", "db", "lb", "kb", "hb", "gb"), "b")
-    possible = _possible(F.col("ka"), F.col("kb"), threshold)
+    possible = F.levenshtein("ka", "kb", threshold) >= 0
     near = both.where(F.when(possible, within(F.col("ka"), F.col("kb"), threshold)).otherwise(False))
     a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("la") < F.col("lb")))
     late = materialize(near.select(F.when(a_first, F.col("hb")).otherwise(F.col("ha")).alias("h"), F.when(a_first, F.col("gb")).otherwise(F.col("ga")).alias("g")).distinct(), "late")
