@@ -5,10 +5,11 @@ Lines (between "\\n", compared without white space at their ends) of at least
 class is put under ``threshold`` + 1 segments with its length; by the
 pigeonhole principle, a line within the threshold contains one of them near its
 place, so each class probes the segments of its own and of slightly shorter
-lengths with the substrings that multi-match-aware selection leaves. Pairs
-are first tested by the compiled banded distance with a bound; what that
-leaves, the near lines, is verified by banded bit-parallel edit distance: for each number of errors k a word holds, for the diagonals of the
-band, which prefixes are within k edits; a character of the line updates all.
+lengths with the substrings that multi-match-aware selection leaves. Pairs are
+first tested by the compiled banded distance with a bound; what that leaves,
+the near lines, is verified by banded bit-parallel edit distance: for each
+number of errors k a word holds, for the diagonals of the band, which prefixes
+are within k edits; a character of the line updates all.
 
 An occurrence is removed if its text occurred before (by document id, then
 line), or if its text is within the threshold of one that occurred before.
