@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from lodestone.llm import kernel as K
 from lodestone.llm.pieces import MODEL, SPACE, Pretokens, Vocabulary, pretokens
 
-#: Words that a worker remembers.
-REMEMBERED = 600_000
+#: Text bytes handled at once, words that a worker remembers.
+SLICE = 2 << 20
+REMEMBERED = 400_000
 
 
 def match(data: np.ndarray, offs: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,13 +222,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, decode: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = worker_encoder(v), Decoder(v)
-        for part in K.slices(batches, "text"):
+        for part in K.slices(batches, "text", SLICE):
             ids, offs = encoder(*K.texts(part.column("text")))
             cols = [part.column("doc_id"), pa.array(np.diff(offs)), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))]
             if decode:
                 data, at = decoder(ids, offs)
                 cols.append(pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
+            del cols, ids, offs
+            K.tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>" + ", decoded string" * decode)
