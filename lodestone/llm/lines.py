@@ -148,10 +148,12 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     # only the texts of pairs are dealt out
     text = text.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     both = pairs.join(text.toDF("a", "da", "la", "ka", "ha", "ga"), "a").join(text.toDF("b", "db", "lb", "kb", "hb", "gb"), "b")
-    possible = F.levenshtein("ka", "kb", threshold) >= 0
-    near = both.where(F.when(possible, within(F.col("ka"), F.col("kb"), threshold)).otherwise(False))
     a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("la") < F.col("lb")))
-    late = materialize(near.select(F.when(a_first, F.col("hb")).otherwise(F.col("ha")).alias("h"), F.when(a_first, F.col("gb")).otherwise(F.col("ga")).alias("g")).distinct(), "late")
+    side = lambda c, early: F.when(a_first, F.col(f"{c}a" if early else f"{c}b")).otherwise(F.col(f"{c}b" if early else f"{c}a"))
+    near = both.where(F.levenshtein("ka", "kb", threshold) >= 0).select(side("h", False).alias("h"), side("g", False).alias("g"), F.struct(side("k", True).alias("early"), side("k", False).alias("late")).alias("t"))
+    # one earlier near line is enough to remove a line
+    near = near.groupBy("h", "g").agg(F.min("t").alias("t"))
+    late = materialize(near.where(within(F.col("t.early"), F.col("t.late"), threshold)).select("h", "g"), "late")
     release(spark)
     known = first.select("h", "g", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(late.withColumn("late", F.lit(True)), ["h", "g"], "left")
     gone = occurrences.join(known, ["h", "g"]).where("late or first_doc <> doc_id or first_line <> line").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
