@@ -26,8 +26,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, up to two edits, go; n_chars follows the text."""
-    out = lines.deduplicate(docs)
+    """Lines that repeat an earlier one go, from 20 characters up to two edits; blank lines stay; n_chars follows the text."""
+    out = lines.deduplicate(docs, exact_chars=1)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*(n_chars if c == "n_chars" else F.col(c) for c in docs.columns))
 

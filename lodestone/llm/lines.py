@@ -13,9 +13,11 @@ are within k edits; a character of the line updates all.
 
 An occurrence is removed if its text occurred before (by document id, then
 line), or if its text is within the threshold of one that occurred before.
+Lines below ``min_chars``, where two edits mean little, and of at least
+``exact_chars`` characters take part as exact copies only.
 
 Defined results: a null text stays null and has no lines; an empty text has one
-empty line; shorter lines always stay; rows with a null id stay whole and
+empty line; lines below both bounds always stay; rows with a null id stay whole and
 remove nothing; rows that repeat an id are taken as one document with one text:
 equal lines at the same place stay in each. Extra columns are kept.
 """
@@ -117,15 +119,18 @@ def _pairs(first: DataFrame, threshold: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, gone): numbers of the lines, from 0, that are removed from each document that loses any."""
+    exact_chars = min_chars if exact_chars is None else min(exact_chars, min_chars)
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     line = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc_id", "line", _key(F.col("raw")).alias("key"))
-    line = line.where(F.length("key") >= min_chars)
+    line = line.where(F.length("key") >= exact_chars)
     # the place of a line as one number: documents in order, then lines
     place = (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line")).cast("decimal(38,0)")
-    occurrences = materialize(line.select("doc_id", "line", F.xxhash64("key").alias("h"), F.hash("key").alias("g")), "occurrences")
+    short = [(F.length("key") < min_chars).alias("short")] if exact_chars < min_chars else []
+    every = materialize(line.select("doc_id", "line", F.xxhash64("key").alias("h"), F.hash("key").alias("g"), *short), "occurrences")
+    occurrences = every.where("not short").drop("short") if short else every
     classes = occurrences.groupBy("h", "g").agg(F.min(place).alias("place"))
     # of each document the lines that take part, in order, and whether their text is here first
     marked = occurrences.join(classes, ["h", "g"]).select("doc_id", F.struct("line", "h", (place == F.col("place")).alias("first")).alias("m"))
@@ -156,18 +161,23 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     late = materialize(near.where(within(F.col("t.early"), F.col("t.late"), threshold)).select("h", "g"), "late")
     release(spark)
     known = first.select("h", "g", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(late.withColumn("late", F.lit(True)), ["h", "g"], "left")
-    gone = occurrences.join(known, ["h", "g"]).where("late or first_doc <> doc_id or first_line <> line").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    gone = materialize(gone, "gone")
-    for x in (occurrences, first, late):
+    gone = occurrences.join(known, ["h", "g"]).where("late or first_doc <> doc_id or first_line <> line").select("doc_id", "line")
+    if short:
+        # all but the first of each class, told apart by place: a common line is no key of the join
+        copies = every.where("short").drop("short")
+        kept = copies.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("m")).select("m.doc_id", "m.line", "h", "g")
+        gone = gone.unionAll(copies.join(kept, ["doc_id", "line", "h", "g"], "left_anti").select("doc_id", "line"))
+    gone = materialize(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
+    for x in (every, first, late):
         drop(x)
     release(spark)
     return gone
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """All columns of the documents, ``text`` without the removed lines, and the numbers of lines before and after."""
     names = docs.columns
-    gone = maybe_broadcast(removed_lines(docs, threshold, min_chars)).toDF("__doc", "__gone")
+    gone = maybe_broadcast(removed_lines(docs, threshold, min_chars, exact_chars)).toDF("__doc", "__gone")
     out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").drop("__doc")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))

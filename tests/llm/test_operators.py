@@ -146,6 +146,20 @@ def test_line_dedup(docs, none, spark):
     assert set(docs.columns) <= set(lines.deduplicate(none).columns)
 
 
+def test_short_lines_go_as_exact_copies(spark):
+    import corpus_pipeline
+
+    text = {1: "short\n\na line of its own that is long enough\nshart", 2: " short \n\nshort\nshort one of two", 3: "x\nshort\na line of its own that is long enouge\nx", 5: None}
+    rows = [*text.items(), (4, "short"), (4, "x"), (None, "short")]
+    got = {(r.doc_id, r.n_lines): r for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), exact_chars=1).collect() if r.doc_id != 4}
+    assert got[1, 4].text == text[1] and got[2, 4].text == "\nshort one of two" and got[3, 4].text == "x"
+    assert got[None, 1].text == "short" and got[5, 0].text is None
+    want = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    assert want[2] == text[2] and want[3] == "x\nshort\nx"
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in text.items()], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: r.n_chars for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}[3] == 1
+
+
 def test_line_dedup_with_common_segments(spark, monkeypatch):
     """Variants of one line share segments; with a low bound they take the way for common ones."""
     base = "a line about nothing that goes on for quite a while and ends"
