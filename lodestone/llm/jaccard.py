@@ -160,11 +160,9 @@ def _sign(words: int, similarity: int, buckets: int, hot: dict[int, int]):
             sig, row = signatures(values, offs, bands)
             ids = part.column("doc_id").to_pylist()
             skip = np.array([d is None or hot.get(c, d) != d for c, d in zip(cid.tolist(), ids, strict=True)], bool)
-            once = np.zeros(len(cid), bool)  # a set signs once in a slice
-            once[np.unique(cid, return_index=True)[1]] = True
-            if hot:
-                once |= np.isin(cid, np.fromiter(hot, np.int64))
-            keep = (once & ~skip)[row]
+            once, live = np.zeros(len(cid), bool), np.flatnonzero(~skip)  # a set signs once in a slice
+            once[live[np.unique(cid[live], return_index=True)[1]]] = True
+            keep = once[row]
             sig, row = sig[keep], row[keep]
             bucket = (((sig >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
             order = np.lexsort((row, bucket)) if buckets > 1 << 16 else np.argsort(bucket.astype(np.uint16), kind="stable")

@@ -90,6 +90,14 @@ def test_jaccard_near_copies_in_a_large_group(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_jaccard_null_id_before_its_only_copy(spark):
+    words = [f"w{i}" for i in range(120)]
+    copy, near = " ".join(words), " ".join([*words[:-2], "x", "y"])
+    rows = [(None, copy), (5, copy), (None, near), (3, near)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (3, 3), (5, 3)]
+
+
 def _edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
