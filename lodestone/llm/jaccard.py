@@ -327,7 +327,8 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches, "text"):
             values, offs = K.shingle_sets(*K.texts(part.column("text")), words)
-            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array([values[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], ["cid", "elements"])
+            own = np.flatnonzero(set_ids(values, offs) == part.column("cid").to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(own)), pa.array([values[offs[i] : offs[i + 1]].tobytes() for i in own], pa.binary())], ["cid", "elements"])
 
     return run
 

@@ -98,6 +98,15 @@ def test_jaccard_null_id_before_its_only_copy(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (3, 3), (5, 3)]
 
 
+def test_jaccard_one_id_with_two_texts(spark):
+    """Each text's class links with its near copy, and is tested with its own set."""
+    a, b = [f"a{i}" for i in range(120)], [f"b{i}" for i in range(120)]
+    text = lambda w, *end: " ".join([*w[: len(w) - len(end)], *end])
+    rows = [(1, text(a)), (1, text(b)), (2, text(a, "x", "y")), (3, text(b, "x", "y"))]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def _edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
