@@ -43,8 +43,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text."""
-    return sentencepiece.encode(docs, decode=False)
+    """Token ids of every whole text, and the digest of the text decoded from them."""
+    out = sentencepiece.encode(docs)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -383,3 +383,12 @@ def test_pipeline(spark, docs, tmp_path):
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 13 not in got and not any(i in got for i, _ in toxic) and 0 in got and 1 in got and got[1].n_tokens == 0 and 4 in got
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary here")
+def test_pipeline_ids_give_the_text_back(spark):
+    import corpus_pipeline
+
+    texts = {1: BASE, 2: "Größe  3 € 日本\nnext line", 3: ""}
+    got = corpus_pipeline.tokenize(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
