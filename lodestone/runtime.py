@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +39,17 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a temporary folder
-    is made and set as the checkpoint folder.
+    Only where that setting is absent and all runs on one machine (tests) a
+    temporary folder is made, set as the checkpoint folder, and deleted at exit.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -53,6 +60,24 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _no_shuffle_left(spark: SparkSession) -> Iterator[None]:
+    """Within, no shuffle file outlives the execution that made it."""
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it again.
 
@@ -60,10 +85,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    with _no_shuffle_left(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def number_rows(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
     """Add the position of each row, from 0, in a total order of all rows.
 
@@ -92,14 +129,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):  # Python's references go first, then what they held in the JVM
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
