@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, jaccard, lines, sentencepiece, toxicity
-from lodestone.runtime import materialize
+from lodestone.runtime import drop, fresh, materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,10 +26,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, from 20 characters up to two edits; blank lines stay; n_chars follows the text."""
-    out = lines.deduplicate(docs, exact_chars=1)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*(n_chars if c == "n_chars" else F.col(c) for c in docs.columns))
+    """Lines that repeat an earlier one go, from 20 characters up to two edits; blank lines stay; n_chars follows a text that changes."""
+    before, removed = fresh(docs, "n_lines", "n_removed")
+    out = lines.deduplicate(docs, counts=(before, removed))
+    changed = {"n_chars": F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.withColumns(changed).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +63,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        following = materialize(stage(spark, docs, sf_dir), name)
+        if k:  # what this stage has read is no longer needed
+            drop(docs)
+        docs = following
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,76 +1,157 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines (between "\\n", compared without white space at their ends) of at least
-``min_chars`` characters are classes of equal text, identified by two hashes. A
-class is put under ``threshold`` + 1 segments with its length; by the
-pigeonhole principle, a line within the threshold contains one of them near its
-place, so each class probes the segments of its own and of slightly shorter
-lengths with the substrings that multi-match-aware selection leaves. Pairs are
-first tested by the compiled banded distance with a bound; what that leaves,
-the near lines, is verified by banded bit-parallel edit distance: for each
-number of errors k a word holds, for the diagonals of the band, which prefixes
-are within k edits; a character of the line updates all.
-
-An occurrence is removed if its text occurred before (by document id, then
-line), or if its text is within the threshold of one that occurred before.
-Lines below ``min_chars``, where two edits mean little, and of at least
-``exact_chars`` characters take part as exact copies only.
+Lines (between "\\n", compared without white space at their ends) are classes of
+equal text, identified by two hashes and represented by their first occurrence
+(by document id, then line). A class of at least ``min_chars`` characters is put
+under ``threshold`` + 1 segments with its length; by the pigeonhole principle, a
+line within the threshold contains one of them near its place, so each class
+probes the segments of its own and of slightly shorter lengths with the
+substrings that multi-match-aware selection leaves. Candidates whose counts of
+some sets of characters differ by more than edits can explain are dropped; the
+others are decided by banded bit-parallel edit distance on what lies between
+their common beginning and end: for each number of errors k a word holds, for
+the diagonals of the band, which prefixes are within k edits; a character of the
+line updates all.
+
+A segment that up to ``HOT`` classes share gives candidates as pairs of ids. The
+rows of a more common one carry their text and are put under a segment of the
+rest of the line as well (the same principle holds for the rest with the edits
+that are left); there only the existence of one earlier line is asked for, by
+semi joins, which make no pairs and which Spark splits where a key is skewed.
+
+An occurrence is removed if its text occurred before, or if its text is within
+the threshold of one that occurred before. So the lines of a document that stay
+are those classes' first occurrences in it that have no earlier near line, and
+its lines below ``exact_chars``; no row per occurrence is kept or joined. Lines
+below ``min_chars``, where two edits mean little, take part as exact copies only.
 
 Defined results: a null text stays null and has no lines; an empty text has one
 empty line; lines below both bounds always stay; rows with a null id stay whole and
-remove nothing; rows that repeat an id are taken as one document with one text:
-equal lines at the same place stay in each. Extra columns are kept.
+remove nothing; rows that repeat an id are taken as one document: equal lines at
+the same place stay in each, and of different ones at the same place each can
+stay. Extra columns are kept; one that has the name of an added count gives way to it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import drop, materialize, maybe_broadcast, release
+from lodestone.runtime import drop, fresh, materialize
 
-#: Edits, and characters of a line that takes part.
-THRESHOLD, MIN_CHARS = 2, 20
+#: Edits, and characters of a line that takes part in the edit join and in exact copies.
+THRESHOLD, MIN_CHARS, EXACT_CHARS = 2, 20, 1
 #: Classes that share a segment before their texts go along; such segments that are broadcast (8 bytes each).
 HOT, BROADCAST_KEYS = 32, 100_000
 #: Classes of pairs up to this number are broadcast (8 bytes each) to pick their texts.
 BROADCAST_IDS = 400_000
+#: Disjoint sets of characters that are counted; an edit changes the counts by two at most.
+COUNTED = ("eE", "aAoO", "iIuU", "nNrR", "sStT", "0123456789", "lLdDhH")
+#: Descending powers of two, by which the length of a common beginning is searched.
+_SHORT, _LONG = ([1 << b for b in range(top, -1, -1)] for top in (9, 29))
 
 
 def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\f\x0b"))
 
 
-def _segment(length: Column, i: Column, threshold: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, threshold: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of the i-th segment of a line of this length; the longer ones come last."""
-    base = F.call_function("div", length, F.lit(threshold + 1)).cast("int")
+    base = F.call_function("div", length, threshold + 1).cast("int")
     short = (threshold + 1) - (length - base * (threshold + 1))
     return base * i + F.greatest(i - short, F.lit(0)) + 1, base + F.when(i < short, 0).otherwise(1)
 
 
+def _steps(threshold: int, longer: range) -> list[tuple[int, int, int, int]]:
+    """(t, d, i, o): what a line of d more characters probes for t edits: segment i, o places to the right of its own."""
+    out = []
+    for d in longer:
+        for i in range(threshold + 1):
+            left, right = i, threshold - i
+            out += [(threshold, d, i, o) for o in range(max(-left, d - right), min(left, d + right) + 1)]
+    return out
+
+
+def _array(steps: list[tuple[int, int, int, int]]) -> Column:
+    return F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip("tdio", s, strict=True))) for s in steps))
+
+
 def _index(first: DataFrame, threshold: int) -> DataFrame:
-    """(k, a, ka): the key of each segment of each class."""
-    rows = first.select("id", "key", "n", F.explode(F.array(*map(F.lit, range(threshold + 1)))).alias("i"))
-    start, size = _segment(F.col("n"), F.col("i"), threshold)
-    return rows.select(F.xxhash64(F.substring("key", start, size), "n", "i").alias("k"), F.col("id").alias("a"), F.col("key").alias("ka"))
+    """(k, a, i, at, to): the key of each segment of each class, and where the segment begins and ends."""
+    rows = first.select("*", F.explode(F.array(*map(F.lit, range(threshold + 1)))).alias("i"))
+    start, size = _segment(F.col("n"), F.col("i"), F.lit(threshold))
+    rows = rows.withColumn("at", start).withColumn("to", F.col("at") + size)
+    return rows.withColumn("k", F.xxhash64(F.substring("key", F.col("at"), F.col("to") - F.col("at")), "n", "i"))
 
 
 def _probe(first: DataFrame, threshold: int) -> DataFrame:
-    """(k, b, kb): the substrings of each class that can be a segment of a line at most ``threshold`` shorter."""
-    steps = []
-    for less in range(threshold + 1):
-        for i in range(threshold + 1):
-            left, right = i, threshold - i
-            steps += [(less, i, o) for o in range(max(-left, less - right), min(left, less + right) + 1)]
-    step = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(o).alias("o")) for less, i, o in steps))
-    rows = first.select("id", "key", "n", F.explode(step).alias("s")).select("id", "key", "n", (F.col("n") - F.col("s.less")).alias("m"), F.col("s.i").alias("i"), F.col("s.o").alias("o"))
-    start, size = _segment(F.col("m"), F.col("i"), threshold)
-    rows = rows.select("id", "key", "n", "m", "i", (start + F.col("o")).alias("start"), size.alias("size")).where("start >= 1 and start + size - 1 <= n")
-    return rows.select(F.xxhash64(F.substring("key", F.col("start"), F.col("size")), "m", "i").alias("k"), F.col("id").alias("b"), F.col("key").alias("kb"))
+    """(k, b, i, at, to, d, o): the substrings of each class that can be a segment of a line at most ``threshold`` shorter."""
+    rows = first.select("*", F.explode(_array(_steps(threshold, range(threshold + 1)))).alias("s"))
+    rows = rows.select(*first.columns, "s.d", "s.i", "s.o")
+    start, size = _segment(F.col("n") - F.col("d"), F.col("i"), F.lit(threshold))
+    rows = rows.withColumn("at", start + F.col("o")).withColumn("to", F.col("at") + size).where("at >= 1 and to - 1 <= n")
+    return rows.withColumn("k", F.xxhash64(F.substring("key", F.col("at"), F.col("to") - F.col("at")), F.col("n") - F.col("d"), "i"))
+
+
+def _rest(threshold: int) -> tuple[Column, Column, Column]:
+    """What is left of a line beside its segment, on the side with more edits left: where it begins, its length, its edits."""
+    last = F.col("i") == threshold
+    return (
+        F.when(last, 1).otherwise(F.col("to")),
+        F.when(last, F.col("at") - 1).otherwise(F.col("n") + 1 - F.col("to")),
+        F.when(last, threshold).otherwise(threshold - F.col("i")),
+    )
+
+
+def _refined_index(rows: DataFrame, threshold: int) -> DataFrame:
+    at, n, t = _rest(threshold)
+    rows = rows.withColumn("p", at).withColumn("m", n).withColumn("t", t).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t"))))
+    start, size = _segment(F.col("m"), F.col("j"), F.col("t"))
+    return rows.withColumn("k2", F.xxhash64("k", "j", F.substring("key", F.col("p") - 1 + start, size)))
+
+
+def _refined_probe(rows: DataFrame, threshold: int) -> DataFrame:
+    """As :func:`_refined_index`; the rest of the shorter line has less characters, what the segment was moved by aside."""
+    at, n, t = _rest(threshold)
+    more = F.when(F.col("i") == threshold, F.col("o")).otherwise(F.col("d") - F.col("o"))
+    steps = [s for left in range(1, threshold + 1) for s in _steps(left, range(-left, left + 1))]
+    rows = rows.withColumn("p", at).withColumn("m", n).withColumn("t", t).withColumn("more", more).withColumn("s", F.explode(_array(steps)))
+    rows = rows.where("s.t = t and s.d = more")
+    start, size = _segment(F.col("m") - F.col("more"), F.col("s.i"), F.col("t"))
+    rows = rows.withColumn("from", start + F.col("s.o")).withColumn("size", size).where("from >= 1 and from + size - 1 <= m")
+    return rows.withColumn("k2", F.xxhash64("k", F.col("s.i").alias("j"), F.substring("key", F.col("p") - 1 + F.col("from"), F.col("size"))))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _common(x: Column, y: Column) -> Column:
+    """Characters of the common beginning of two different strings."""
+    powers = F.when(F.greatest(F.length(x), F.length(y)) < 1024, F.lit(_SHORT)).otherwise(F.lit(_LONG))
+    same = lambda p, s: F.substring(x, p + 1, s) == F.substring(y, p + 1, s)
+    return F.aggregate(powers, F.lit(0), lambda p, s: p + F.when(same(p, s), s).otherwise(F.lit(0)))
 
 
 def within(x: Column, y: Column, threshold: int) -> Column:
-    """Whether two strings are within ``threshold`` edits, by a banded bit-parallel automaton."""
+    """Whether two strings are within ``threshold`` edits, by a banded bit-parallel automaton.
+
+    The distance is that of what lies between the common beginning and end.
+    """
+    cut = lambda s, k: F.substring(s, k + 1, F.length(s))
+    pair = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    tail = lambda s: _bind(_common(s["x"], s["y"]), lambda k: pair(F.reverse(cut(s["x"], k)), F.reverse(cut(s["y"], k))))
+    middle = lambda s: _bind(_common(s["x"], s["y"]), lambda k: pair(cut(s["x"], k), cut(s["y"], k)))
+    decide = lambda s: _automaton(s["x"], s["y"], threshold)
+    # of the pair with its ends cut off twice, in reverse, which changes no distance
+    cut_off = F.transform(F.transform(F.transform(F.array(pair(x, y)), tail), middle), decide)
+    return F.when(x == y, True).when(F.abs(F.length(x) - F.length(y)) > threshold, False).otherwise(F.get(cut_off, F.lit(0)))
+
+
+def _automaton(x: Column, y: Column, threshold: int) -> Column:
     t, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
     lx, ly = F.length(x), F.length(y)
@@ -84,11 +165,13 @@ def within(x: Column, y: Column, threshold: int) -> Column:
         match = F.lit(0)
         for b in range(width):
             match = match.bitwiseOR(F.when(F.get(xs, i + (b - t)) == c, F.lit(1 << b)).otherwise(F.lit(0)))
-        return F.struct(xs.alias("xs"), s["ys"].alias("ys"), *_step(s, match, t, full))
+        # once no prefix is within the threshold, none will be
+        return F.when(s[f"r{t}"] == 0, s).otherwise(F.struct(xs.alias("xs"), s["ys"].alias("ys"), *_step(s, match, t, full)))
 
     end = F.aggregate(F.sequence(F.lit(0), ly - 1), start, step)
     near = F.abs(lx - ly) <= t
-    return F.when(near & (ly > 0), end[f"r{t}"].bitwiseAND(F.call_function("shiftleft", F.lit(1), lx - ly + t)) != 0).otherwise(near & (F.greatest(lx, ly) <= t))
+    few = F.greatest(lx, ly) <= t
+    return F.when(few, True).when(near & (ly > 0), end[f"r{t}"].bitwiseAND(F.call_function("shiftleft", F.lit(1), lx - ly + t)) != 0).otherwise(False)
 
 
 def _step(s: Column, match: Column, t: int, full: int) -> list[Column]:
@@ -102,87 +185,99 @@ def _step(s: Column, match: Column, t: int, full: int) -> list[Column]:
     return [c.alias(f"r{k}") for k, c in enumerate(out)]
 
 
-def _pairs(first: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): pairs of classes that share a segment.
+def _counts(key: Column) -> Column:
+    return F.struct(*((F.length(key) - F.length(F.translate(key, s, ""))).alias(f"c{i}") for i, s in enumerate(COUNTED)))
 
-    Where very many classes share one, the rows of that segment carry their
-    text, and pairs that can't be near don't leave the join.
-    """
-    index, probe = _index(first, threshold), _probe(first, threshold)
-    hot = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("k", F.lit(True).alias("hot")), "hot")
-    few = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
-    text = lambda c: F.when(F.col("hot"), F.col(c)).alias(c)
-    x = index.join(few, "k", "left").select("k", "a", text("ka"))
-    y = probe.join(few, "k", "left").select("k", "b", text("kb"))
-    near = F.expr(f"a <> b and (ka is null or levenshtein(ka, kb, {threshold}) >= 0)")
-    pairs = x.hint("shuffle_hash").join(y, "k").where(near)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """(doc_id, gone): numbers of the lines, from 0, that are removed from each document that loses any."""
-    exact_chars = min_chars if exact_chars is None else min(exact_chars, min_chars)
-    spark = docs.sparkSession
+
+def _near(a: str, b: str, threshold: int) -> Column:
+    """Whether the lines of two sides are near; sides have the columns ``key`` and ``f``."""
+    f, g = F.col(f"{a}.f"), F.col(f"{b}.f")
+    apart = reduce(Column.__add__, (F.abs(f[f"c{i}"] - g[f"c{i}"]) for i in range(len(COUNTED))))
+    return (apart <= 2 * threshold) & within(F.col(f"{a}.key"), F.col(f"{b}.key"), threshold)
+
+
+def _classes(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """(id, doc_id, line, h, n, key, f): the classes at their first occurrence; the text only of those in the edit join."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     line = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc_id", "line", _key(F.col("raw")).alias("key"))
-    line = line.where(F.length("key") >= exact_chars)
-    # the place of a line as one number: documents in order, then lines
-    place = (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line")).cast("decimal(38,0)")
-    short = [(F.length("key") < min_chars).alias("short")] if exact_chars < min_chars else []
-    every = materialize(line.select("doc_id", "line", F.xxhash64("key").alias("h"), F.hash("key").alias("g"), *short), "occurrences")
-    occurrences = every.where("not short").drop("short") if short else every
-    classes = occurrences.groupBy("h", "g").agg(F.min(place).alias("place"))
-    # of each document the lines that take part, in order, and whether their text is here first
-    marked = occurrences.join(classes, ["h", "g"]).select("doc_id", F.struct("line", "h", (place == F.col("place")).alias("first")).alias("m"))
-    marked = marked.groupBy("doc_id").agg(F.array_distinct(F.array_sort(F.collect_list("m"))).alias("m")).where(F.exists("m", lambda m: m["first"]))
-    taking_part = F.filter(F.split("text", "\n"), lambda x: F.length(_key(x)) >= min_chars)
-    first = (
-        rows.join(marked, "doc_id")
-        .select("doc_id", "m", F.posexplode(taking_part).alias("k", "raw"))
-        .select("doc_id", F.get("m", F.col("k")).alias("m"), _key(F.col("raw")).alias("key"))
-        .where("m.first")
-        .select("doc_id", "m.line", "m.h", "key")
-        .where(F.xxhash64("key") == F.col("h"))
-        .select(F.monotonically_increasing_id().alias("id"), "doc_id", "line", "h", F.hash("key").alias("g"), "key", F.length("key").alias("n"))
-    )
-    first = materialize(first, "classes")
-    release(spark)
-    text = first.select("id", "doc_id", "line", "key", "h", "g")
-    pairs = materialize(_pairs(first, threshold), "pairs")
+    line = line.where(F.length("key") >= exact_chars).withColumn("n", F.length("key"))
+    long = F.when(F.col("n") >= min_chars, F.col("key"))
+    line = line.select(F.xxhash64("key").alias("h"), F.hash("key").alias("g"), F.struct("doc_id", "line", "n", long.alias("key")).alias("m"))
+    first = line.groupBy("h", "g").agg(F.min("m").alias("m"))
+    return first.select(F.monotonically_increasing_id().alias("id"), "m.doc_id", "m.line", "h", "m.n", "m.key")
+
+
+def _late_in_pairs(index: DataFrame, probe: DataFrame, first: DataFrame, threshold: int) -> DataFrame:
+    """Ids of the classes with an earlier near line, of those that share a segment with few."""
+    pairs = index.select("k", F.col("id").alias("a")).join(probe.select("k", F.col("id").alias("b")), "k").where("a <> b")
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
     # only the texts of pairs are dealt out
-    text = text.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    both = pairs.join(text.toDF("a", "da", "la", "ka", "ha", "ga"), "a").join(text.toDF("b", "db", "lb", "kb", "hb", "gb"), "b")
-    a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("la") < F.col("lb")))
-    side = lambda c, early: F.when(a_first, F.col(f"{c}a" if early else f"{c}b")).otherwise(F.col(f"{c}b" if early else f"{c}a"))
-    near = both.where(F.levenshtein("ka", "kb", threshold) >= 0).select(side("h", False).alias("h"), side("g", False).alias("g"), F.struct(side("k", True).alias("early"), side("k", False).alias("late")).alias("t"))
-    # one earlier near line is enough to remove a line
-    near = near.groupBy("h", "g").agg(F.min("t").alias("t"))
-    late = materialize(near.where(within(F.col("t.early"), F.col("t.late"), threshold)).select("h", "g"), "late")
-    release(spark)
-    known = first.select("h", "g", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(late.withColumn("late", F.lit(True)), ["h", "g"], "left")
-    gone = occurrences.join(known, ["h", "g"]).where("late or first_doc <> doc_id or first_line <> line").select("doc_id", "line")
-    if short:
-        # all but the first of each class, told apart by place: a common line is no key of the join
-        copies = every.where("short").drop("short")
-        kept = copies.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("m")).select("m.doc_id", "m.line", "h", "g")
-        gone = gone.unionAll(copies.join(kept, ["doc_id", "line", "h", "g"], "left_anti").select("doc_id", "line"))
-    gone = materialize(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
-    for x in (every, first, late):
+    text = first.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").select("id", F.struct("doc_id", "line").alias("at"), "key", _counts(F.col("key")).alias("f"))
+    both = pairs.join(text.select(F.col("id").alias("a"), F.struct("at", "key", "f").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.struct("at", "key", "f").alias("y")), "b")
+    late = both.where(_near("x", "y", threshold)).select(F.when(F.col("x.at") < F.col("y.at"), F.col("b")).otherwise(F.col("a")).alias("id"))
+    late = materialize(late.distinct(), "late")
+    drop(pairs)
+    drop(ids)
+    return late
+
+
+def _late_in_common(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
+    """Ids of the classes with an earlier near line, of those that share a segment with many."""
+    columns = ["k2", "id", F.struct("doc_id", "line").alias("at"), "key", _counts(F.col("key")).alias("f")]
+    x = materialize(_refined_index(index, threshold).select(*columns), "common")
+    y = materialize(_refined_probe(probe, threshold).select(*columns), "common")
+    late = None
+    for one, other in ((x, y), (y, x)):
+        one, other = one.alias("one"), other.alias("other").hint("merge")
+        earlier = (F.col("one.k2") == F.col("other.k2")) & (F.col("other.at") < F.col("one.at")) & _near("one", "other", threshold)
+        some = one.join(other, earlier, "left_semi").select("one.id")
+        late = some if late is None else late.unionAll(some)
+    late = materialize(late.distinct(), "late")
+    drop(x)
+    drop(y)
+    return late
+
+
+def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
+    """(doc_id, kept): numbers, from 0, and hashes of the lines that stay of each document; lines below ``exact_chars`` aren't listed."""
+    every = materialize(_classes(docs, min_chars, min(exact_chars, min_chars)), "classes")
+    first = every.where("key is not null").select("id", "doc_id", "line", "n", "key")
+    index, probe = _index(first, threshold), _probe(first, threshold)
+    hot = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("k"), "hot")
+    many = hot.count()
+    few = F.broadcast(hot) if many <= BROADCAST_KEYS else hot
+    late = _late_in_pairs(index.select("k", "id").join(few, "k", "left_anti"), probe.select("k", "id"), first, threshold)
+    if many:
+        late = late.unionAll(_late_in_common(index.join(few, "k", "left_semi"), probe.join(few, "k", "left_semi"), threshold)).distinct()
+    stay = every.join(late, "id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("kept"))
+    stay = materialize(stay, "kept")
+    for x in (every, hot):
         drop(x)
-    release(spark)
-    return gone
+    return stay
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """All columns of the documents, ``text`` without the removed lines, and the numbers of lines before and after."""
-    names = docs.columns
-    gone = maybe_broadcast(removed_lines(docs, threshold, min_chars, exact_chars)).toDF("__doc", "__gone")
-    out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").drop("__doc")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i))
+def deduplicate(
+    docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS, counts: tuple[str, str] = ("n_lines", "n_removed")
+) -> DataFrame:
+    """All columns of the documents, ``text`` without the removed lines, and the numbers of lines before and of lines removed."""
+    doc, kept, stay, lines = fresh(docs, "doc", "kept", "stay", "lines")
+    listed = kept_lines(docs, threshold, min_chars, exact_chars).toDF(doc, kept)
+    known = docs.where("doc_id is not null")
+    out = known.join(listed, known["doc_id"] == listed[doc], "left").drop(doc)
+    split = F.split("text", "\n")
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    line = lambda i: _key(F.get(F.col(lines), i))
+    short = F.filter(every, lambda i: F.length(line(i)) < min(exact_chars, min_chars))
+    long = F.transform(F.filter(F.col(kept), lambda m: F.xxhash64(line(m["line"])) == m["h"]), lambda m: m["line"])
+    out = out.withColumn(lines, split).withColumn(stay, F.array_sort(F.concat(short, F.coalesce(long, F.array().cast("array<int>")))))
+    # rows without an id stay whole
+    unknown = docs.where("doc_id is null").withColumn(lines, split).withColumn(stay, every)
+    out = out.drop(kept).unionByName(unknown)
+    text = F.when(F.size(stay) == F.size(lines), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
+    whole = F.col("text").isNotNull()
     return out.select(
-        *(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in names),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("n_removed"),
+        *(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in {x.lower() for x in counts}),
+        F.when(whole, F.size(lines)).otherwise(0).cast("long").alias(counts[0]),
+        F.when(whole, F.size(lines) - F.size(stay)).otherwise(0).cast("long").alias(counts[1]),
     )

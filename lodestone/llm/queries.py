@@ -127,14 +127,14 @@ SQL = {
             SELECT doc_id, i, raw, regexp_replace(raw, '^[\x09\x0B\x0C\r ]+|[\x09\x0B\x0C\r ]+$', '', 'g') AS k
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
         ), f AS (
-            SELECT k, min(doc_id * 2147483648 + i) AS place, length(k) AS n FROM l WHERE length(k) >= 20 GROUP BY k
+            SELECT k, min(doc_id * 2147483648 + i) AS place, length(k) AS n FROM l WHERE k <> '' GROUP BY k
         ), s AS (
-            SELECT *, unnest([0, 1, 2]) AS j, n // 3 AS base, 3 - (n - 3 * (n // 3)) AS short FROM f
+            SELECT *, unnest([0, 1, 2]) AS j, n // 3 AS base, 3 - (n - 3 * (n // 3)) AS short FROM f WHERE n >= 20
         ), x AS (
             SELECT place, k, n, j, base * j + greatest(j - short, 0) AS at, substr(k, CAST(base * j + greatest(j - short, 0) + 1 AS BIGINT), CAST(CASE WHEN j < short THEN base ELSE base + 1 END AS BIGINT)) AS seg FROM s
         ), c AS (
             SELECT place, k, n, n - less AS m, less, j, o
-            FROM (SELECT *, unnest([0, 1, 2]) AS less FROM f), (SELECT unnest([0, 1, 2]) AS j), (SELECT unnest([-2, -1, 0, 1, 2]) AS o)
+            FROM (SELECT *, unnest([0, 1, 2]) AS less FROM f WHERE n >= 20), (SELECT unnest([0, 1, 2]) AS j), (SELECT unnest([-2, -1, 0, 1, 2]) AS o)
         ), p AS (
             SELECT place, k, n, m, j, substr(k, CAST((m // 3) * j + greatest(j - (3 - (m - 3 * (m // 3))), 0) + 1 + o AS BIGINT), CAST(CASE WHEN j < 3 - (m - 3 * (m // 3)) THEN m // 3 ELSE m // 3 + 1 END AS BIGINT)) AS seg
             FROM c WHERE (m // 3) * j + greatest(j - (3 - (m - 3 * (m // 3))), 0) + 1 + o >= 1

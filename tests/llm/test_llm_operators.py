@@ -134,16 +134,17 @@ def test_bit_parallel_distance(spark):
             assert r.near == (_edit(r.x, r.y) <= t), (r, t)
 
 
-def _line_brute(rows, least=20, threshold=2):
+def _line_brute(rows, least=20, threshold=2, exact=1):
     first = {}
     strip = " \t\r\f\x0b"
     for i, t in sorted((i, t) for i, t in rows if i is not None and t is not None):
         for k, x in enumerate(t.split("\n")):
             x = x.strip(strip)
-            if len(x) >= least:
+            if len(x) >= exact:
                 first.setdefault(x, (i, k))
-    late = {y for y in first for x in first if first[x] < first[y] and abs(len(x) - len(y)) <= threshold and _edit(x, y) <= threshold}
-    return lambda i, k, x: len(x.strip(strip)) >= least and (first[x.strip(strip)] != (i, k) or x.strip(strip) in late)
+    long = [x for x in first if len(x) >= least]
+    late = {y for y in long for x in long if first[x] < first[y] and abs(len(x) - len(y)) <= threshold and _edit(x, y) <= threshold}
+    return lambda i, k, x: len(x.strip(strip)) >= exact and (first[x.strip(strip)] != (i, k) or x.strip(strip) in late)
 
 
 def test_line_dedup(docs, none, spark):
@@ -168,10 +169,10 @@ def test_short_lines_go_as_exact_copies(spark):
 
     text = {1: "short\n\na line of its own that is long enough\nshart", 2: " short \n\nshort\nshort one of two", 3: "x\nshort\na line of its own that is long enouge\nx", 5: None}
     rows = [*text.items(), (4, "short"), (4, "x"), (None, "short")]
-    got = {(r.doc_id, r.n_lines): r for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), exact_chars=1).collect() if r.doc_id != 4}
+    got = {(r.doc_id, r.n_lines): r for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id != 4}
     assert got[1, 4].text == text[1] and got[2, 4].text == "\nshort one of two" and got[3, 4].text == "x"
     assert got[None, 1].text == "short" and got[5, 0].text is None
-    want = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    want = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(list(text.items()), "doc_id long, text string"), exact_chars=20).collect()}
     assert want[2] == text[2] and want[3] == "x\nshort\nx"
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in text.items()], "doc_id long, text string, n_chars long")
     assert {r.doc_id: r.n_chars for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}[3] == 1
@@ -179,16 +180,39 @@ def test_short_lines_go_as_exact_copies(spark):
 
 def test_line_dedup_with_common_segments(spark, monkeypatch):
     """Variants of one line share segments; with a low bound they take the way for common ones."""
+    import random
+
     base = "a line about nothing that goes on for quite a while and ends"
     rows = [(i, base[:k] + "XYZ"[i % 3] + base[k + 1 :]) for i, k in enumerate(range(0, 58, 3))] + [(90 + i, base[: 5 * i] + "#####" + base[5 * i :]) for i in range(8)]
+    rng = random.Random(5)
+    for i in range(200, 320):  # up to four edits each, so that some pairs are near and some aren't
+        x = list(base if i % 2 else "äöü abcabcabc abcabc abcab")
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(x))
+            x[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "b", "é"])
+        rows.append((i, "".join(x)))
+    rng.shuffle(rows)
     gone = _line_brute(rows)
     want = {i: gone(i, 0, t) for i, t in rows}
+    assert 20 < sum(want.values()) < len(rows)
     for bound in (2, 1000):
         monkeypatch.setattr(lines, "HOT", bound)
         got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
         assert {r.doc_id: r.n_removed == 1 for r in got.collect()} == want
 
 
+def test_line_dedup_with_clashing_names(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one line", 7, 8, "a", "b"), (2, "one line\nanother", 7, 8, "a", "b"), (None, "one line", 7, 8, "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, N_lines int, kept string, `do.c` string")
+    got = lines.deduplicate(docs)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "kept", "do.c", "n_lines", "n_removed"])
+    assert {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()} == {(1, "one line", 1, 0), (2, "another", 2, 1), (None, "one line", 1, 0)}
+    stage = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert stage.columns == docs.columns and {(r.text, r.n_removed) for r in stage.collect()} == {("one line", 7), ("another", 7)}
+
+
 def _substring_brute(rows, width=50):
     least = {}
     for i, t in rows:
