@@ -6,12 +6,11 @@ equal text, identified by two hashes and represented by their first occurrence
 under ``threshold`` + 1 segments with its length; by the pigeonhole principle, a
 line within the threshold contains one of them near its place, so each class
 probes the segments of its own and of slightly shorter lengths with the
-substrings that multi-match-aware selection leaves. Candidates whose counts of
-some sets of characters differ by more than edits can explain are dropped; the
-others are decided by banded bit-parallel edit distance on what lies between
-their common beginning and end: for each number of errors k a word holds, for
-the diagonals of the band, which prefixes are within k edits; a character of the
-line updates all.
+substrings that multi-match-aware selection leaves. Candidates are decided by
+banded bit-parallel edit distance on what lies between their common beginning
+and end: for each number of errors k a word holds, for the diagonals of the
+band, which prefixes are within k edits; a character of the line updates all.
+Most candidates that aren't near are so after the first few characters.
 
 A segment that up to ``HOT`` classes share gives candidates as pairs of ids. The
 rows of a more common one carry their text and are put under a segment of the
@@ -34,8 +33,6 @@ stay. Extra columns are kept; one that has the name of an added count gives way
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +44,10 @@ THRESHOLD, MIN_CHARS, EXACT_CHARS = 2, 20, 1
 HOT, BROADCAST_KEYS = 32, 100_000
 #: Classes of pairs up to this number are broadcast (8 bytes each) to pick their texts.
 BROADCAST_IDS = 400_000
-#: Disjoint sets of characters that are counted; an edit changes the counts by two at most.
-COUNTED = ("eE", "aAoO", "iIuU", "nNrR", "sStT", "0123456789", "lLdDhH")
 #: Descending powers of two, by which the length of a common beginning is searched.
 _SHORT, _LONG = ([1 << b for b in range(top, -1, -1)] for top in (9, 29))
+#: Characters after which the automaton is asked first whether anything is within the threshold.
+GLANCE = 12
 
 
 def _key(line: Column) -> Column:
@@ -152,9 +149,18 @@ def within(x: Column, y: Column, threshold: int) -> Column:
 
 
 def _automaton(x: Column, y: Column, threshold: int) -> Column:
-    t, width = threshold, 2 * threshold + 1
-    full = (1 << width) - 1
+    t = threshold
     lx, ly = F.length(x), F.length(y)
+    few, apart = F.greatest(lx, ly) <= t, F.abs(lx - ly) > t
+    alive = _run(F.substring(x, 1, GLANCE + t), F.substring(y, 1, GLANCE), t)[f"r{t}"] != 0
+    end = _run(x, y, t)[f"r{t}"].bitwiseAND(F.call_function("shiftleft", F.lit(1), lx - ly + t)) != 0
+    return F.when(few, True).when(apart | (ly == 0), False).when(~alive, False).otherwise(end)
+
+
+def _run(x: Column, y: Column, t: int) -> Column:
+    """The words after the last character of y, which isn't empty."""
+    width = 2 * t + 1
+    full = (1 << width) - 1
     # bit b of word k: the first i characters of y and i + b - t of x are within k edits.
     # The characters are in the state, so that they are split once
     words = [F.lit(sum(1 << (j + t) for j in range(k + 1))).alias(f"r{k}") for k in range(t + 1)]
@@ -168,10 +174,7 @@ def _automaton(x: Column, y: Column, threshold: int) -> Column:
         # once no prefix is within the threshold, none will be
         return F.when(s[f"r{t}"] == 0, s).otherwise(F.struct(xs.alias("xs"), s["ys"].alias("ys"), *_step(s, match, t, full)))
 
-    end = F.aggregate(F.sequence(F.lit(0), ly - 1), start, step)
-    near = F.abs(lx - ly) <= t
-    few = F.greatest(lx, ly) <= t
-    return F.when(few, True).when(near & (ly > 0), end[f"r{t}"].bitwiseAND(F.call_function("shiftleft", F.lit(1), lx - ly + t)) != 0).otherwise(False)
+    return F.aggregate(F.sequence(F.lit(0), F.length(y) - 1), start, step)
 
 
 def _step(s: Column, match: Column, t: int, full: int) -> list[Column]:
@@ -185,19 +188,8 @@ def _step(s: Column, match: Column, t: int, full: int) -> list[Column]:
     return [c.alias(f"r{k}") for k, c in enumerate(out)]
 
 
-def _counts(key: Column) -> Column:
-    return F.struct(*((F.length(key) - F.length(F.translate(key, s, ""))).alias(f"c{i}") for i, s in enumerate(COUNTED)))
-
-
-def _near(a: str, b: str, threshold: int) -> Column:
-    """Whether the lines of two sides are near; sides have the columns ``key`` and ``f``."""
-    f, g = F.col(f"{a}.f"), F.col(f"{b}.f")
-    apart = reduce(Column.__add__, (F.abs(f[f"c{i}"] - g[f"c{i}"]) for i in range(len(COUNTED))))
-    return (apart <= 2 * threshold) & within(F.col(f"{a}.key"), F.col(f"{b}.key"), threshold)
-
-
 def _classes(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
-    """(id, doc_id, line, h, n, key, f): the classes at their first occurrence; the text only of those in the edit join."""
+    """(id, doc_id, line, h, n, key): the classes at their first occurrence; the text only of those in the edit join."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     line = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc_id", "line", _key(F.col("raw")).alias("key"))
     line = line.where(F.length("key") >= exact_chars).withColumn("n", F.length("key"))
@@ -207,30 +199,34 @@ def _classes(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     return first.select(F.monotonically_increasing_id().alias("id"), "m.doc_id", "m.line", "h", "m.n", "m.key")
 
 
-def _late_in_pairs(index: DataFrame, probe: DataFrame, first: DataFrame, threshold: int) -> DataFrame:
-    """Ids of the classes with an earlier near line, of those that share a segment with few."""
-    pairs = index.select("k", F.col("id").alias("a")).join(probe.select("k", F.col("id").alias("b")), "k").where("a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def _pairs(index: DataFrame, probe: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that share a segment with few, and (-1, b): classes that probe a common one (materialised)."""
+    asked = index.select("k", F.col("id").alias("a")).unionAll(hot.select("k", F.lit(-1).cast("long")))
+    pairs = asked.hint("shuffle_hash").join(probe.select("k", F.col("id").alias("b")), "k").where("a <> b")
+    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def _late_in_pairs(pairs: DataFrame, first: DataFrame, threshold: int) -> DataFrame:
+    """Ids of the classes of pairs that are near one that is earlier."""
     ids = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
     # only the texts of pairs are dealt out
-    text = first.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").select("id", F.struct("doc_id", "line").alias("at"), "key", _counts(F.col("key")).alias("f"))
-    both = pairs.join(text.select(F.col("id").alias("a"), F.struct("at", "key", "f").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.struct("at", "key", "f").alias("y")), "b")
-    late = both.where(_near("x", "y", threshold)).select(F.when(F.col("x.at") < F.col("y.at"), F.col("b")).otherwise(F.col("a")).alias("id"))
+    text = first.join(_small(ids, BROADCAST_IDS), "id", "left_semi").select("id", F.struct("doc_id", "line").alias("at"), "key")
+    both = pairs.join(text.select(F.col("id").alias("a"), F.struct("at", "key").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.struct("at", "key").alias("y")), "b")
+    late = both.where(within(F.col("x.key"), F.col("y.key"), threshold)).select(F.when(F.col("x.at") < F.col("y.at"), F.col("b")).otherwise(F.col("a")).alias("id"))
     late = materialize(late.distinct(), "late")
-    drop(pairs)
     drop(ids)
     return late
 
 
 def _late_in_common(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
     """Ids of the classes with an earlier near line, of those that share a segment with many."""
-    columns = ["k2", "id", F.struct("doc_id", "line").alias("at"), "key", _counts(F.col("key")).alias("f")]
+    columns = ["k2", "id", F.struct("doc_id", "line").alias("at"), "key"]
     x = materialize(_refined_index(index, threshold).select(*columns), "common")
     y = materialize(_refined_probe(probe, threshold).select(*columns), "common")
     late = None
     for one, other in ((x, y), (y, x)):
         one, other = one.alias("one"), other.alias("other").hint("merge")
-        earlier = (F.col("one.k2") == F.col("other.k2")) & (F.col("other.at") < F.col("one.at")) & _near("one", "other", threshold)
+        earlier = (F.col("one.k2") == F.col("other.k2")) & (F.col("other.at") < F.col("one.at")) & within(F.col("one.key"), F.col("other.key"), threshold)
         some = one.join(other, earlier, "left_semi").select("one.id")
         late = some if late is None else late.unionAll(some)
     late = materialize(late.distinct(), "late")
@@ -239,17 +235,26 @@ def _late_in_common(index: DataFrame, probe: DataFrame, threshold: int) -> DataF
     return late
 
 
+def _small(keys: DataFrame, most: int) -> DataFrame:
+    """A written table of numbers, to be broadcast where it has at most so many rows (8 bytes each)."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def kept_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """(doc_id, kept): numbers, from 0, and hashes of the lines that stay of each document; lines below ``exact_chars`` aren't listed."""
     every = materialize(_classes(docs, min_chars, min(exact_chars, min_chars)), "classes")
     first = every.where("key is not null").select("id", "doc_id", "line", "n", "key")
     index, probe = _index(first, threshold), _probe(first, threshold)
     hot = materialize(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("k"), "hot")
-    many = hot.count()
-    few = F.broadcast(hot) if many <= BROADCAST_KEYS else hot
-    late = _late_in_pairs(index.select("k", "id").join(few, "k", "left_anti"), probe.select("k", "id"), first, threshold)
-    if many:
-        late = late.unionAll(_late_in_common(index.join(few, "k", "left_semi"), probe.join(few, "k", "left_semi"), threshold)).distinct()
+    few = _small(hot, BROADCAST_KEYS)
+    pairs = _pairs(index.join(few, "k", "left_anti"), probe, hot)
+    late = _late_in_pairs(pairs.where("a >= 0"), first, threshold)
+    if hot.limit(1).count():
+        some = materialize(pairs.where("a < 0").select(F.col("b").alias("id")), "probing")
+        probing = _probe(first.join(_small(some, BROADCAST_IDS), "id", "left_semi"), threshold)
+        late = late.unionAll(_late_in_common(index.join(few, "k", "left_semi"), probing.join(few, "k", "left_semi"), threshold)).distinct()
+        drop(some)
+    drop(pairs)
     stay = every.join(late, "id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("kept"))
     stay = materialize(stay, "kept")
     for x in (every, hot):
@@ -264,7 +269,7 @@ def deduplicate(
     doc, kept, stay, lines = fresh(docs, "doc", "kept", "stay", "lines")
     listed = kept_lines(docs, threshold, min_chars, exact_chars).toDF(doc, kept)
     known = docs.where("doc_id is not null")
-    out = known.join(listed, known["doc_id"] == listed[doc], "left").drop(doc)
+    out = known.join(listed.hint("shuffle_hash"), known["doc_id"] == listed[doc], "left").drop(doc)
     split = F.split("text", "\n")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     line = lambda i: _key(F.get(F.col(lines), i))
