@@ -1,6 +1,7 @@
 """Numpy kernels against plain Python."""
 
 import random
+import math
 import re
 
 import numpy as np
@@ -136,6 +137,34 @@ def test_nnpu_prefers_toxic_words():
     assert abs(empty.score(*toxicity._csr([np.zeros(0, np.int32)]))[0] - 0.1) < 1e-6
 
 
+def test_nnpu_risk_and_its_gradient():
+    """The risk against its definition, the steps against differences of the risk and of the negated part."""
+    rng = np.random.default_rng(4)
+    soft = lambda z: math.log1p(math.exp(z))
+    for shift in (-3.0, 0.0, 3.0):
+        zp, zu, prior = rng.normal(1, 1, 5), rng.normal(shift, 1, 7), 0.4
+        positive = prior * sum(soft(-z) for z in zp) / 5
+        rest = sum(soft(z) for z in zu) / 7 - prior * sum(soft(z) for z in zp) / 5
+        total, gp, gu = toxicity.risk(zp, zu, prior)
+        assert total == pytest.approx(positive + max(rest, 0))
+        goal = (lambda p, u: toxicity.risk(p, u, prior)[0]) if rest >= 0 else (lambda p, u: -(sum(map(soft, u)) / 7 - prior * sum(map(soft, p)) / 5))
+        for z, g, side in ((zp, gp, 0), (zu, gu, 1)):
+            for i in range(len(z)):
+                e = np.zeros(len(z))
+                e[i] = 1e-6
+                a, b = ((z + e, zu), (z - e, zu)) if side == 0 else ((zp, z + e), (zp, z - e))
+                assert g[i] == pytest.approx((goal(*a) - goal(*b)) / 2e-6, abs=1e-6)
+    assert toxicity.risk(np.array([1.0]), np.array([-9.0]), 0.9)[0] == pytest.approx(0.9 * soft(-1.0))
+
+
+def test_prior_from_positive_and_unlabelled_texts():
+    rng = np.random.default_rng(5)
+    text = lambda bad: np.unique(np.concatenate((rng.integers(0, 200, 30), rng.integers(200, 220, 6) if bad else rng.integers(220, 300, 6))))
+    for prior in (0.05, 0.2, 0.5):
+        unlabelled = [text(rng.random() < prior) for _ in range(3000)]
+        assert toxicity.estimate_prior([text(True) for _ in range(400)], unlabelled, 300) == pytest.approx(prior, rel=0.2)
+
+
 def test_warc_records_and_members():
     import io
 

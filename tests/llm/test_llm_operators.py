@@ -347,6 +347,26 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in odd if r.doc_id in (4, 5, 6)}.__len__() == 1
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Labels 0 are never learnt from: accuracy on the held-out fold, with and without them."""
+    import random
+
+    rng = random.Random(8)
+    plain, vile = [f"word{i}" for i in range(400)], [f"vile{i}" for i in range(25)]
+    rows, marks = [], []
+    for i in range(2500):
+        toxic = rng.random() < 0.12
+        rows.append((i, " ".join(rng.choices(plain, k=rng.randint(5, 80)) + (rng.choices(vile, k=3) if toxic else []))))
+        marks.append((i, int(toxic)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([m for m in marks if m[0] % 2], "doc_id long, toxic int")
+    got = toxicity.score_documents(d, known).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 400 and sum(r.predicted == marks[r.doc_id][1] for r in held) >= 0.97 * len(held)
+    only = toxicity.score_documents(d, known.where("toxic = 1")).collect()
+    assert {(r.doc_id, r.score) for r in only} == {(r.doc_id, r.score) for r in got}
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (6, "http://f", "é" * 600), (7, "http://g", big), (8, "", "ö" * 500), (9, "h", "ö" * 500), (9, "h", "ö" * 500), (None, "n", big)]
