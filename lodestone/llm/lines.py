@@ -6,9 +6,9 @@ equal text, identified by two hashes and represented by their first occurrence
 under ``threshold`` + 1 segments with its length; by the pigeonhole principle, a
 line within the threshold contains one of them near its place, so each class
 probes the segments of its own and of slightly shorter lengths with the
-substrings that multi-match-aware selection leaves. Candidates are decided by
-banded bit-parallel edit distance on what lies between their common beginning
-and end: for each number of errors k a word holds, for the diagonals of the
+substrings that multi-match-aware selection leaves. Candidates of which one
+contains too few of the other's finer segments aren't near; what is left is
+decided by banded bit-parallel edit distance between the common beginning and end: for each number of errors k a word holds, for the diagonals of the
 band, which prefixes are within k edits; a character of the line updates all.
 Most candidates that aren't near are so after the first few characters.
 
@@ -33,6 +33,8 @@ stay. Extra columns are kept; one that has the name of an added count gives way
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ HOT, BROADCAST_KEYS = 32, 100_000
 BROADCAST_IDS = 400_000
 #: Descending powers of two, by which the length of a common beginning is searched.
 _SHORT, _LONG = ([1 << b for b in range(top, -1, -1)] for top in (9, 29))
+#: Finer segments of a line, of which all but one for each edit are in a near line.
+PARTS = 12
 #: Characters after which the automaton is asked first whether anything is within the threshold.
 GLANCE = 12
 
@@ -188,6 +192,14 @@ def _step(s: Column, match: Column, t: int, full: int) -> list[Column]:
     return [c.alias(f"r{k}") for k, c in enumerate(out)]
 
 
+def _near(a: str, b: str, threshold: int) -> Column:
+    """Whether the lines of two sides, in their column ``key``, are near."""
+    x, y = F.col(f"{a}.key"), F.col(f"{b}.key")
+    parts = (_segment(F.length(x), F.lit(i), F.lit(PARTS - 1)) for i in range(PARTS))
+    there = reduce(Column.__add__, (F.when(F.contains(y, F.substring(x, start, size)), 1).otherwise(0) for start, size in parts))
+    return (there >= PARTS - threshold) & within(x, y, threshold)
+
+
 def _classes(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     """(id, doc_id, line, h, n, key): the classes at their first occurrence; the text only of those in the edit join."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -212,7 +224,7 @@ def _late_in_pairs(pairs: DataFrame, first: DataFrame, threshold: int) -> DataFr
     # only the texts of pairs are dealt out
     text = first.join(_small(ids, BROADCAST_IDS), "id", "left_semi").select("id", F.struct("doc_id", "line").alias("at"), "key")
     both = pairs.join(text.select(F.col("id").alias("a"), F.struct("at", "key").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.struct("at", "key").alias("y")), "b")
-    late = both.where(within(F.col("x.key"), F.col("y.key"), threshold)).select(F.when(F.col("x.at") < F.col("y.at"), F.col("b")).otherwise(F.col("a")).alias("id"))
+    late = both.where(_near("x", "y", threshold)).select(F.when(F.col("x.at") < F.col("y.at"), F.col("b")).otherwise(F.col("a")).alias("id"))
     late = materialize(late.distinct(), "late")
     drop(ids)
     return late
@@ -226,7 +238,7 @@ def _late_in_common(index: DataFrame, probe: DataFrame, threshold: int) -> DataF
     late = None
     for one, other in ((x, y), (y, x)):
         one, other = one.alias("one"), other.alias("other").hint("merge")
-        earlier = (F.col("one.k2") == F.col("other.k2")) & (F.col("other.at") < F.col("one.at")) & within(F.col("one.key"), F.col("other.key"), threshold)
+        earlier = (F.col("one.k2") == F.col("other.k2")) & (F.col("other.at") < F.col("one.at")) & _near("one", "other", threshold)
         some = one.join(other, earlier, "left_semi").select("one.id")
         late = some if late is None else late.unionAll(some)
     late = materialize(late.distinct(), "late")
