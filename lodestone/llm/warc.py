@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Rows are dealt to shards by ranges of their id, cut from an exact histogram of
-payload bytes, and sorted; a task writes its shards one after another, rolling
+Rows are dealt to shards by ranges of their id, cut at multiples of a number of
+bytes in the sorted order of all rows, and sorted; a task writes its shards one after another, rolling
 to the next file by compressed size. Headers and digests are regenerated from
 the payload. Files are written under temporary names that are unique to the
 attempt; the manifest names those of the attempts that succeeded, and a second
@@ -25,17 +25,20 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestone.runtime import drop_path, parallelism
+from lodestone.runtime import drop, drop_path, materialize, parallelism
 
 #: Payload bytes of one id range, and compressed bytes at which a file is closed.
 RANGE_BYTES, ROLL_BYTES = 64 << 20, 16 << 20
-#: Blocks of the histogram that the ranges are cut from; bounds what the driver holds.
-BLOCKS = 4096
+#: Tasks that write at most; each has whole shards.
+TASKS = 100_000
 CAPTURED = "2000-01-01T00:00:00Z"
 MANIFEST = "shard int, seq int, name string, temporary string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -182,6 +185,46 @@ def _mover(root: str):
     return run
 
 
+def _place(page_id: Column, digest: Column) -> tuple[Column, Column]:
+    """The order that shards are ranges of: ids (a null one first), then, for repeated ids, digests."""
+    return F.coalesce(page_id, F.lit(-(1 << 63))), F.xxhash64(digest)
+
+
+def _bounds(slim: DataFrame, range_bytes: int) -> list[tuple[int, int]]:
+    """Where each shard begins: the places at which the sum of all bytes before passes a multiple of ``range_bytes``.
+
+    The places are sorted by ranges and summed up within each, offset by the sums of those before it; a
+    row for each ``range_bytes`` of payload reaches the driver.
+    """
+    p, h = _place(F.col("page_id"), F.col("digest"))
+    sized = slim.groupBy(p.alias("p"), h.alias("h")).agg(F.sum(F.col("n") + 512).alias("n"))
+    sized = materialize(sized.orderBy("p", "h").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), "sizes")
+    before = F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sized.groupBy("part").agg(F.sum("n").alias("held")).select("part", before.alias("before"))
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("p", "h")) - F.col("n")
+    shard = F.call_function("div", running + F.col("before"), F.lit(range_bytes))
+    first = sized.join(F.broadcast(parts), "part").select("p", "h", shard.alias("shard")).groupBy("shard").agg(F.min(F.struct("p", "h")).alias("m"))
+    out = [(r.p, r.h) for r in first.select("m.p", "m.h").orderBy("p", "h").collect()]
+    drop(sized)
+    return out
+
+
+def _shard_of(begins: list[tuple[int, int]]):
+    p, h = (np.array([b[k] for b in begins], np.int64) for k in (0, 1))
+
+    @F.pandas_udf("int")
+    def shard(page: pd.Series, digest: pd.Series) -> pd.Series:
+        page, digest = page.to_numpy(), digest.to_numpy()
+        low, high = (np.searchsorted(p, page, side) for side in ("left", "right"))
+        # shards that begin within an id go on by digest
+        for i in np.unique(low[high > low]):
+            rows = np.flatnonzero((low == i) & (high > i))
+            low[rows] += np.searchsorted(h[i : high[rows[0]]], digest[rows], "right")
+        return pd.Series(low - 1)
+
+    return shard
+
+
 def write(pages: DataFrame, root: str, min_revisit: int = 1000, range_bytes: int = RANGE_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write (page_id, url, html) below ``root``; the manifest, which is also there as Parquet."""
     spark = pages.sparkSession
@@ -197,23 +240,15 @@ def write(pages: DataFrame, root: str, min_revisit: int = 1000, range_bytes: int
     )
     refers = slim.where(F.col("n") >= min_revisit).join(first, "digest").where("page_id < to").select("page_id", "digest", "to", "to_url").distinct()
 
-    bounds = rows.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).first()
-    low, width = bounds.a or 0, ((bounds.b or 0) - (bounds.a or 0)) // BLOCKS + 1
-    block = F.coalesce(((F.col("page_id") - low) / F.lit(width)).cast("int"), F.lit(0))
-    sizes = {r.block: r.n for r in rows.groupBy(block.alias("block")).agg(F.sum(F.octet_length("payload") + 512).alias("n")).collect()}  # at most BLOCKS rows
-    shard_of, shard, held = [], 0, 0
-    for i in range(BLOCKS):
-        if held and held + sizes.get(i, 0) > range_bytes:
-            shard, held = shard + 1, 0
-        held += sizes.get(i, 0)
-        shard_of.append(shard)
-    at = F.element_at(F.lit(shard_of), block + 1).cast("int").alias("shard")
-
+    begins = _bounds(slim, range_bytes)
+    shard = _shard_of(begins)(*_place(F.col("page_id"), F.col("digest"))).alias("shard")
     none = F.lit(None)
-    both = rows.select(at, "page_id", F.lit(1).alias("kind"), "url", "payload", F.sha1("payload").alias("digest"), none.cast("long").alias("to"), none.cast("string").alias("to_url")).unionAll(
-        refers.select(at, "page_id", F.lit(0), none.cast("string"), none.cast("binary"), "digest", "to", "to_url")
+    both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.sha1("payload").alias("digest"), none.cast("long").alias("to"), none.cast("string").alias("to_url")).unionAll(
+        refers.select("page_id", F.lit(0), none.cast("string"), none.cast("binary"), "digest", "to", "to_url")
     )
-    placed = both.repartition(max(parallelism(spark), shard + 1), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "digest")
+    both = both.select(shard, "*")
+    tasks = max(1, min(len(begins), TASKS))
+    placed = both.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("digest"), "url", "digest")
     placed.mapInArrow(_writer(root, roll_bytes), MANIFEST).write.parquet(f"{root}/_written")
     written = spark.read.schema(MANIFEST).parquet(f"{root}/_written")
     written.mapInArrow(_mover(root), MANIFEST).drop("temporary").write.parquet(f"{root}/manifest")

@@ -324,6 +324,59 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.keep_clean(docs, bench.limit(0)).count() == len(DOCS)
 
 
+def _contained(item, text):
+    words, question = _words(item), item.rpartition(". ")[0]
+    there, every = _set(text), set(_words(text))
+    share = lambda x, y: len(x & y) / len(x) if x else 1.0
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    if len(words) < 5:
+        return False
+    asked = share(grams(_words(question + ".")) if question else grams(words), there)
+    told = share(set(_words(item.rpartition(". ")[2])) if question else set(), every)
+    return share(grams(words), there) >= 0.8 or (asked >= 0.8 and told >= 0.8)
+
+
+def test_decontamination_finds_scattered_answers(spark, monkeypatch):
+    """Against brute force: questions whole or with gaps, answers scattered over a long text, in part, or missing."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 4000}"
+    items = [(0, "one two three four five six seven. " + " ".join(f"a{i}" for i in range(60))), (1, "why so. yes because it is"), (2, "a a a a a a a a a a a a. b b b"), (3, "no answer in this one of seven words")]
+    for k in range(4, 60):
+        items.append((k, " ".join(word() for _ in range(rng.randint(3, 30))) + ". " + " ".join(word() for _ in range(rng.randint(1, 40)))))
+    rows = [(0, None), (1, ""), (2, " ".join(f"a{i} x{i} y{i} z{i}" for i in range(50)) + " one two three four five six seven. " + " ".join(f"u{i}" for i in range(500)))]
+    for i in range(3, 240):
+        question, _, answer = items[rng.randrange(len(items))][1].partition(". ")
+        q, a = (question + ".").split(), answer.split()
+        if rng.random() < 0.4:
+            q[rng.randrange(len(q))] = "gap"
+        a = [x for x in a if rng.random() < rng.choice((1, 0.9, 0.75))]
+        rng.shuffle(a)
+        text = [word() for _ in range(rng.randint(0, 200))]
+        for x in a:
+            text.insert(rng.randint(0, len(text)), x)
+        at = rng.randint(0, len(text))
+        rows.append((i, " ".join(text[:at] + q + text[at:])))
+    want = {(i, k) for i, t in rows for k, q in items if t and _contained(q, t)}
+    assert (2, 0) in want and len(want) > 60
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bound, opened in ((1 << 20, 2_000_000), (1500, 2_000_000), (1 << 20, 10)):
+        monkeypatch.setattr(decontaminate, "OPEN", opened)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench, pass_bytes=bound).collect()} == want
+
+
+def test_decontamination_index_size():
+    import random
+
+    rng = random.Random(2)
+    items = [" ".join(f"{rng.choice(['th', 'an', 'er'])}{int(rng.paretovariate(0.5)) % 30000}" for _ in range(40)) for _ in range(2000)]
+    known = [decontaminate.Item(k, t) for k, t in enumerate(items)]
+    terms = {t for i in known for t in i.terms.tolist()}
+    index = decontaminate.Index(known, dict.fromkeys(terms, 1.0), 40)
+    assert index.nbytes() < 10 * sum(map(len, items))
+
+
 def test_decontamination_finds_items_across_passage_borders(spark):
     item = " ".join(f"q{i}" for i in range(50))
     rows = [(k, " ".join([f"w{j}" for j in range(k)] + [item] + [f"v{j}" for j in range(300)])) for k in range(0, 200, 9)]
@@ -387,6 +440,26 @@ def test_warc_round_trip(spark):
     assert warc.write(pages.limit(0), root).count() == 0 and warc.read(spark, root).count() == 0
 
 
+def test_warc_shards_of_any_distribution_of_ids(spark):
+    """Ids far apart, one id of many payloads, and null ids: shards hold about the bytes of a range."""
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    rows = [(i, "u", text(10_000)) for i in range(300)] + [(10**15, "far", "x"), (-(2**62), "low", None), (2**63 - 1, "top", "y")]
+    rows += [(7, f"v{i}", text(10_000)) for i in range(100)] + [(None, f"n{i}", text(10_000)) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = []
+    for partitions in (2, 5):
+        root = work_path(spark, "warc-ids")
+        m = warc.write(pages.repartition(partitions), root, range_bytes=500_000)
+        files.append(sorted((r.name, r.sha256, r.records) for r in m.collect()))
+        assert len(files[-1]) >= 8 and max(r[2] for r in files[-1]) <= 60 and sum(r[2] for r in files[-1]) == len(rows)
+        got = Counter((r.page_id, r.url, r.payload_digest) for r in warc.read(spark, root).collect())
+        assert got == Counter((i, u, hashlib.sha1((h or "").encode()).hexdigest()) for i, u, h in rows)
+    assert files[0] == files[1]
+
+
 def test_flac_columns(docs, none):
     media = flac.encode_column(docs)
     got = {r.doc_id: r for r in flac.features(media).collect()}
