@@ -9,6 +9,9 @@ theirs. For a unigram model the best sum of scores wins. The vocabulary at hand
 is merge-based, and best sums of its scores, which are merge ranks, aren't its
 encoding; there a last piece is admitted if it can stand beside the last piece
 of its beginning, which leaves one, and the counts are those of the tokenizer.
+A pre-token of more than ``DEEPEST`` bytes is a path of its own: the same scores,
+position by position, in stretches, so that one of a megabyte doesn't make a
+level of the trie for each of its bytes.
 
 Defined results: null and empty texts have no tokens; characters without a
 piece count as their bytes; repeated rows are counted each.
@@ -26,8 +29,8 @@ from lodestone.llm import kernel as K
 from lodestone.llm.pieces import MODEL, SPACE, Vocabulary, pretokens
 from lodestone.llm.sentencepiece import _Known
 
-#: Pre-tokens whose counts a worker remembers.
-REMEMBERED = 1_000_000
+#: Pre-tokens whose counts a worker remembers; bytes of those that are in the trie, and of a longer one that are handled at once.
+REMEMBERED, DEEPEST, STRETCH = 1_000_000, 256, 1 << 16
 
 
 class Trie:
@@ -69,9 +72,9 @@ class Trie:
         alone = np.zeros((longest + 1, n), bool)  # the first piece is a space mark alone
         space = vocabulary.pieces.index(SPACE)
         self.count, self.score, self.alone = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
-        self.nodes = 0
+        self.nodes, word = 0, np.arange(n)
         for d in range(1, width + 1):
-            word = np.flatnonzero(self.size >= d)
+            word = word[self.size[word] >= d]
             new = common[word] < d
             node = word[new]
             self.nodes += len(node)
@@ -108,6 +111,75 @@ class Trie:
         return self.count[self.place], self.score[self.place], self.alone[self.place]
 
 
+def path(word: np.ndarray, vocabulary: Vocabulary, known: _Known) -> tuple[int, float, bool]:
+    """Token count, forward score and whether a space mark stands alone, of one long pre-token (bytes)."""
+    hashes, pieces = vocabulary.hashes
+    longest, bpe = vocabulary.longest, vocabulary.kind == "bpe"
+    scores, space = vocabulary.scores.tolist(), vocabulary.pieces.index(SPACE)
+    beside: dict[tuple[int, int], bool] = {}
+
+    def admitted(a: int, b: int) -> bool:
+        if (a, b) not in beside:
+            beside[a, b] = not bpe or bool(known(np.array([a]), np.array([b]))[0])
+        return beside[a, b]
+
+    # last piece, score, count and whether the first piece is the mark alone, of the last prefixes; the empty one first
+    state: list[tuple[int, float, int, bool] | None] = [(-1, 0.0, 0, False)]
+    for a in range(0, len(word), STRETCH):
+        beside.clear()
+        low = max(0, a - longest)
+        part = word[low : a + STRETCH]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K._BYTE[part] * K._power(K._BASE, len(part)))))
+        inverse = K._power(K._BASE_INVERSE, len(part) + 1)
+        ends, sizes, found = [], [], []
+        for length in range(1, min(longest, len(part)) + 1):
+            b = np.arange(max(a - low + 1, length), len(part) + 1)
+            h = K.mix((total[b] - total[b - length]) * inverse[b - length] + K.U64(length * 0xA0761D6478BD642F % 2**64))
+            i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[i] == h)
+            ends.append(b[hit])
+            sizes.append(np.full(len(hit), length))
+            found.append(pieces[i[hit]])
+        end, size, piece = (np.concatenate(x) for x in (ends, sizes, found))
+        order = np.lexsort((size, end))
+        end, size, piece = end[order], size[order], piece[order]
+        at = np.searchsorted(end, np.arange(a - low + 1, len(part) + 2))
+        if bpe:  # which pieces of this stretch can follow which, asked once
+            before = end - size - (a - low + 1)
+            inside = np.flatnonzero(before >= 0)
+            n = np.diff(at)[before[inside]]
+            code = np.unique(piece[K.ranges(at[before[inside]], n)] * len(scores) + np.repeat(piece[inside], n))
+            beside.update(zip(zip((code // len(scores)).tolist(), (code % len(scores)).tolist(), strict=True), known(code // len(scores), code % len(scores)).tolist(), strict=True))
+        first = at.tolist()
+        size, piece = size.tolist(), piece.tolist()
+        kept = len(state) - 1  # the prefix that ends where this stretch begins
+        for k in range(len(first) - 1):
+            best: tuple[int, float, int, bool] | None = None
+            for e in range(first[k], first[k + 1]):
+                before = state[kept + 1 + k - size[e]]
+                if before is None or (before[0] >= 0 and not admitted(before[0], piece[e])):
+                    continue
+                score = before[1] + scores[piece[e]]
+                if bpe or best is None or score > best[1]:
+                    best = (piece[e], score, before[2] + 1, before[3] if before[2] else piece[e] == space)
+            state.append(best)
+        state = state[-longest - 1 :]
+    end_ = state[-1] or (-1, -np.inf, 0, False)
+    return end_[2], end_[1], end_[3]
+
+
+def terminals(data: np.ndarray, offs: np.ndarray, vocabulary: Vocabulary, known: _Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :meth:`Trie.terminals`, of words of any length."""
+    size = np.diff(offs)
+    short, long = np.flatnonzero(size <= DEEPEST), np.flatnonzero(size > DEEPEST)
+    count, score, alone = np.zeros(len(size), np.int64), np.zeros(len(size)), np.zeros(len(size), bool)
+    if len(short):
+        count[short], score[short], alone[short] = Trie(data[K.ranges(offs[short], size[short])], np.append(0, np.cumsum(size[short])), vocabulary, known).terminals()
+    for w in long.tolist():
+        count[w], score[w], alone[w] = path(data[offs[w] : offs[w + 1]], vocabulary, known)
+    return count, score, alone
+
+
 class Counter:
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
         self.v, self.known, self.remembered = vocabulary, _Known(vocabulary), remembered
@@ -131,7 +203,7 @@ class Counter:
             hit[hit] = self.keys[at[hit]] == keys[hit]
             if not hit.all():
                 spelt, o = units.spell(example[~hit])
-                c, s, alone = Trie(spelt, o, self.v, self.known).terminals()
+                c, s, alone = terminals(spelt, o, self.v, self.known)
                 every = np.concatenate((self.keys, keys[~hit]))
                 order = np.argsort(every, kind="stable")
                 self.keys = every[order]

@@ -246,17 +246,18 @@ def test_substring_dedup(docs, none, monkeypatch, hot):
     assert substring.deduplicate(none).count() == 0
 
 
-def _katz(rows, k=5):
-    """The model in plain dictionaries; returns the scorer and N."""
-    uni, bi = Counter(), Counter()
-    history = Counter()
+def _katz(rows, order=3, k=5):
+    """The model in plain dictionaries; returns the scorer of (history, word), the words' counts and N."""
+    grams = [None, *(Counter() for _ in range(order))]
+    follow = [None, *({} for _ in range(order))]  # of each order, the words after each history
     for i, t in rows:
         if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
-            seq = [*_words(t), "</s>"]
-            uni.update(seq)
-            for h, w in zip(["<s>", *seq], seq):
-                bi[h, w] += 1
-                history[h] += 1
+            seq = ["<s>"] * (order - 1) + [*_words(t), "</s>"]
+            for j in range(order - 1, len(seq)):
+                for n in range(1, order + 1):
+                    g = tuple(seq[j - n + 1 : j + 1])
+                    grams[n][g] += 1
+                    follow[n].setdefault(g[:-1], Counter())[g[-1]] += 1
 
     def discounts(counts):
         n = Counter(counts.values())
@@ -267,43 +268,50 @@ def _katz(rows, k=5):
             out[r] = x if 0 < x < 1 else (r - (n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5)) / r
         return lambda c: c * out.get(c, 1.0)
 
-    du, db = discounts(uni), discounts(bi)
-    total = sum(uni.values())
-    denominator = total + (not any(c <= k for c in uni.values()))
-    unknown = 1 - sum(du(c) for c in uni.values()) / denominator if total else 1.0
-    p1 = lambda w: du(uni[w]) / denominator if uni[w] else unknown
-
-    def p(h, w):
-        if not history[h]:
-            return p1(w)
-        seen = {x: c for (g, x), c in bi.items() if g == h}
-        bottom = history[h] + (not any(c <= k for c in seen.values()))
+    d = [None, *(discounts(x) for x in grams[1:])]
+    total = sum(grams[1].values())
+    low = lambda seen: not any(c <= k for c in seen.values())
+
+    def p(history, w):
+        n = len(history) + 1
+        seen = follow[n].get(history, {})
+        if n == 1:
+            bottom = total + low(seen)
+            return d[1](seen[w]) / bottom if seen.get(w) else (1 - sum(map(d[1], seen.values())) / bottom if total else 1.0)
+        if not seen:
+            return p(history[1:], w)
+        bottom = sum(seen.values()) + low(seen)
         if w in seen:
-            return db(seen[w]) / bottom
-        left = 1 - sum(db(c) for c in seen.values()) / bottom
-        return left / (1 - sum(p1(x) for x in seen)) * p1(w)
+            return d[n](seen[w]) / bottom
+        left = 1 - sum(map(d[n], seen.values())) / bottom
+        return left / (1 - sum(p(history[1:], x) for x in seen)) * p(history[1:], w)
 
-    return p, p1, uni, total, history
+    return p, {g[0]: c for g, c in grams[1].items()}, total, [h for f in follow[1:] for h in f]
 
 
-def test_katz_scores(docs, none, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_scores(docs, none, monkeypatch, order):
     monkeypatch.setattr(lm, "SLICE", 4000)
     rows = [(i, t) for i, t in DOCS if i is None or i not in (16, 17)]
-    p, p1, uni, total, history = _katz(rows)
-    for h in ["<s>", "the", "</s>x", *list(history)[:20]]:  # every distribution sums to one, with one unknown word
+    p, uni, total, histories = _katz(rows, order)
+    unseen = [("the",) * n for n in range(order)] + [("</s>x", "fox")[:n] for n in range(min(order, 3))]
+    for h in histories[:: max(1, len(histories) // 60)] + unseen:  # every distribution sums to one, with one unknown word
         assert abs(sum(p(h, w) for w in uni) + p(h, "<unknown>") - 1) < 1e-9
-    got = lm.score(docs.where("doc_id is null or doc_id not in (16, 17)"), bucket=20).collect()
+    got = lm.score(docs.where("doc_id is null or doc_id not in (16, 17)"), order=order, bucket=20).collect()
     assert len(got) == len(rows)
     texts = dict(rows)
     for r in got:
         seq = [*_words(texts[r.doc_id]), "</s>"]
-        assert r.train_tokens == total and r.n_tokens == len(seq) and r.n_known == sum(uni[w] > 0 for w in seq)
+        assert r.train_tokens == total and r.n_tokens == len(seq) and r.n_known == sum(w in uni for w in seq)
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-        assert r.base_score == pytest.approx(sum(math.log10((uni[w] + 1) / (total + len(uni) + 1)) for w in seq))
-        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *seq], seq))), r.doc_id
-    assert lm.score(none).count() == 0
-    alone = lm.score(docs.where("doc_id = 4"), held=F.lit(True)).first()
-    assert alone.train_tokens == 0 and alone.score == 0 and alone.base_score == 0
+        assert r.base_score == pytest.approx(sum(math.log10((uni.get(w, 0) + 1) / (total + len(uni) + 1)) for w in seq))
+        padded = ["<s>"] * (order - 1) + seq
+        want = sum(math.log10(p(tuple(padded[j : j + order - 1]), w)) for j, w in enumerate(seq))
+        assert r.score == pytest.approx(want), r.doc_id
+    if order == 3:
+        assert lm.score(none).count() == 0
+        alone = lm.score(docs.where("doc_id = 4"), held=F.lit(True)).first()
+        assert alone.train_tokens == 0 and alone.score == 0 and alone.base_score == 0
 
 
 def test_decontamination(spark, docs, none):

@@ -50,6 +50,25 @@ def test_counts_equal_the_library(vocabulary):
     assert tokens.tolist() == [*map(len, want), 0] and pre[-1] == 0
 
 
+def test_long_pretokens(vocabulary, monkeypatch):
+    """Beyond the trie's depth: against the library in stretches of any size, and one of a megabyte in bounded time."""
+    import time
+
+    import sentencepiece as lib
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abeinorst") for _ in range(n)) for n in (255, 256, 257, 300, 3000)] + ["x" * 5000, "ab " + "é" * 400 + "日本" * 200]
+    want = [len(x) for x in lib.SentencePieceProcessor(model_file=MODEL).encode(texts, num_threads=1)]
+    for stretch in (70, 1 << 16):
+        monkeypatch.setattr(tokencount, "STRETCH", stretch)
+        assert tokencount.Counter(vocabulary)(*kernel.texts(pa.array(texts)))[1].tolist() == want
+    short = [f"w{i}" for i in range(5000)]
+    began = time.perf_counter()
+    one = "".join(rng.choice("abeinorst") for _ in range(1 << 20))
+    tokens = tokencount.Counter(vocabulary)(*kernel.texts(pa.array([one, " ".join(short)])))[1]
+    assert time.perf_counter() - began < 120 and 1 << 17 < tokens[0] < 1 << 20
+
+
 def test_unigram_forward_scores():
     """A small unigram model against dynamic programming without a trie."""
     pieces = ["▁", "a", "b", "c", "ab", "bc", "▁a", "▁ab", "abc", "ca"]
@@ -70,6 +89,9 @@ def test_unigram_forward_scores():
     for w, s in zip(words, total):
         assert abs(s - brute("▁" + w)[0]) < 1e-9
     assert trie.nodes < len(data)
+    long = "▁" + "".join(rng.choice("abc") for _ in range(900))
+    n, total_, _ = tokencount.terminals(*kernel.texts(pa.array([long, "▁ab"])), v, tokencount._Known(v))
+    assert abs(total_[0] - brute(long)[0]) < 1e-9 and n[1] == 1
     encoder = sentencepiece.Encoder(v)
     ids, n = encoder.words(data, offs)
     at = np.concatenate(([0], np.cumsum(n)))
