@@ -6,6 +6,7 @@ out, and multi-line anchors know "\\n" only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,7 +29,13 @@ def total(columns: list[Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    """Without white space at the ends; a run is tried from its beginning only."""
+    return F.regexp_replace(text, f"^[{WS}]+|(?<![{WS}])[{WS}]+$", "")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def collapse(text: Column) -> Column:
@@ -42,7 +49,10 @@ def words(text: Column) -> Column:
 
 def hits(text: Column, needles: list[str]) -> Column:
     """How many of the strings occur in the lower-cased text."""
-    low = F.lower(text)
+    return bound(F.lower(text), lambda low: _found(low, needles))
+
+
+def _found(low: Column, needles: list[str]) -> Column:
     return total([F.contains(low, F.lit(n)).cast("int") for n in needles])
 
 
@@ -73,8 +83,10 @@ def content_type(text: Column) -> Column:
     )
 
 
-# --- cleaning ---
+# --- cleaning (fixed values: the patterns, in the order in which they are applied) ---
 URL, EMAIL, PHONE = rf"https?://[^{WS}]+", rf"[^{WS}]+@[^{WS}]+", r"\+?[0-9][0-9() .-]{7,}[0-9]"
+#: What EMAIL matches is a whole run without white space; this asks each run once.
+EMAIL_RUN = rf"(?<![^{WS}])[^{WS}][^{WS}@]*+@[^{WS}]+"
 TAG, ENTITY = r"<[^>]+>", r"&[a-zA-Z]+;|&#[0-9]+;"
 HYPHEN = rf"({WORD})-[{WS}]*\n[{WS}]*({WORD})"
 #: (pattern, replacement, multi-line) in the order in which they are applied to ordinary text.
@@ -105,7 +117,7 @@ def fix_unicode(text: Column) -> Column:
 
 def remove_contacts(text: Column, phones: bool = False) -> Column:
     """Links and e-mail addresses (and telephone numbers) go, white space collapses."""
-    out = F.regexp_replace(F.regexp_replace(text, URL, ""), EMAIL, "")
+    out = F.regexp_replace(F.regexp_replace(text, URL, ""), EMAIL_RUN, "")
     return collapse(F.regexp_replace(out, PHONE, "") if phones else out)
 
 
@@ -145,18 +157,23 @@ def quality(text: Column, technical: Column) -> Column:
     """Heuristic quality from 0 to 1."""
     n = F.length(text)
     d = lambda x: F.lit(float(x))
-    keywords = hits(text, KEYWORDS)
     sentences = F.split(text, "[.]", -1)
-    capital = F.size(F.filter(sentences, lambda s: s.rlike(rf"^[{WS}]*\p{{Lu}}")))
-    tone = (
-        F.when((F.size(sentences) > 2) & (capital / F.size(sentences) > 0.7), d(0.05)).otherwise(d(0))
-        + F.when(str_count(text, ".") + str_count(text, "!") + str_count(text, "?") > 2, d(0.05)).otherwise(d(0))
-        + F.when(hits(text, FORMAL) >= 2, d(0.05)).otherwise(d(0))
-        - F.when(any_of(text, INFORMAL), d(0.1)).otherwise(d(0))
-        + F.when(technical, d(0.1)).otherwise(d(0))
-    )
-    base = d(0.5) + F.when(n.between(500, 5000), d(0.1)).otherwise(d(0)) + F.when(keywords >= 3, d(0.2)).when(keywords >= 1, d(0.1)).otherwise(d(0))
-    return F.when((n < SHORT) | (n > LONG), d(0)).otherwise(F.least(d(1), F.greatest(d(0), base + tone)))
+    capitals = F.struct(F.size(sentences).alias("n"), F.size(F.filter(sentences, lambda s: s.rlike(rf"^[{WS}]*\p{{Lu}}"))).alias("capital"))
+    found = bound(F.lower(text), lambda low: F.struct(*(_found(low, x).alias(c) for c, x in (("keywords", KEYWORDS), ("formal", FORMAL), ("informal", INFORMAL)))))
+
+    def score(x: Column) -> Column:
+        sentence, hit = x["sentence"], x["hit"]
+        tone = (
+            F.when((sentence["n"] > 2) & (sentence["capital"] / sentence["n"] > 0.7), d(0.05)).otherwise(d(0))
+            + F.when(str_count(text, ".") + str_count(text, "!") + str_count(text, "?") > 2, d(0.05)).otherwise(d(0))
+            + F.when(hit["formal"] >= 2, d(0.05)).otherwise(d(0))
+            - F.when(hit["informal"] > 0, d(0.1)).otherwise(d(0))
+            + F.when(technical, d(0.1)).otherwise(d(0))
+        )
+        base = d(0.5) + F.when(n.between(500, 5000), d(0.1)).otherwise(d(0)) + F.when(hit["keywords"] >= 3, d(0.2)).when(hit["keywords"] >= 1, d(0.1)).otherwise(d(0))
+        return F.least(d(1), F.greatest(d(0), base + tone))
+
+    return F.when((n < SHORT) | (n > LONG), d(0)).otherwise(bound(F.struct(capitals.alias("sentence"), found.alias("hit")), score))
 
 
 # --- personality markers (fixed values: phrases, and how many make 1.0) ---

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.runtime import read_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = read_table(spark, f"{sf_dir}/documents.parquet")
     return d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", "lang")
 
 
@@ -91,7 +93,7 @@ FILES = """
 
 
 def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = read_table(spark, f"{sf_dir}/documents.parquet")
     return d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_id"), F.col("doc_id").cast("long").alias("chunk_index"), F.col("text").alias("content"), F.concat(F.lit("From "), "source", F.lit(" in "), "lang").alias("contextual_content"))
 
 

@@ -129,6 +129,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A table of at most so many bytes may be a single row group, which is one task.
+SPREAD_BYTES = 64 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A small one is dealt out to all cores; larger ones stay in the splits of their scan."""
+    df = spark.read.parquet(path)
+    return df.repartition(parallelism(spark)) if estimated_bytes(df) <= SPREAD_BYTES else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
