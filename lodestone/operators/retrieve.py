@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions import vectors as V
-from lodestone.runtime import materialize
+from lodestone.operators.vectorscan import scan
+from lodestone.runtime import materialize, maybe_broadcast
 
 #: Difficulty by level name, fusion and enrichment weights, phrases that ask for a summary.
 LEVELS = {"foundation": 1, "intermediate": 2, "advanced": 3, "research": 4, "frontier": 5}
@@ -17,6 +19,8 @@ SUMMARY = [
     "about the content", "main points", "key takeaways", "what's inside", "what is inside",
 ]
 CANDIDATES = 20
+#: Text queries that are broadcast at once.
+QUERIES = 1000
 
 
 def contains_all(path: Column, wanted: list[str]) -> Column:
@@ -37,8 +41,8 @@ def by_hierarchy(nodes: DataFrame, gate_id: int, branch_id: int | None = None, p
 def vector_search(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, gate_id: int | None = None, node_type: str | None = None, difficulty: int = 5, depth: tuple[int, int] = (1, 7)) -> DataFrame:
     """(query_id, node_id, vector_score, rank): exact cosine top-k of each query after filters.
 
-    Queries are the small side by contract (a batch of user queries); the
-    points stay where they are and each partition sends k rows a query at most.
+    Any number of queries, in blocks; the points stay where they are and each
+    partition sends k rows a query at most.
     """
     p = points
     if gate_id:
@@ -49,14 +53,7 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, ga
         p = p.where(F.col("difficulty_id") <= difficulty)
     if depth[0] > 1:
         p = p.where(F.col("depth") >= depth[0])
-    unit = lambda c: F.transform(V.doubles(F.col(c)), lambda x: x)
-    q = queries.select("query_id", unit("vector").alias("qv"), V.norm(F.col("vector")).alias("qn"))
-    n = p.select("node_id", unit("vector").alias("pv"), V.norm(F.col("vector")).alias("pn"))
-    score = F.try_divide(F.aggregate(F.zip_with("qv", "pv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.col("qn") * F.col("pn"))
-    scored = n.crossJoin(F.broadcast(q)).select("query_id", "node_id", score.alias("vector_score"))
-    # partial top-k before the exchange: a window over each query's rows keeps k of a task first (WindowGroupLimit)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vector_score"), "node_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scan(queries, p, k)
 
 
 def prerequisites(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
@@ -82,6 +79,12 @@ def examples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return linked(nodes, edges, "EXAMPLE_OF", "PROBLEM")
 
 
+def ranked_examples(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` examples of each node with the largest weight, smaller ids first among equals."""
+    rank = F.row_number().over(Window.partitionBy("to_node").orderBy(F.desc("weight"), "node_id"))
+    return examples(nodes, edges).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def verifiers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return linked(nodes, edges, "VERIFIES", "SKILL")
 
@@ -104,12 +107,12 @@ def enrich(candidates: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int
     return out.withColumn("graph_score", F.lit(0.4) * part("p", 3) + F.lit(0.3) * part("e", 2) + F.lit(0.3) * part("v", 1))
 
 
-def fuse(enriched: DataFrame, k: int, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+def fuse(enriched: DataFrame, k: int, weights: tuple[float, float, float] = WEIGHTS, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Weighted sum of vector, graph and quality scores; the k best of each query, earlier candidates first among equals."""
     v, g, q = weights
     quality = F.when(F.coalesce("quality", F.lit(0.0)) == 0, 0.5).otherwise(F.col("quality"))
     score = F.lit(v) * F.coalesce("vector_score", F.lit(0.0)) + F.lit(g) * F.coalesce("graph_score", F.lit(0.0)) + F.lit(q) * quality
-    w = Window.partitionBy("query_id").orderBy(F.desc("combined"), "rank")
+    w = Window.partitionBy(*by).orderBy(F.desc("combined"), "rank")
     return enriched.withColumn("combined", score).withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
@@ -129,13 +132,26 @@ def ilike(text: Column, query: Column, literal: bool = False) -> Column:
     return F.contains(F.lower(text), F.lower(query)) if literal else F.call_function("ilike", text, F.concat(F.lit("%"), query, F.lit("%")))
 
 
+def query_blocks(queries: DataFrame, most: int = QUERIES) -> Iterator[DataFrame]:
+    """At most about ``most`` queries at a time, to be broadcast."""
+    number = max(1, -(-queries.count() // most))
+    for k in range(number):
+        yield F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == k) if number > 1 else queries)
+
+
 def text_fallback(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, gate_id: int | None = None, literal: bool = False) -> DataFrame:
-    """(query_id, node_id, vector_score, rank): chunks that contain the query, best quality first, with a fixed score."""
+    """(query_id, node_id, vector_score, rank): chunks that contain the query, best quality first, with a fixed score.
+
+    Every text is compared with the queries of a block where it is; only hits
+    are shuffled, k of a task and query at most. Null or empty queries find nothing.
+    """
     c = chunks if gate_id is None else chunks.where(F.col("gate_id") == gate_id)
-    q = queries.select("query_id", F.col("text").alias("query"))
-    hits = c.join(F.broadcast(q), ilike(F.col("content"), F.col("query"), literal))
+    found = None
+    for q in query_blocks(queries.select("query_id", F.col("text").alias("query")).where("query <> ''")):
+        some = c.join(q, ilike(F.col("content"), F.col("query"), literal)).select("query_id", "node_id", "quality")
+        found = some if found is None else found.unionAll(some)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("quality"), "node_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "node_id", F.lit(0.5).alias("vector_score"), "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "node_id", F.lit(0.5).alias("vector_score"), "rank")
 
 
 def wants_summary(query: str) -> bool:
@@ -156,40 +172,66 @@ def file_search(query: str, files: DataFrame, file_chunks: DataFrame, session_id
     return rows.withColumn("score", score).orderBy(F.desc("score"), "chunk_index", "chunk_id").limit(limit).select("chunk_id", "file_id", "chunk_index", "score")
 
 
-def combine(file_hits: DataFrame, hits: DataFrame, k: int, merge: bool = False) -> DataFrame:
-    """File hits alone if they fill k or nothing else was found; they are dropped otherwise, unless merged."""
-    n = file_hits.limit(k).count()
-    if n >= k or not hits.limit(1).count():
-        return file_hits.limit(k)
-    return file_hits.unionByName(hits, allowMissingColumns=True).limit(k) if merge else hits
+def file_hits(queries: DataFrame, files: DataFrame, file_chunks: DataFrame, k: int = 10, literal: bool = False) -> DataFrame:
+    """:func:`file_search` for many (query_id, text, session_id): (query_id, chunk_id, file_id, chunk_index, score, position)."""
+    q = queries.where("session_id is not null and text <> ''").select("query_id", "text", "session_id")
+    summary = F.lit(False)
+    for p in SUMMARY:
+        summary = summary | F.contains(F.lower("text"), F.lit(p))
+    q = q.withColumn("summary", summary)
+    f = files.select("file_id", "session_id", "uploaded_at")
+    newest = f.groupBy("session_id").agg(F.max_by("file_id", F.struct("uploaded_at", "file_id")).alias("file_id"))
+    chunk = file_chunks.select("chunk_id", "file_id", "chunk_index", "content", "contextual_content")
+    whole = q.where("summary").join(newest, "session_id").join(chunk, "file_id").select("query_id", "chunk_id", "file_id", "chunk_index", F.lit(1.0).alias("score"), F.lit(5).alias("most"))
+    rows = q.where("not summary").join(f, "session_id").join(chunk, "file_id")
+    hit, context = ilike(F.col("content"), F.col("text"), literal), ilike(F.col("contextual_content"), F.col("text"), literal)
+    found = rows.where(hit | context).select("query_id", "chunk_id", "file_id", "chunk_index", F.when(hit, 2.0).otherwise(1.5).alias("score"), F.lit(k).alias("most"))
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index", "chunk_id"))
+    return whole.unionByName(found).withColumn("position", position).where(F.col("position") <= F.least("most", F.lit(k))).drop("most")
 
 
-def multi_gate(points: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, gate_ids: list[int], k: int = 5) -> DataFrame:
-    """The k best of each query in each gate: one scan and one ranking for all gates."""
-    some = points.where(F.col("gate_id").isin(gate_ids))
-    q = queries.select("query_id", F.col("vector").alias("qv"))
-    scored = some.crossJoin(F.broadcast(q)).select("query_id", "gate_id", "node_id", V.cosine(F.col("qv"), F.col("vector")).alias("vector_score"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "gate_id").orderBy(F.desc("vector_score"), "node_id"))
-    found = materialize(scored.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES), "candidates")
-    return fuse_by_gate(enrich(found, nodes, edges), k)
+def combine(file_hits: DataFrame, hits: DataFrame, k: int, merge: bool = False) -> DataFrame:
+    """(query_id, kind, id, score, position) of hits (query_id, id, score, position): those in files alone where
+    they fill k or nothing else was found; they are dropped otherwise, or put first if merged."""
+    counts = file_hits.groupBy("query_id").agg(F.count("*").alias("in_files")).join(hits.groupBy("query_id").agg(F.count("*").alias("others")), "query_id", "full")
+    alone = (F.col("in_files") >= k) | F.col("others").isNull()
+    side = lambda df, kind: df.select("query_id", F.lit(kind).alias("kind"), "id", "score", "position")
+    # a count of each query: the sets are rank-limited, so this is small beside what was searched
+    files = side(file_hits, "file").join(counts, "query_id").where(alone | F.lit(merge)).drop("in_files", "others")
+    rest = side(hits, "node").join(counts, "query_id").where(~F.coalesce(alone, F.lit(False)))
+    if merge:
+        rest = rest.withColumn("position", F.col("position") + F.coalesce("in_files", F.lit(0)))
+    return files.unionByName(rest.drop("in_files", "others")).where(F.col("position") <= k)
+
+
+def hybrid_retrieve(queries: DataFrame, points: DataFrame, nodes: DataFrame, edges: DataFrame, texts: DataFrame, files: DataFrame, file_chunks: DataFrame, k: int = 10, level: str = "intermediate", merge: bool = False) -> DataFrame:
+    """(query_id, kind, id, score, position): the whole of retrieval for many (query_id, vector, text, session_id).
+
+    Hits in the session's files come first and may be enough; else vector
+    candidates (text candidates without a vector), graph enrichment, fusion.
+    """
+    in_files = file_hits(queries, files, file_chunks, k).select("query_id", F.col("chunk_id").alias("id"), "score", "position")
+    in_files = materialize(in_files, "file-hits")
+    ranked = hybrid(queries, points, nodes, edges, k, level, texts=texts)
+    return combine(in_files, ranked.select("query_id", F.col("node_id").alias("id"), F.col("combined").alias("score"), "position"), k, merge)
 
 
-def fuse_by_gate(enriched: DataFrame, k: int) -> DataFrame:
-    v, g, q = WEIGHTS
-    quality = F.when(F.coalesce("quality", F.lit(0.0)) == 0, 0.5).otherwise(F.col("quality"))
-    score = F.lit(v) * F.coalesce("vector_score", F.lit(0.0)) + F.lit(g) * F.col("graph_score") + F.lit(q) * quality
-    w = Window.partitionBy("query_id", "gate_id").orderBy(F.desc("combined"), "rank")
-    return enriched.withColumn("combined", score).withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+def multi_gate(points: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, gate_ids: list[int] | None = None, k: int = 5, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """The k best of each query in each gate (all gates without a list): one scan and one ranking for all."""
+    some = points if gate_ids is None else points.where(F.col("gate_id").isin(gate_ids))
+    found = materialize(scan(queries, some, CANDIDATES, by="gate_id"), "candidates")
+    return fuse(enrich(found, nodes, edges), k, weights, by=("query_id", "gate_id"))
 
 
 def bm25(queries: DataFrame, words: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, position) over an occurrence table (chunk_id, word)."""
     size = words.groupBy("chunk_id").agg(F.count("*").alias("n"))
     stats = size.agg(F.count("*").alias("chunks"), F.avg("n").alias("mean"))
-    wanted = F.broadcast(queries.select("word").distinct())
+    queries = materialize(queries, "words")
+    wanted = maybe_broadcast(queries.select("word").distinct())
     tf = words.join(wanted, "word").groupBy("chunk_id", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "word").join(F.broadcast(queries), "word").join(size, "chunk_id").crossJoin(F.broadcast(stats))
+    rows = tf.join(df, "word").join(maybe_broadcast(queries), "word").join(size, "chunk_id").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     scored = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -365,13 +365,13 @@ def prereq_walk(spark, d):
 @query(f"""
     WITH RECURSIVE {X.EDGES}, u AS (SELECT from_node AS a, to_node AS b FROM edges UNION SELECT to_node, from_node FROM edges),
     l AS (
-        SELECT a AS start, b AS node_id, 1 AS depth FROM u WHERE a < 50
+        SELECT a AS start, b AS node_id, 1 AS depth FROM u WHERE a % 100 = 0
         UNION SELECT l.start, u.b, 2 FROM l JOIN u ON u.a = l.node_id WHERE l.depth = 1
     ), m AS (SELECT start, node_id, min(depth) AS depth FROM l WHERE start <> node_id GROUP BY start, node_id)
     SELECT start, node_id, CAST(depth AS INTEGER) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, node_id) AS n FROM m) WHERE n <= 50
 """)
 def related_entities(spark, d):
-    return graph.related(X.edges(spark, d), X.nodes(spark, d).where("node_id < 50").select("node_id"))
+    return graph.related(X.edges(spark, d), X.nodes(spark, d).where("node_id % 100 = 0").select("node_id"))
 
 
 @query(f"""
@@ -385,7 +385,7 @@ def find_path(spark, d):
 
 
 _TOPK = f"""
-    q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 10),
+    q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 100 = 0),
     topk AS (
         SELECT query_id, node_id, s AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS rank
         FROM (SELECT query_id, node_id, {S.cosine('qv', 'vector')} AS s FROM q, nodes WHERE {{where}}) QUALIFY rank <= 20
@@ -403,19 +403,23 @@ def vector_filtered(spark, d):
     return found.select("query_id", "node_id", ROUND("vector_score").alias("vector_score"), "rank")
 
 
-_WANTED = ["thion", "the of", "und der", "zz_zz"]
+#: Every document whose id is divisible by 100 asks for its first longer word.
+_ASKED = "asked AS (SELECT doc_id AS query_id, regexp_extract(text, '([a-zA-Z]{6,})', 1) AS query FROM documents WHERE doc_id % 100 = 0)"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    t = X.table(spark, d, "documents").where("doc_id % 100 = 0")
+    return t.select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", "([a-zA-Z]{6,})", 1).alias("text"))
 
 
 @query(f"""
-    WITH q AS (SELECT * FROM (VALUES {', '.join(f"({i}, {S.lit(w)})" for i, w in enumerate(_WANTED))}) t(query_id, query)),
-    c AS (SELECT d.doc_id AS node_id, text, CASE WHEN d.doc_id % 7 <> 0 THEN (d.doc_id % 10) / 10.0::DOUBLE END AS quality FROM documents d)
-    SELECT CAST(query_id AS INTEGER) AS query_id, node_id, 0.5::DOUBLE AS vector_score, CAST(n AS INTEGER) AS rank
-    FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC NULLS LAST, node_id) AS n FROM q JOIN c ON c.text ILIKE '%' || q.query || '%') WHERE n <= 20
+    WITH {_ASKED}, c AS (SELECT d.doc_id AS node_id, text, CASE WHEN d.doc_id % 7 <> 0 THEN (d.doc_id % 10) / 10.0::DOUBLE END AS quality FROM documents d)
+    SELECT query_id, node_id, 0.5::DOUBLE AS vector_score, CAST(n AS INTEGER) AS rank
+    FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC NULLS LAST, node_id) AS n FROM asked q JOIN c ON q.query <> '' AND c.text ILIKE '%' || q.query || '%') WHERE n <= 20
 """)
 def text_fallback(spark, d):
-    q = spark.createDataFrame(list(enumerate(_WANTED)), "query_id int, text string")
     c = X.chunks(spark, d).select(F.col("chunk_id").alias("node_id"), "content", F.when(F.col("chunk_id") % 7 != 0, (F.col("chunk_id") % 10) / F.lit(10.0)).alias("quality"))
-    return retrieve.text_fallback(q, c)
+    return retrieve.text_fallback(_asked(spark, d), c)
 
 
 @query(f"""
@@ -467,7 +471,7 @@ def hybrid_rank(spark, d):
 
 
 _BY_GATE = f"""
-    q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 10),
+    q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 100 = 0),
     topk AS (
         SELECT query_id, gate_id, node_id, s AS vector_score, row_number() OVER (PARTITION BY query_id, gate_id ORDER BY s DESC, node_id) AS rank
         FROM (SELECT query_id, gate_id, node_id, {S.cosine('qv', 'vector')} AS s FROM q, nodes WHERE gate_id IN (1, 2, 3)) QUALIFY rank <= 20
@@ -502,7 +506,7 @@ def bm25(spark, d):
 
 @query(f"""
     WITH {X.NODES}, {_TOPK.format(where='true')},
-    rel AS (SELECT q.vec_id AS query_id, n.vec_id AS node_id FROM embeddings q JOIN embeddings n ON n.label = q.label WHERE q.vec_id < 10),
+    rel AS (SELECT q.vec_id AS query_id, n.vec_id AS node_id FROM embeddings q JOIN embeddings n ON n.label = q.label WHERE q.vec_id % 100 = 0),
     r AS (SELECT query_id, count(*) AS r FROM rel GROUP BY 1),
     h AS (SELECT t.query_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS f FROM topk t JOIN rel ON rel.query_id = t.query_id AND rel.node_id = t.node_id GROUP BY 1),
     i AS (SELECT r.query_id, r, coalesce(hits, 0) AS hits, coalesce(dcg / list_sum(list_transform(range(1, least(r, 20) + 1), lambda k: 1 / log2(k + 1))), 0) AS ndcg, coalesce(1 / f, 0) AS rr FROM r LEFT JOIN h ON h.query_id = r.query_id)
@@ -511,8 +515,8 @@ def bm25(spark, d):
 def ir_metrics(spark, d):
     n = X.nodes(spark, d)
     ranked = retrieve.vector_search(X.vector_queries(spark, d), n)
-    q = n.where("node_id < 10").select(F.col("node_id").alias("query_id"), "gate_id")
-    return retrieve.ir_metrics(ranked, F.broadcast(q).join(n.select("node_id", "gate_id"), "gate_id").select("query_id", "node_id"))
+    q = n.where("node_id % 100 = 0").select(F.col("node_id").alias("query_id"), "gate_id")
+    return retrieve.ir_metrics(ranked, q.join(n.select("node_id", "gate_id"), "gate_id").select("query_id", "node_id"))
 
 
 @query(f"WITH {X.NODES} SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(gate_id = 3) AS BIGINT) AS gate, CAST(count_if(gate_id = 3 AND branch_id = 2) AS BIGINT) AS branch, CAST(count_if(gate_id = 3 AND branch_id = 2 AND difficulty_id <= 3) AS BIGINT) AS level FROM nodes")
