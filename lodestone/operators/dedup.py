@@ -29,29 +29,54 @@ def word_sets(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "source", F.explode(F.array_distinct(T.words(F.lower("content")))).alias("word"))
 
 
+def classes(chunks: DataFrame, scope: str = "file") -> DataFrame:
+    """(chunk_id, content_hash, rep, rep_hash): the first chunk with the same word set, by file or over all, and its content's hash.
+
+    A chunk without words is like those of the same content only.
+    """
+    words = F.array_sort(F.array_distinct(T.words(F.lower("content"))))
+    text = F.sha2("content", 256)
+    key = F.when(F.size(words) > 0, F.sha2(F.array_join(words, "\x01"), 256)).otherwise(F.concat(F.lit("="), text))
+    rows = chunks.select("chunk_id", "source", text.alias("content_hash"), key.alias("key"))
+    by = ["key"] + (["source"] if scope == "file" else [])
+    first = rows.groupBy(*by).agg(F.min("chunk_id").alias("rep"), F.min_by("content_hash", "chunk_id").alias("rep_hash"))
+    return rows.join(first, by).select("chunk_id", "content_hash", "rep", "rep_hash")
+
+
+def representatives(chunks: DataFrame, scope: str = "file") -> DataFrame:
+    """The chunks that are the first with their word set: copies aren't paired with copies."""
+    return chunks.join(classes(chunks, scope).where("chunk_id = rep").select("chunk_id"), "chunk_id", "left_semi")
+
+
 def similar_pairs(chunks: DataFrame, threshold: float = THRESHOLD, scope: str = "file") -> DataFrame:
-    """Pairs (a < b) with a word-set Jaccard similarity of at least the threshold.
+    """Pairs (a < b) of the first chunks of their word sets with a Jaccard similarity of at least the threshold.
 
     Prefix filter: sets that similar share one of their rarest n - ceil(t n) + 1
     words. Counts over the prefix give candidates; sets are compared for those.
     """
     t = F.lit(threshold)
+    chunks = materialize(representatives(chunks, scope), "representatives")
     sets = word_sets(chunks)
     df = sets.groupBy("word").agg(F.count("*").alias("df"))
     sized = sets.join(df, "word")
     order = F.row_number().over(Window.partitionBy("chunk_id").orderBy("df", "word"))
     n = F.count("*").over(Window.partitionBy("chunk_id"))
     prefix = sized.withColumn("rank", order).withColumn("n", n).where(F.col("rank") <= F.col("n") - F.ceil(t * F.col("n")) + 1).select("chunk_id", "source", "word", "n")
+    prefix = materialize(prefix, "prefix")  # read by both sides
     a, b = prefix.alias("a"), prefix.alias("b")
     on = (F.col("a.word") == F.col("b.word")) & (F.col("a.chunk_id") < F.col("b.chunk_id")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))
     if scope == "file":
         on = on & (F.col("a.source") == F.col("b.source"))
     pairs = a.join(b, on).select(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b")).distinct()
+    return _similar(chunks, pairs).where(F.col("jaccard") >= t).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _similar(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of pairs of chunks."""
     whole = chunks.select("chunk_id", F.array_distinct(T.words(F.lower("content"))).alias("words"))
     both = pairs.join(whole.toDF("a", "wa"), "a").join(whole.toDF("b", "wb"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    similarity = common / (F.size("wa") + F.size("wb") - common)
-    return both.where(similarity >= t).select("a", "b", F.round(similarity, 6).alias("jaccard"))
+    return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("jaccard"))
 
 
 def first_wins(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -79,12 +104,17 @@ def first_wins(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("chunk_id").join(state, "chunk_id", "left").select("chunk_id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
-def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, scope: str = "file") -> DataFrame:
-    """chunk_id and status (kept, exact, near): exact copies go first, then greedy near duplicates."""
-    unique = exact(chunks, scope).select("chunk_id")
-    rest = chunks.join(unique, "chunk_id", "left_semi")
-    kept = first_wins(unique, similar_pairs(rest, threshold, scope))
-    return chunks.select("chunk_id").join(kept, "chunk_id", "left").select("chunk_id", F.when(F.col("kept").isNull(), "exact").when(F.col("kept"), "kept").otherwise("near").alias("status"))
+def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, scope: str = "file", pairs: DataFrame | None = None) -> DataFrame:
+    """chunk_id and status (kept, exact, near): what is kept in order of id, and the copies of what is kept.
+
+    A copy of a chunk that went as a near duplicate is a near duplicate as well:
+    only what is kept is compared with. ``pairs`` of first chunks may be given.
+    """
+    of = materialize(classes(chunks, scope), "classes")
+    first = of.where("chunk_id = rep").select("chunk_id")
+    kept = first_wins(first, similar_pairs(chunks, threshold, scope) if pairs is None else pairs).select(F.col("chunk_id").alias("rep"), "kept")
+    status = F.when(~F.col("kept"), "near").when(F.col("chunk_id") == F.col("rep"), "kept").when(F.col("content_hash") == F.col("rep_hash"), "exact").otherwise("near")
+    return of.join(kept, "rep").select("chunk_id", status.alias("status"))
 
 
 def minhash_bands(chunks: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, seed: int = 1) -> DataFrame:
@@ -121,19 +151,15 @@ def _fold(row: np.ndarray) -> bytes:
 
 
 def minhash_pairs(chunks: DataFrame, threshold: float = THRESHOLD, scope: str = "file", verify: bool = True) -> DataFrame:
-    """Candidate pairs of the banded index, verified by exact Jaccard unless told not to."""
-    keys = minhash_bands(chunks)
+    """Candidate pairs (a < b) of the banded index over the first chunks of their word sets, verified by exact Jaccard unless told not to."""
+    chunks = materialize(representatives(chunks, scope), "representatives")
+    keys = materialize(minhash_bands(chunks), "bands")
     on = ["band", "key"] + (["source"] if scope == "file" else [])
     a, b = keys.withColumnRenamed("chunk_id", "a"), keys.withColumnRenamed("chunk_id", "b")
     if scope != "file":
         a, b = a.drop("source"), b.drop("source")
     pairs = a.join(b, on).where("a < b").select("a", "b").distinct()
-    if not verify:
-        return pairs
-    whole = chunks.select("chunk_id", F.array_distinct(T.words(F.lower("content"))).alias("words"))
-    both = pairs.join(whole.toDF("a", "wa"), "a").join(whole.toDF("b", "wb"), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common / (F.size("wa") + F.size("wb") - common) >= threshold).select("a", "b")
+    return _similar(chunks, pairs).where(F.col("jaccard") >= threshold).select("a", "b") if verify else pairs
 
 
 def dedup_stats(status: DataFrame) -> DataFrame:

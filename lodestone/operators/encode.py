@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import number_rows
+from lodestone.runtime import maybe_broadcast, number_rows
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 MIN_FREQUENCY, CLUSTERS = 5, 500
@@ -22,13 +22,19 @@ def occurrences(chunks: DataFrame) -> DataFrame:
 
 def vocabulary(chunks: DataFrame, min_frequency: int = MIN_FREQUENCY) -> DataFrame:
     """(token, id, frequency) of frequent tokens; ids count all distinct tokens in order of their first occurrence."""
-    counted = occurrences(chunks).groupBy("token").agg(F.count("*").alias("frequency"), F.min(F.struct("chunk_id", "pos")).alias("first"))
+    # the place of a token as one number, which a hash aggregate can hold
+    place = F.col("chunk_id").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("pos")
+    counted = occurrences(chunks).groupBy("token").agg(F.count("*").alias("frequency"), F.min(place.cast("decimal(38,0)")).alias("first"))
     return number_rows(counted, "first", name="id").where(F.col("frequency") >= min_frequency).select("token", "id", "frequency")
 
 
 def encode(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(chunk_id, ids): token ids in order, -1 for unknown ones."""
-    coded = occurrences(chunks).join(vocab.select("token", "id"), "token", "left")
+    """(chunk_id, ids): token ids in order, -1 for unknown ones.
+
+    A vocabulary of checked size is broadcast, so that no token is a key of an exchange; a larger one is
+    joined, and adaptive execution splits the common tokens.
+    """
+    coded = occurrences(chunks).join(maybe_broadcast(vocab.select("token", "id")), "token", "left")
     return coded.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(-1)).alias("id")))), lambda s: s["id"]).alias("ids"))
 
 

@@ -15,6 +15,7 @@ from lodestone.functions import gates as G
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators.retrieve import LEVELS
+from lodestone.runtime import running_total
 
 #: Fixed values of the routing rules.
 SKIP = [r"^(hi|hello|hey|thanks|thank you)", r"^(yes|no|okay|ok|sure)", r"^what is"]
@@ -147,8 +148,8 @@ def format_taxonomy(tree: list[dict], most: int = 5, depth: int = 3, lines: int
 
 def assign_batches(chunks: DataFrame, workers: int, size: int = 10) -> DataFrame:
     """Batch and worker of each chunk: batches of ``size`` by gate in order of id, dealt in turn."""
-    n = F.row_number().over(Window.partitionBy("gate").orderBy("chunk_id")) - 1
-    return chunks.withColumn("batch", F.floor(n / size).cast("int")).withColumn("worker", F.col("batch") % workers)
+    rows = running_total(chunks, "gate", "chunk_id", F.lit(1), "n")
+    return rows.withColumn("batch", F.floor(F.col("n") / size).cast("int")).withColumn("worker", F.col("batch") % workers).drop("n")
 
 
 def classify(chunks: DataFrame, ask: Callable[[str, list[str]], str], size: int = 10) -> DataFrame:

@@ -110,44 +110,70 @@ def exact_dedup_global(spark, d):
     return dedup.exact(X.chunks(spark, d), "global")
 
 
-_PAIRS = f"""
-    w AS (SELECT doc_id, source, list_distinct({S.words("lower(text)")}) AS w FROM documents),
+def _greedy(scope: str) -> str:
+    """Word-set classes, similar pairs of their first documents, and those that go in order of id."""
+    by, same = ("source, key", "a.source = b.source AND") if scope == "file" else ("key", "")
+    return f"""
+    w0 AS (SELECT doc_id, source, sha256(text) AS h, list_sort(list_distinct({S.words("lower(text)")})) AS w FROM documents),
+    w1 AS (SELECT *, CASE WHEN len(w) = 0 THEN '=' || h ELSE array_to_string(w, chr(1)) END AS key FROM w0),
+    w AS (SELECT *, min(doc_id) OVER (PARTITION BY {by}) AS rep FROM w1),
+    firsts AS (SELECT doc_id, source, w, h FROM w WHERE doc_id = rep),
+    o AS (SELECT doc_id, source, len(w) AS n, unnest(w) AS word FROM firsts),
+    df AS (SELECT word, count(*) AS df FROM o GROUP BY word),
+    prefix AS (
+        SELECT doc_id, source, n, word FROM (SELECT o.*, row_number() OVER (PARTITION BY doc_id ORDER BY df, o.word) AS k FROM o JOIN df ON df.word = o.word)
+        WHERE k <= n - ceil(0.85::DOUBLE * n) + 1
+    ),
+    shared AS (
+        SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON {same} a.word = b.word AND a.doc_id < b.doc_id
+        WHERE least(a.n, b.n) >= 0.85::DOUBLE * greatest(a.n, b.n)
+    ),
     pairs AS (
         SELECT a, b, j FROM (
-            SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb, c / (na + nb - c) AS j
-            FROM w a JOIN w b ON a.source = b.source AND a.doc_id < b.doc_id
-            WHERE least(len(a.w), len(b.w)) >= 0.85::DOUBLE * greatest(len(a.w), len(b.w)) AND len(a.w) > 0
+            SELECT a, b, len(list_intersect(x.w, y.w)) AS c, len(x.w) AS na, len(y.w) AS nb, c / (na + nb - c) AS j
+            FROM shared JOIN firsts x ON x.doc_id = a JOIN firsts y ON y.doc_id = b
         ) WHERE j >= 0.85::DOUBLE
+    ),
+    ordered AS (SELECT b AS node, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM pairs GROUP BY b),
+    walk AS (
+        SELECT 0::BIGINT AS i, []::BIGINT[] AS gone
+        UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.earlier, lambda x: NOT list_contains(walk.gone, x))) > 0 THEN list_append(walk.gone, o.node) ELSE walk.gone END FROM walk JOIN ordered o ON o.i = walk.i + 1
+    ),
+    gone AS (SELECT unnest(gone) AS rep FROM walk WHERE i = (SELECT max(i) FROM walk)),
+    status AS (
+        SELECT w.doc_id AS chunk_id, CASE WHEN g.rep IS NOT NULL THEN 'near' WHEN w.doc_id = w.rep THEN 'kept' WHEN w.h = f.h THEN 'exact' ELSE 'near' END AS status
+        FROM w JOIN firsts f ON f.doc_id = w.rep LEFT JOIN gone g ON g.rep = w.rep
     )"""
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, round(j, 6) AS jaccard FROM pairs")
+@query(f"WITH RECURSIVE {_greedy('file')} SELECT a, b, round(j, 6) AS jaccard FROM pairs")
 def jaccard_pairs(spark, d):
     return dedup.similar_pairs(X.chunks(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_greedy('file')} SELECT * FROM status")
 def near_duplicates(spark, d):
     return dedup.near_duplicates(X.chunks(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_greedy('global')} SELECT * FROM status")
 def near_duplicates_global(spark, d):
     return dedup.near_duplicates(X.chunks(spark, d), scope="global")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) - count(DISTINCT source || sha256(text)) AS BIGINT) AS exact_duplicates, CAST(count(DISTINCT source || sha256(text)) AS BIGINT) AS kept FROM documents")
+@query(f"""
+    WITH RECURSIVE {_greedy('global')}
+    SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(status = 'exact') AS BIGINT) AS exact_duplicates, CAST(count_if(status = 'near') AS BIGINT) AS near_duplicates,
+        CAST(count_if(status = 'kept') AS BIGINT) AS kept, round(count_if(status <> 'kept') / count(*), 6) AS ratio FROM status
+""")
 def dedup_stats(spark, d):
-    c = X.chunks(spark, d)
-    first = dedup.exact(c).select("chunk_id", F.lit("kept").alias("s"))
-    status = c.select("chunk_id").join(first, "chunk_id", "left").select("chunk_id", F.coalesce("s", F.lit("exact")).alias("status"))
-    return dedup.dedup_stats(status).select("total", "exact_duplicates", "kept")
+    return dedup.dedup_stats(dedup.near_duplicates(X.chunks(spark, d), scope="global"))
 
 
 @query()
 def minhash_dedup(spark, d):
     c = X.chunks(spark, d)
-    return dedup.first_wins(c.select("chunk_id"), dedup.minhash_pairs(c))
+    return dedup.near_duplicates(c, pairs=dedup.minhash_pairs(c))
 
 
 # ---------------------------------------------------------------- cleaning

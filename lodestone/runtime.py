@@ -115,6 +115,26 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "number") -> Da
     return rows.join(F.broadcast(offsets), "__part").withColumn(name, within + F.col("__before")).drop("__id", "__part", "__before")
 
 
+def running_total(df: DataFrame, by: str, order: str, value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows before, within groups of ``by`` in the order of ``order``.
+
+    The rows are sorted by ranges and written once; a group that spans many
+    ranges is summed up in each, offset by its sums in those before it, so that
+    no task sees a whole group.
+    """
+    part, held, before, own = fresh(df.withColumn(name, F.lit(0)), "part", "held", "before", "own")
+    rows = df.withColumn(own, value).orderBy(by, order).withColumn(part, F.shiftright(F.monotonically_increasing_id(), 33))
+    rows = materialize(rows, "running")
+    earlier = F.coalesce(F.sum(held).over(Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range and the groups that it has, most of which are in one range alone
+    sums = rows.groupBy(by, part).agg(F.sum(own).alias(held)).select(by, part, earlier.alias(before))
+    within = F.sum(own).over(Window.partitionBy(by, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumnRenamed(by, held).withColumnRenamed(part, f"{part}2")
+    out = rows.withColumn(name, F.coalesce(within, F.lit(0)))
+    out = out.join(sums, (out[by].eqNullSafe(sums[held])) & (out[part] == sums[f"{part}2"]))
+    return out.withColumn(name, F.col(name) + F.col(before)).drop(own, part, before, held, f"{part}2")
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` returned."""
     spark = df.sparkSession

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
+from lodestone.runtime import fresh, running_total
 
 #: Fields of an item in order of preference, and the answers that follow.
 CONTENT_FIELDS = ["problem", "question", "text", "content", "prompt", "instruction", "input", "code"]
@@ -59,8 +60,8 @@ def as_chunks(rows: DataFrame, dataset: str, gate: str) -> DataFrame:
 
 def within_budget(rows: DataFrame, budget_bytes: int, by: str, order: str, text: str) -> DataFrame:
     """Rows of each group up to and including that which fills the budget."""
-    before = F.sum(F.octet_length(text)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < budget_bytes).drop("_before")
+    before, = fresh(rows, "before")
+    return running_total(rows, by, order, F.octet_length(text), before).where(F.col(before) < budget_bytes).drop(before)
 
 
 def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
