@@ -109,18 +109,49 @@ PAGE_RULES = [
 ]
 
 
+#: UTF-8 read as Latin-1: the commonest sequences.
+REPAIRS = {"â€™": "’", "â€œ": "“", "â€“": "–", "â€”": "—", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä", "Ã±": "ñ", "Â ": " "}
+
+
 def fix_unicode(text: Column) -> Column:
-    """Replaces the commonest UTF-8-read-as-Latin-1 sequences; other text is left alone."""
-    fixed = {"â€™": "’", "â€œ": "“", "â€“": "–", "â€”": "—", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä", "Ã±": "ñ", "Â ": " "}
-    return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), fixed.items(), text)
+    """Replaces the commonest mis-decoded sequences; other text is left alone."""
+    return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), REPAIRS.items(), text)
+
 
+def unicode_repairs(text: Column) -> Column:
+    """How many sequences :func:`fix_unicode` replaces."""
+    return total([str_count(text, bad) for bad in REPAIRS])
 
-def remove_contacts(text: Column, phones: bool = False) -> Column:
-    """Links and e-mail addresses (and telephone numbers) go, white space collapses."""
+
+def remove_contacts(text: Column, phones: bool | Column = False) -> Column:
+    """Links and e-mail addresses go, telephone numbers where asked; white space collapses."""
     out = F.regexp_replace(F.regexp_replace(text, URL, ""), EMAIL_RUN, "")
+    if isinstance(phones, Column):
+        return collapse(F.when(phones, F.regexp_replace(out, PHONE, "")).otherwise(out))
     return collapse(F.regexp_replace(out, PHONE, "") if phones else out)
 
 
+#: Common words that tell languages apart, in the order in which equal counts are decided.
+STOP_WORDS = {
+    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "with", "was", "are"],
+    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "den", "mit", "dem", "von", "zu"],
+    "fr": ["le", "les", "des", "et", "est", "une", "du", "dans", "pas", "qui", "pour", "au"],
+    "es": ["el", "los", "las", "una", "por", "con", "para", "del", "y", "es", "no", "se"],
+}
+#: Characters that the language is told by.
+LANGUAGE_CHARS = 500
+
+
+def language(text: Column) -> Column:
+    """The language with most of its common words at the beginning of a text; "en" where none has any, as what can't be told passes."""
+
+    def among(common: list[str]) -> Callable[[Column], Column]:
+        return lambda word: word.isin(common)
+
+    found = bound(words(F.lower(F.substring(text, 1, LANGUAGE_CHARS))), lambda w: F.array(*(F.size(F.filter(w, among(s))) for s in STOP_WORDS.values())))
+    return bound(found, lambda n: F.element_at(F.array(*map(F.lit, STOP_WORDS)), F.greatest(F.array_position(n, F.array_max(n)), F.lit(1)).cast("int")))
+
+
 def remove_html(text: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(text, TAG, " "), ENTITY, " "))
 
@@ -137,10 +168,10 @@ def clean_pages(text: Column, technical: Column) -> Column:
 def clean(text: Column, technical: Column, mode: str = "faithful") -> Column:
     """The cleaning steps; "intended" treats pages before line breaks are collapsed."""
     if mode == "intended":
-        return remove_html(remove_contacts(clean_pages(text, technical)))
+        return remove_html(remove_contacts(clean_pages(text, technical), ~technical))
     if mode != "faithful":
         raise ValueError(mode)
-    return clean_pages(remove_html(remove_contacts(text)), technical)
+    return clean_pages(remove_html(remove_contacts(text, ~technical)), technical)
 
 
 # --- quality (fixed values) ---

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +25,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for an encoder: signed word hashes summed by bucket, of unit length."""
-    words = F.filter(F.split(F.lower(F.substring(text, 1, 512)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    signs = F.transform(words, lambda w: F.when(F.pmod(F.hash(w), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.zip_with(buckets, signs, lambda b, s: F.when(b == i, s).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)).cast("float"))
+#: Size of a text's vector, and characters that it is made of.
+SIZE, CHARS = 384, 512
+
+
+def hashed_embedding(text: Column, size: int = SIZE) -> Column:
+    """A deterministic stand-in for an encoder: signed word hashes summed by bucket, of unit length (zero without words)."""
+    words = F.filter(F.split(F.lower(F.substring(text, 1, CHARS)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return _embed(size)(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def _embed(size: int):
+    @F.pandas_udf("array<float>")
+    def embed(hashes: pd.Series) -> pd.Series:
+        out = np.zeros((len(hashes), size))
+        n = np.array([0 if h is None else len(h) for h in hashes])
+        if n.sum():
+            h = np.concatenate([h for h in hashes if h is not None and len(h)]).astype(np.int64)
+            np.add.at(out, (np.repeat(np.arange(len(n)), n), (h >> 1) % size), np.where(h & 1, 1.0, -1.0))
+        length = np.sqrt((out * out).sum(1, keepdims=True))
+        return pd.Series(list(np.divide(out, length, out=out, where=length > 0).astype(np.float32)))
+
+    return embed

@@ -13,10 +13,10 @@ def clean_chunks(chunks: DataFrame, mode: str = "faithful", every: int = 20) ->
     """content, quality_score, content type and ``reason`` (null: kept) of every chunk.
 
     Of the chunks that aren't technical, each ``every``-th (in order of chunk_id)
-    is checked for its language; only English passes.
+    is checked for its language, told by the beginning of the cleaned text; only English passes.
     """
-    c = chunks.select("chunk_id", "source", "lang", T.fix_unicode(F.col("content")).alias("content")).withColumn("is_technical", T.content_type(F.col("content"))["is_technical"])
-    c = c.select("chunk_id", "source", "lang", "is_technical", (F.coalesce("content", F.lit("")) == "").alias("empty"), T.clean(F.col("content"), F.col("is_technical"), mode).alias("cleaned"))
+    c = chunks.select("chunk_id", "source", T.fix_unicode(F.col("content")).alias("content")).withColumn("is_technical", T.content_type(F.col("content"))["is_technical"])
+    c = c.select("chunk_id", "source", "is_technical", (F.coalesce("content", F.lit("")) == "").alias("empty"), T.clean(F.col("content"), F.col("is_technical"), mode).alias("cleaned"))
     # the cleaned text is read several times below: for the sample, the lengths and the quality
     c = materialize(c, "cleaned")
     blank = F.col("empty") | (F.col("cleaned") == "")
@@ -25,7 +25,7 @@ def clean_chunks(chunks: DataFrame, mode: str = "faithful", every: int = 20) ->
     n = F.length("cleaned")
     reason = (
         F.when(blank, "too_short")
-        .when(F.col("checked") & (F.col("lang") != "en"), "non_english")
+        .when(F.col("checked") & (T.language(F.col("cleaned")) != "en"), "non_english")
         .when(n < T.SHORT, "too_short")
         .when(n > T.LONG, "too_long")
     )

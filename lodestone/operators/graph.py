@@ -62,6 +62,12 @@ def upsert_nodes(entities: DataFrame) -> DataFrame:
     return entities.groupBy(F.col("text").alias("name")).agg(F.max_by("type", F.struct("chunk_id", "list", "pos")).alias("type"))
 
 
+def gate_nodes(chunks: DataFrame) -> DataFrame:
+    """(name, chunks): gates, the first part of the paths, and how many chunks belong to each."""
+    gate = F.get("gate_path", F.lit(0))
+    return chunks.where(gate.isNotNull()).groupBy(gate.alias("name")).agg(F.count("*").alias("chunks"))
+
+
 def upsert_edges(triplets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(subject, relation, object, chunk_id): unique edges between known nodes, the last chunk wins."""
     known = nodes.select("name")

@@ -34,6 +34,14 @@ def verify(context_verifiers: Column) -> Column:
     return F.struct(F.lit(True).alias("passed"), F.coalesce(F.get(context_verifiers, F.lit(0)), F.lit("none")).alias("verifier"))
 
 
+def context_verifiers(context: DataFrame, verifiers: DataFrame) -> DataFrame:
+    """(query_id, verifiers): names of all verifiers (node_id, verifier, weight) of a query's context (query_id, node_id, rank), nearest and heaviest first."""
+    rows = context.select("query_id", "node_id", "rank").join(verifiers, "node_id")
+    order = F.struct("rank", (-F.col("weight")).alias("w"), "verifier")
+    found = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["verifier"]).alias("verifiers"))
+    return context.select("query_id").distinct().join(found, "query_id", "left")
+
+
 def append_trace(trace: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows whose (query_id, iteration) is new are added; of new rows with one key, any one."""
     new = rows.dropDuplicates(["query_id", "iteration"]).join(trace.select("query_id", "iteration"), ["query_id", "iteration"], "left_anti")
@@ -45,11 +53,17 @@ def step_prompt(x: str, y: str, z: list[str], context: list[str]) -> str:
     return f"Problem: {x}\nAnswer so far: {y or 'none'}\nSteps: {steps}\nKnowledge: {' | '.join(context[:3]) or 'none'}\nNext step:"
 
 
-def solve(problems: list[tuple[str, str]], retrieve: Callable[[DataFrame], DataFrame], spark, hooks: Hooks | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def answer_prompt(x: str, z: list[str]) -> str:
+    """All steps, from which the answer is put together."""
+    return f"Answer: {x} " + " ".join(z)
+
+
+def solve(problems: list[tuple[str, str]], retrieve: Callable[[DataFrame], DataFrame], spark, hooks: Hooks | None = None, rounds: int = ROUNDS, verifiers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Answers and trace of a batch of user problems (query_id, text): a handful, kept on the driver.
 
     ``retrieve`` maps (query_id, text) to (query_id, node_id, content), best
-    first; each round is one plan over all problems that are still open.
+    first; each round is one plan over all problems that are still open. The
+    answer is checked by the first of the ``verifiers`` (node_id, verifier, weight) of its context.
     """
     hooks = hooks or Hooks()
     state = {q: {"x": x, "y": "", "z": [], "status": None, "confidence": 0.5, "rounds": 0} for q, x in problems}
@@ -62,19 +76,24 @@ def solve(problems: list[tuple[str, str]], retrieve: Callable[[DataFrame], DataF
         found: dict[str, list] = {q: [] for q in live}
         for r in retrieve(asked).collect():  # five rows a problem
             found[r.query_id].append(r)
+        checks: dict[str, tuple[bool, str]] = {}
+        if verifiers is not None:
+            context = [(q, r.node_id, k) for q in live for k, r in enumerate(found[q][:5])]
+            some = context_verifiers(spark.createDataFrame(context, "query_id string, node_id long, rank int"), verifiers)
+            checks = {r.query_id: (r.v.passed, r.v.verifier) for r in some.select("query_id", verify(F.col("verifiers")).alias("v")).collect()}  # a row a problem
         samples, rows = [], []
         for q in live:
             s, context = state[q], found[q][:5]
             try:
                 s["z"].append(hooks.generate(step_prompt(s["x"], s["y"], s["z"], [c.content or "" for c in context]), 0.6))
-                s["y"] = hooks.generate("Answer: " + s["x"] + " " + " ".join(s["z"]), 0.2)
+                s["y"] = hooks.generate(answer_prompt(s["x"], s["z"]), 0.2)
             except Exception as e:  # a model's failure is a step that says so
                 s["z"].append(f"[Error generating reasoning step: {e}]")
             s["rounds"] = i + 1
-            rows.append((q, i, s["x"], s["y"], list(s["z"]), [c.node_id for c in context], True, "no verifier"))
+            rows.append((q, i, s["x"], s["y"], list(s["z"]), [c.node_id for c in context], *checks.get(q, (True, "none"))))
             for t in TEMPERATURES:
                 try:
-                    samples.append((q, s["y"], hooks.generate("Answer: " + s["x"] + " " + " ".join(s["z"]), t)))
+                    samples.append((q, s["y"], hooks.generate(answer_prompt(s["x"], s["z"]), t)))
                 except Exception:
                     samples.append((q, s["y"], None))
         trace = append_trace(trace, spark.createDataFrame(rows, TRACE))

@@ -15,7 +15,7 @@ from lodestone.functions import gates as G
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators.retrieve import LEVELS
-from lodestone.runtime import running_total
+from lodestone.runtime import maybe_broadcast, running_total
 
 #: Fixed values of the routing rules.
 SKIP = [r"^(hi|hello|hey|thanks|thank you)", r"^(yes|no|okay|ok|sure)", r"^what is"]
@@ -116,7 +116,59 @@ def centroid_route(points: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def multi_gate(scored: DataFrame, least: float = 0.15) -> DataFrame:
-    return scored.where(F.col("probability") >= least)
+    """Gates of at least that probability, with their position by falling probability."""
+    position = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("probability"), "gate_id"))
+    return scored.where(F.col("probability") >= least).withColumn("position", position)
+
+
+def secondary_gates(scored: DataFrame, most: int = 3, above: float = 0.1) -> DataFrame:
+    """(node_id, secondary): of the ``most`` likeliest gates those beside the best, above a probability, in order."""
+    some = scored.where((F.col("rank") > 1) & (F.col("rank") <= most) & (F.col("probability") > above))
+    found = some.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gate_id"))), lambda x: x["gate_id"]).alias("secondary"))
+    return scored.select("node_id").distinct().join(found, "node_id", "left").select("node_id", F.coalesce("secondary", F.array().cast("array<int>")).alias("secondary"))
+
+
+def route_in_stages(queries: DataFrame, predictions: DataFrame, keywords: DataFrame, semantic: DataFrame, accept: tuple[float, float] = (0.7, 0.6)) -> DataFrame:
+    """(node_id, gate_id, confidence, method, fallback_chain) of each query: the classifier where it is confident
+    enough, else the keywords where they are, else the likeliest gate by similarity.
+
+    predictions, keywords: (node_id, gate_id, confidence); semantic: as :func:`centroid_route`.
+    """
+    side = lambda df, n: df.select("node_id", F.col("gate_id").alias(f"g{n}"), F.col("confidence").alias(f"c{n}"))
+    best = semantic.where("rank = 1").select("node_id", "gate_id", F.col("probability").alias("confidence"))
+    rows = queries.select("node_id")
+    for n, df in enumerate((predictions, keywords, best)):
+        rows = rows.join(side(df, n), "node_id", "left")
+    ok = [F.coalesce(F.col(f"c{n}") >= accept[n], F.lit(False)) for n in (0, 1)]
+    pick = lambda x: F.when(ok[0], F.col(f"{x}0")).when(ok[1], F.col(f"{x}1")).otherwise(F.col(f"{x}2"))
+    stages = ("model", "keyword", "semantic")
+    tried = lambda n: F.array(*map(F.lit, stages[:n]))
+    return rows.select(
+        "node_id",
+        pick("g").alias("gate_id"),
+        pick("c").alias("confidence"),
+        F.when(ok[0], stages[0]).when(ok[1], stages[1]).otherwise(stages[2]).alias("method"),
+        F.when(ok[0], tried(1)).when(ok[1], tried(2)).otherwise(tried(3)).alias("fallback_chain"),
+    )
+
+
+def taxonomy_id(chunks: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Chunks with the id of their gate in a taxonomy (gate, gate_id); 0 for a gate that isn't there."""
+    ids = taxonomy.groupBy("gate").agg(F.min("gate_id").alias("gate_id"))
+    return chunks.join(maybe_broadcast(ids), "gate", "left").withColumn("gate_id", F.coalesce("gate_id", F.lit(0)))
+
+
+def assemble_labels(chunks: DataFrame, labels: DataFrame, traits: dict[str, Column]) -> DataFrame:
+    """Chunks with their label, its status, and the personality that their text shows; chunks without a valid label go."""
+    return chunks.join(label_status(labels), "chunk_id").withColumn("personality", F.struct(*traits.values()))
+
+
+def label_report(chunks: DataFrame, labels: DataFrame, size: int = 10) -> DataFrame:
+    """Chunks, calls of the model (one for up to ``size`` chunks), valid labels and their share, by gate and over all (null)."""
+    done = label_status(labels).select("chunk_id", F.lit(1).alias("done"))
+    by = chunks.join(done, "chunk_id", "left").groupBy("gate").agg(F.count("*").alias("chunks"), F.ceil(F.count("*") / size).alias("api_calls"), F.count("done").alias("labelled"))
+    one = by.agg(F.lit(None).cast("string").alias("gate"), *(F.sum(c).alias(c) for c in ("chunks", "api_calls", "labelled")))
+    return by.unionByName(one).withColumn("success_rate", F.round(F.try_divide("labelled", "chunks"), 6))
 
 
 def label_status(labels: DataFrame, drop_below: float = 0.7, approve_above: float = 0.8) -> DataFrame:
@@ -188,6 +240,13 @@ def cached_centroids(points: DataFrame, path: str, per_gate: int | None = None)
     return spark.read.parquet(path)
 
 
+def gate_lookup(gates: DataFrame, name: str | None = None, gate_id: int | None = None) -> DataFrame:
+    """The gates of a name, of an id, or all."""
+    if name is not None:
+        return gates.where(F.col("gate") == name)
+    return gates if gate_id is None else gates.where(F.col("ordinal") == gate_id)
+
+
 def gate_model(gates: DataFrame, name: str) -> DataFrame:
     """Model and provider of a gate."""
     return gates.where(F.col("name") == name).select("specialist_model", "provider")

@@ -36,9 +36,18 @@ def quality_histogram(scored: DataFrame) -> DataFrame:
     return one.crossJoin(F.broadcast(median))  # one row each
 
 
-def composite_quality(completeness: float, readability: float, informativeness: float, structure: float) -> float:
+def composite_quality(completeness: Column, readability: Column, informativeness: Column, structure: Column) -> Column:
     """Weighted sum of supplied components."""
-    return 0.4 * completeness + 0.3 * readability + 0.2 * informativeness + 0.1 * structure
+    return F.round(F.lit(0.4) * completeness + F.lit(0.3) * readability + F.lit(0.2) * informativeness + F.lit(0.1) * structure, 6)
+
+
+def graph_counters(chunks: DataFrame, entities: DataFrame, triplets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Chunks seen and with entities, entities and triplets found, nodes and edges kept: one row."""
+    with_some = entities.agg(F.countDistinct("chunk_id").alias("with_entities"), F.count("*").alias("entities"))
+    out = chunks.agg(F.count("*").alias("chunks")).crossJoin(F.broadcast(with_some))
+    for df, name in ((triplets, "triplets"), (nodes, "nodes"), (edges, "edges")):
+        out = out.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # one row each
+    return out
 
 
 def entity_types(entities: DataFrame) -> DataFrame:

@@ -204,16 +204,16 @@ def quality_score(spark, d):
 
 
 _CLEAN = f"""
-    t0 AS (SELECT doc_id, source, lang, {S.fix_unicode('text')} AS text FROM documents),
+    t0 AS (SELECT doc_id, source, {S.fix_unicode('text')} AS text FROM documents),
     t1 AS (SELECT *, {S.type_flags('text')['is_technical']} AS technical FROM t0),
-    t2 AS (SELECT *, {S.contacts('text')} AS a FROM t1),
+    t2 AS (SELECT *, {S.contacts('text', 'NOT technical')} AS a FROM t1),
     t3 AS (SELECT *, {S.html('a')} AS b FROM t2),
     t4 AS (SELECT *, {S.pages('b', 'technical')} AS c FROM t3),
     t5 AS (SELECT *, c = '' OR text = '' AS blank FROM t4),
     t6 AS (SELECT *, NOT blank AND NOT technical AND sum(CASE WHEN NOT blank AND NOT technical THEN 1 ELSE 0 END) OVER (ORDER BY doc_id) % 20 = 0 AS checked FROM t5),
     cleaned AS (
         SELECT doc_id AS chunk_id, source, c AS content, round({S.quality('c', 'technical')}, 6) AS quality_score, technical AS is_technical,
-            CASE WHEN blank THEN 'too_short' WHEN checked AND lang <> 'en' THEN 'non_english' WHEN length(c) < 100 THEN 'too_short' WHEN length(c) > 50000 THEN 'too_long'
+            CASE WHEN blank THEN 'too_short' WHEN checked AND {S.language('c')} <> 'en' THEN 'non_english' WHEN length(c) < 100 THEN 'too_short' WHEN length(c) > 50000 THEN 'too_long'
                 WHEN round({S.quality('c', 'technical')}, 6) < 0.4::DOUBLE THEN 'low_quality' END AS reason
         FROM t6
     )"""
@@ -330,10 +330,10 @@ def centroid_route(spark, d):
     return route.centroid_route(p, route.centroids(p)).where("rank <= 3").select("node_id", "gate_id", ROUND("similarity").alias("similarity"), ROUND("probability").alias("probability"), "rank")
 
 
-@query(f"WITH {_POINTS}, {_CENTRES}, {_SCORED} SELECT node_id, gate_id, round(probability, 6) AS probability FROM scored WHERE probability >= 0.11")
+@query(f"WITH {_POINTS}, {_CENTRES}, {_SCORED} SELECT node_id, gate_id, round(probability, 6) AS probability, CAST(row_number() OVER (PARTITION BY node_id ORDER BY probability DESC, gate_id) AS INTEGER) AS position FROM scored WHERE probability >= 0.11")
 def multi_gate_predict(spark, d):
     p = X.nodes(spark, d)
-    return route.multi_gate(route.centroid_route(p, route.centroids(p)), 0.11).select("node_id", "gate_id", ROUND("probability").alias("probability"))
+    return route.multi_gate(route.centroid_route(p, route.centroids(p)), 0.11).select("node_id", "gate_id", ROUND("probability").alias("probability"), "position")
 
 
 @query(f"""
@@ -610,39 +610,70 @@ def degrees(spark, d):
     return graph.degrees(graph.simple_graph(_graph(spark, d)[2]))
 
 
-@query()
+def _propagation(rounds: int = 8) -> str:
+    """Label propagation as a chain of tables, one for each round."""
+    out = ["nb AS (SELECT u, v FROM simple UNION ALL SELECT v, u FROM simple), l0 AS (SELECT DISTINCT u AS name, u AS label FROM nb)"]
+    for i in range(rounds):
+        out.append(f"""l{i + 1} AS MATERIALIZED (
+        SELECT u AS name, label FROM (
+            SELECT u, label, sum(n) AS n FROM (SELECT nb.u, l.label, 1 AS n FROM nb JOIN l{i} l ON l.name = nb.v UNION ALL SELECT name, label, 1 FROM l{i}) GROUP BY u, label
+        ) QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC, label) = 1
+    )""")
+    return ", ".join(out) + f""",
+    sized AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS community FROM l{rounds} GROUP BY label),
+    community AS (SELECT name, CAST(community AS INTEGER) AS community FROM l{rounds} JOIN sized USING (label))"""
+
+
+_COMMUNITY = _propagation()
+
+
+@query(f"WITH {_GRAPH}, {_COMMUNITY} SELECT * FROM community")
 def communities(spark, d):
     return graph.communities(graph.simple_graph(_graph(spark, d)[2]))
 
 
 @query(f"""
-    WITH {_GRAPH}
-    SELECT name, '{{"data":{{"id":' || to_json(name) || ',"label":' || to_json(name) || ',"type":"' || type || '","gate":"UNKNOWN","community":' || length(name) % 20 || ',"color":"' || ([{', '.join(map(S.lit, graph.PALETTE))}])[length(name) % 20 % 15 + 1] || '"}}}}' AS element FROM gnodes
+    WITH {_GRAPH}, {_COMMUNITY}
+    SELECT n.name, '{{"data":{{"id":' || to_json(n.name) || ',"label":' || to_json(n.name) || ',"type":"' || type || '","gate":"UNKNOWN","community":' || coalesce(community, 0) || ',"color":"'
+        || ([{', '.join(map(S.lit, graph.PALETTE))}])[coalesce(community, 0) % 15 + 1] || '"}}}}' AS element FROM gnodes n LEFT JOIN community c ON c.name = n.name
 """)
 def cytoscape_nodes(spark, d):
-    n = _graph(spark, d)[1]
-    return graph.cytoscape_nodes(n, n.select("name", (F.length("name") % 20).alias("community")))
+    _, n, e = _graph(spark, d)
+    return graph.cytoscape_nodes(n, graph.communities(graph.simple_graph(e)))
+
+
+@query(f"""
+    WITH {_GRAPH} SELECT '{{"data":{{"source":' || to_json(subject) || ',"target":' || to_json(object) || ',"relation":"' || relation || '"}}}}' AS element FROM gedges
+""")
+def cytoscape_edges(spark, d):
+    return graph.cytoscape_edges(_graph(spark, d)[2])
 
 
 @query(f"""
-    WITH {_GRAPH}, g AS (SELECT name, CAST(count(*) AS BIGINT) AS degree FROM (SELECT u AS name FROM simple UNION ALL SELECT v FROM simple) GROUP BY name)
-    SELECT n.name, '{{"id":' || to_json(n.name) || ',"label":' || to_json('[[' || n.name || ']]') || ',"community":0,"degree":' || coalesce(degree, 0) || ',"type":"' || type || '"}}' AS element FROM gnodes n LEFT JOIN g ON g.name = n.name
+    WITH {_GRAPH}, {_COMMUNITY}, g AS (SELECT name, CAST(count(*) AS BIGINT) AS degree FROM (SELECT u AS name FROM simple UNION ALL SELECT v FROM simple) GROUP BY name)
+    SELECT n.name, '{{"id":' || to_json(n.name) || ',"label":' || to_json('[[' || n.name || ']]') || ',"community":' || coalesce(community, 0) || ',"degree":' || coalesce(degree, 0) || ',"type":"' || type || '"}}' AS element
+    FROM gnodes n LEFT JOIN g ON g.name = n.name LEFT JOIN community c ON c.name = n.name
 """)
 def note_graph(spark, d):
     _, n, e = _graph(spark, d)
-    return graph.note_nodes(n, n.select("name", F.lit(0).alias("community")), graph.degrees(graph.simple_graph(e)))
+    simple = graph.simple_graph(e)
+    return graph.note_nodes(n, graph.communities(simple), graph.degrees(simple))
 
 
-@query()
+@query(f"""
+    WITH {_GRAPH}
+    SELECT 1 AS part, name, '<node id="' || name || '"><data key="type">' || type || '</data></node>' AS line FROM gnodes
+    UNION ALL SELECT 2, u || '|' || v, '<edge source="' || u || '" target="' || v || '"><data key="relation">' || relation || '</data></edge>' FROM simple
+""")
 def graphml(spark, d):
     _, n, e = _graph(spark, d)
-    return graph.graphml_lines(n, graph.simple_graph(e))
+    return graph.graphml_lines(n, graph.simple_graph(e)).where("part in (1, 2)")
 
 
-@query()
+@query(f"WITH {_GRAPH} SELECT chunk_id, CAST(pos AS INTEGER) AS pos, subject, relation, object FROM triplets")
 def ner_triplets(spark, d):
     e, _, _ = _graph(spark, d)
-    return Hooks().triplets(e)
+    return Hooks().triplets(e).withColumn("pos", F.col("pos").cast("int"))
 
 
 @query(f"""

@@ -50,14 +50,20 @@ def type_flags(t: str) -> dict[str, str]:
 
 
 def fix_unicode(t: str) -> str:
-    fixed = {"â€™": "’", "â€œ": "“", "â€“": "–", "â€”": "—", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä", "Ã±": "ñ", "Â ": " "}
-    for a, b in fixed.items():
+    for a, b in T.REPAIRS.items():
         t = f"replace({t}, {lit(a)}, {lit(b)})"
     return t
 
 
-def contacts(t: str) -> str:
-    return collapse(sub(sub(t, T.URL, ""), T.EMAIL, ""))
+def contacts(t: str, phones: str = "false") -> str:
+    out = sub(sub(t, T.URL, ""), T.EMAIL, "")
+    return collapse(f"CASE WHEN {phones} THEN {sub(out, T.PHONE, '')} ELSE {out} END" if phones != "false" else out)
+
+
+def language(t: str) -> str:
+    w = words(f"lower(substr({t}, 1, {T.LANGUAGE_CHARS}))")
+    n = ", ".join(f"len(list_filter({w}, lambda x: x IN ({', '.join(map(lit, s))})))" for s in T.STOP_WORDS.values())
+    return f"list_extract([{', '.join(map(lit, T.STOP_WORDS))}], CAST(list_position([{n}], list_max([{n}])) AS INTEGER))"
 
 
 def html(t: str) -> str:

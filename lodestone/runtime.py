@@ -55,6 +55,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def require_space(spark: SparkSession, path: str, gigabytes: float = 250.0) -> float:
+    """The free GB of the file system of a path; an error if there are fewer than asked."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    free = p.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus(p).getRemaining() / 1e9
+    if free < gigabytes:
+        raise OSError(f"{free:.1f} GB are free at {path}; {gigabytes} are needed")
+    return free
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

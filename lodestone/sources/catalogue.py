@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.runtime import fresh, number_rows
+
 SCHEMA = "gate string, source_type string, name string, size_gb double, split string, url string, filter string"
 #: Sources that are read by themselves, items of one that are read at most.
 AUTOMATIC, MOST_ITEMS = ("huggingface",), 100_000
@@ -32,7 +34,10 @@ def item_limit(size_gb: Column) -> Column:
     return F.least(F.floor(size_gb * 1024 * 1024 / 10).cast("int"), F.lit(MOST_ITEMS))
 
 
-def scan(spark: SparkSession, path: str, size_gb: float, form: str = "parquet") -> DataFrame:
-    """Items of a source that has been fetched, with their number."""
+def scan(spark: SparkSession, path: str, size_gb: float, form: str = "parquet", order: str | None = None) -> DataFrame:
+    """Items of a source that has been fetched, with their numbers from 0: by ``order``, else in the order of the files."""
     most = min(int(size_gb * 1024 * 1024 / 10), MOST_ITEMS)
-    return spark.read.format(form).load(path).limit(most).withColumn("index", F.monotonically_increasing_id())
+    rows = spark.read.format(form).load(path)
+    place, = fresh(rows, "place")
+    rows = rows.withColumn(place, F.monotonically_increasing_id() if order is None else F.col(order))
+    return number_rows(rows, place, name="index").where(F.col("index") < most).drop(place)

@@ -19,11 +19,32 @@ RAW_SCHEMA = "url string, url_hash string, title string, content string, content
 def read_jsonl(spark: SparkSession, path: str, schema: str = RAW_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """Well-formed rows, and the lines that aren't JSON objects."""
     parsed = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    # bytes that aren't UTF-8 are left out
+    value = F.replace(F.make_valid_utf8("value"), F.lit("\uFFFD"), F.lit(""))
+    lines = spark.read.text(path).select(value.alias("value"), "_metadata").where(F.trim("value") != "")
     rows = lines.select(parsed.alias("r"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")).select("r.*", "_file", "_size")
     return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad", "_file")
 
 
+def error_counts(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """(file, rows, errors) of each file."""
+    n = lambda df, c: df.groupBy("_file").agg(F.count("*").alias(c))
+    both = n(good, "rows").join(n(bad, "errors"), "_file", "full")
+    return both.select(F.regexp_extract("_file", "([^/]+)$", 1).alias("file"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
+def smallest_first(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """The files of a folder by size, the order in which they are worth handling."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+    return [r.path for r in files.orderBy("length", "path").toLocalIterator()]
+
+
+def backup(progress: DataFrame, path: str, stamp: str) -> DataFrame:
+    """A copy of a progress table beside it, named by a time stamp."""
+    progress.write.mode("errorifexists").parquet(f"{path}-{stamp}")
+    return progress.sparkSession.read.parquet(f"{path}-{stamp}")
+
+
 def first_lines(rows: DataFrame, n: int, order: str) -> DataFrame:
     """The first n rows of each file."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy(order))).where(F.col("_n") <= n).drop("_n")

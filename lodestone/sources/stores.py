@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import encode
+from lodestone.runtime import maybe_broadcast, number_rows, parallelism
 
 
 def store_rows(chunks: DataFrame) -> DataFrame:
@@ -46,6 +49,71 @@ def vector_rows(nodes: DataFrame) -> DataFrame:
     )
 
 
+def named_vectors(nodes: DataFrame, gates: DataFrame) -> DataFrame:
+    """Vector rows with the name of their gate (gates: gate_id, gate), GENERAL for one that has none."""
+    names = gates.groupBy("gate_id").agg(F.min("gate").alias("gate"))
+    return vector_rows(nodes).join(maybe_broadcast(names), "gate_id", "left").withColumn("gate", F.coalesce("gate", F.lit("GENERAL")))
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The finished versions of a table, oldest first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = sorted(x.getPath().getName() for x in fs.listStatus(p))
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return [n for n in names if n.startswith("v") and done(n)]
+
+
+def merge(rows: DataFrame, path: str, keys: list[str], order: str | None = None) -> DataFrame:
+    """Upsert into a table: rows replace those of equal keys; of new rows with one key the last by ``order`` wins.
+
+    A new version is written beside the old one and is valid once it is complete,
+    so that a failed merge leaves the table as it was; older versions may be deleted.
+    """
+    spark = rows.sparkSession
+    columns = rows.columns
+    best = F.max_by(F.struct(*columns), F.struct(*([order] if order else []), F.xxhash64(*columns)))
+    new = rows.groupBy(*keys).agg(best.alias("r")).select("r.*")
+    known = versions(spark, path)
+    if known:
+        old = spark.read.parquet(f"{path}/{known[-1]}")
+        new = new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+    target = f"{path}/v{len(known) + 1:06d}" if not known else f"{path}/v{int(known[-1][1:]) + 1:06d}"
+    new.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def pages(rows: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
+    """The rows in pages of about ``size`` by ranges of their key, whose bounds come from counted ranges: no offset is skipped twice."""
+    numbered = number_rows(rows.select(key), key, name="page_row")
+    first = [r[0] for r in numbered.where(F.col("page_row") % size == 0).orderBy(key).select(key).toLocalIterator()]
+    for a, b in zip(first, [*first[1:], None], strict=True):
+        yield rows.where((F.col(key) >= a) & (F.col(key) < b) if b is not None else F.col(key) >= a)
+
+
+def spread_payload(rows: DataFrame, payload: str) -> DataFrame:
+    """A struct's fields as columns; they replace columns of the same name."""
+    inner = rows.schema[payload].dataType.names
+    return rows.select(*(F.col(c) for c in rows.columns if c != payload and c not in inner), *(F.col(f"{payload}.{c}") for c in inner))
+
+
+def stamped(rows: DataFrame, id_name: str = "id", time_name: str = "processed_at") -> DataFrame:
+    """Rows with a random id and the time of processing. Neither is the same in a second run."""
+    return rows.withColumns({id_name: F.uuid(), time_name: F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")})
+
+
+def write_quality(rows: DataFrame, path: str, above: float = 0.6) -> None:
+    """A table partitioned by whether the quality is above a bound: searches of good rows read those only."""
+    good = F.coalesce(F.col("quality") > above, F.lit(False))
+    rows.withColumn("good", good).repartition("good", F.pmod(F.xxhash64("node_id"), F.lit(parallelism(rows.sparkSession)))).write.mode("overwrite").partitionBy("good").parquet(path)
+
+
+def read_good(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("good = 'true'").drop("good")
+
+
 def write_archive(chunks: DataFrame, path: str, codec: str = "zstd") -> None:
     """Vocabulary and encoded chunks as compressed Parquet."""
     vocab = encode.vocabulary(chunks)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import gates as G
 from lodestone.hooks import Hooks, predict, train_router
-from lodestone.operators import dedup, encode, graph, reason, retrieve, route, stats
+from lodestone.operators import dedup, encode, graph, reason, retrieve, route, stats, vectorscan
 from lodestone.plans import catalogue
+from lodestone.runtime import require_space, running_total
 from lodestone.sources import jsonl, stores
 from lodestone.streaming import incremental
 
@@ -134,9 +135,66 @@ def test_ilike_wildcards(spark):
 
 
 def test_combine(spark):
-    f, k = spark.range(2).toDF("chunk_id"), spark.range(10, 15).toDF("chunk_id")
-    assert retrieve.combine(f, k, 5).count() == 5 and retrieve.combine(f, k, 2).count() == 2
-    assert retrieve.combine(f, k, 7, merge=True).count() == 7 and retrieve.combine(f, k.limit(0), 5).count() == 2
+    side = lambda n, first: spark.createDataFrame([("q", i, 1.0, i + 1 - first) for i in range(first, first + n)], "query_id string, id long, score double, position int")
+    ids = lambda f, k, n, merge=False: [r.id for r in retrieve.combine(side(f, 0), side(k, 10), n, merge).orderBy("position").collect()]
+    assert ids(2, 5, 5) == [10, 11, 12, 13, 14]  # too few in files: dropped
+    assert ids(2, 5, 2) == [0, 1] and ids(2, 0, 5) == [0, 1]  # enough, or nothing else
+    assert ids(2, 5, 4, merge=True) == [0, 1, 10, 11]
+
+
+def test_copies_of_a_near_duplicate_are_near(spark):
+    w = [f"w{i}" for i in range(40)]
+    c = chunks(spark, [" ".join(w), " ".join([*w, "extra"]), " ".join([*w, "extra"]), " ".join(w[::-1]), " ".join(w), "", " ", ""])
+    assert [s for _, s in rows(dedup.near_duplicates(c))] == ["kept", "near", "near", "near", "exact", "kept", "kept", "exact"]
+
+
+def test_running_total_of_a_group_over_many_ranges(spark):
+    rows_ = [(i, "hot" if i % 3 else None, i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows_, "i long, g string, before int").repartition(7)
+    got = {r.i: r.n for r in running_total(df, "g", "i", F.col("before"), "n").collect()}
+    held = {}
+    for i, g, v in rows_:
+        assert got[i] == held.get(g, 0)
+        held[g] = held.get(g, 0) + v
+
+
+def test_vector_scan_ties_and_odd_vectors(spark):
+    points = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (4, [0.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0])], "node_id long, vector array<float>").repartition(3)
+    q = spark.createDataFrame([("a", [5.0, 0.0]), ("b", [0.0, 0.0])], "query_id string, vector array<float>")
+    got = vectorscan.scan(q, points, 3)
+    assert [(r.node_id, r.vector_score) for r in got.where("query_id = 'a'").orderBy("rank").collect()] == [(1, 1.0), (3, 1.0), (5, 0.0)]
+    assert [(r.node_id, r.vector_score) for r in got.where("query_id = 'b'").orderBy("rank").collect()] == [(1, None), (2, None), (3, None)]
+    assert vectorscan.scan(q.limit(0), points, 3).count() == 0 and vectorscan.scan(q, points.limit(0), 3).count() == 0
+
+
+def test_merged_tables_keep_the_last(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k int, v string, at int")
+    assert rows(stores.merge(a, path, ["k"], "at")) == [(1, "b", 2), (2, "c", 1)]
+    assert rows(stores.merge(a.where("k = 2").withColumn("v", F.lit("z")), path, ["k"])) == [(1, "b", 2), (2, "z", 1)]
+    assert stores.versions(spark, path) == ["v000001", "v000002"]
+
+
+def test_lines_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b'{"url": "u", "content": "c\xff\xfed"}\n{"url"\n')
+    (tmp_path / "b.jsonl").write_bytes(b'{"url": "u", "content": "longer content"}\n' * 5)
+    good, bad = jsonl.read_jsonl(spark, str(tmp_path))
+    assert sorted(r.content for r in good.collect())[0] == "cd"
+    assert rows(jsonl.error_counts(good, bad)) == [("a.jsonl", 1, 1), ("b.jsonl", 5, 0)]
+    assert [p.rsplit("/", 1)[1] for p in jsonl.smallest_first(spark, str(tmp_path))] == ["a.jsonl", "b.jsonl"]
+
+
+def test_space_is_checked(spark, tmp_path):
+    assert require_space(spark, f"file://{tmp_path}", 0.0) > 0
+    with pytest.raises(OSError):
+        require_space(spark, f"file://{tmp_path}", 1e12)
+
+
+def test_first_verifier_of_the_context_is_used(spark):
+    find = lambda asked: asked.select("query_id", F.explode(F.array(F.lit(7), F.lit(1)).cast("array<long>")).alias("node_id"), F.lit("fact").alias("content"))
+    v = spark.createDataFrame([(1, "far", 9.0), (7, "light", 0.1), (7, "heavy", 0.9)], "node_id long, verifier string, weight double")
+    _, trace = reason.solve([("p", "x")], find, spark, Hooks(generate=lambda p, t: "four"), rounds=1, verifiers=v)
+    assert trace.first().verification_details == "heavy" and trace.first().verification_passed
 
 
 def test_summary_intent():

@@ -102,3 +102,26 @@ def test_first_present(spark):
 def test_patterns_use_no_look_around():
     for p, _, _ in T.PAGE_RULES:
         assert not re.search(r"\(\?[=!<]", p)
+
+
+def test_mail_removal_on_long_runs(spark):
+    """What the plain pattern removes, in time that grows with the text only."""
+    import re
+    import time
+
+    texts = ["a@b", "@a", "a@", "x@@", "@@@", "see a@b.c, or d@e@f g@ @h", "a" * 1_000_000, "no mail", " @ ", "a@b" * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    began = time.perf_counter()
+    got = {r.i: r.x for r in df.select("i", F.regexp_replace("t", T.EMAIL_RUN, "").alias("x")).collect()}
+    assert time.perf_counter() - began < 20
+    for i, t in enumerate(texts):
+        if len(t) < 1000:
+            assert got[i] == re.sub(r"\S+@\S+", "", t), t
+    assert len(got[6]) == 1_000_000 and got[9] == ""
+
+
+def test_language_by_common_words(spark):
+    texts = ["the end of the day is near", "der Hund und die Katze", "le chat et les chiens", "el perro y los gatos", "", "xyz", None, "the und the der the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.x for r in df.orderBy("i").select(T.language(F.col("t")).alias("x")).collect()]
+    assert got[:6] == ["en", "de", "fr", "es", "en", "en"] and got[7] == "en"
