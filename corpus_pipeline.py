@@ -21,12 +21,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nnPU classifier scores at 0.5 or more go."""
+    """Documents that the nnPU classifier scores at 0.5 or more go. A null or empty text has the score of one without
+    evidence; without positive labels nothing goes; extra columns are kept, whatever their names."""
     return toxicity.keep_clean(docs, _read(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, from 20 characters up to two edits; blank lines stay; n_chars follows a text that changes."""
+    """Lines that repeat an earlier one go, from 20 characters up to two edits; blank lines stay; n_chars, where
+    there is such a column, follows a text that changes. Null texts and rows with a null id stay as they are."""
     before, removed = fresh(docs, "n_lines", "n_removed")
     out = lines.deduplicate(docs, counts=(before, removed))
     changed = {"n_chars": F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
@@ -34,17 +36,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a 5-word shingle similarity of 0.8, the smallest id stays."""
+    """Of each group of documents linked by a 5-word shingle similarity of 0.8, the smallest id stays. Null and
+    empty texts and rows with a null id stay; of rows that repeat an id, the one with the least text."""
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and empty texts and items contain nothing."""
     return decontaminate.keep_clean(docs, _read(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text, and the digest of the text decoded from them."""
+    """Token ids of every whole text, and the digest of the text decoded from them; a null text has no tokens."""
     out = sentencepiece.encode(docs)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -2,6 +2,9 @@
 
 Every round is two joins on aggregated minima; edges and labels stay
 distributed, and each round is written to the shared folder.
+
+Defined results: loops and repeated edges do no harm, edges with a null end are
+ignored, no edges give no rows; ties don't arise, as the smallest node is the root.
 """
 
 from __future__ import annotations

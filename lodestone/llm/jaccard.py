@@ -435,12 +435,15 @@ def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, buck
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """The documents without those that are linked, directly or not, with one of a
-    smaller id; of rows that repeat an id with words, one stays. Rows with a null id stay."""
+    smaller id; of rows that repeat an id with words, the one with the least text stays
+    (of equal texts, that with the least hash of all columns). Rows with a null id stay."""
     joined = join(docs, words, similarity)
     out = materialize(joined.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "kept")
     kept = docs.join(out.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
     if out.where("rows > 1").limit(1).count():
         repeated = out.where("rows > 1 and component_id = doc_id").select("doc_id")
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        some = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(every, F.struct("text", F.xxhash64(every))).alias("row"))
+        once = some.select("row.*")
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return kept.select(docs.columns)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,6 +2,10 @@
 
 Texts are handled as UTF-8 bytes. Words are ``[^\\x20\\x09-\\x0D]+`` after
 A-Z is lower-cased; every separator is ASCII, so bytes and characters agree.
+
+Defined results: a null text is an empty one; an empty text has no words, no
+shingles and no features; a text longer than a slice stands alone in one; no
+rows give empty arrays.
 """
 
 from __future__ import annotations

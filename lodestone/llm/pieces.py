@@ -6,6 +6,10 @@ piece. So a text falls apart into pre-tokens, which can be encoded on their own:
 runs of known characters, with the space before them if there is one;
 characters without a piece, which become their bytes; and longer runs of
 spaces. All functions work on a batch of texts as bytes.
+
+Defined results: null and empty texts have no units; a text of spaces is one run
+(with the dummy prefix); the space mark itself reads as a space; a word of any
+length is one unit.
 """
 
 from __future__ import annotations

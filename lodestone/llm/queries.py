@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, flac, jaccard, lines, lm, sentencepiece, substring, tokencount, toxicity, warc
-from lodestone.runtime import work_path
+from lodestone.runtime import read_table, work_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet")
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

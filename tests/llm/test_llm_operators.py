@@ -510,6 +510,55 @@ def test_pipeline(spark, docs, tmp_path):
     assert 13 not in got and not any(i in got for i, _ in toxic) and 0 in got and 1 in got and got[1].n_tokens == 0 and 4 in got
 
 
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary here")
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage in plain Python on what the one before it kept; the final digests are those of the texts that are left."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "se", "ra", "lo") for b in ("n", "rt", "l", "sk", "m", "d", "x")]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    shared, items = [line(7) for _ in range(6)], [(k, f"{line(12)}. {line(6)}") for k in range(5)]
+    rows = []
+    for i in range(120):
+        text = [line(rng.randint(1, 25)) for _ in range(rng.randint(1, 6))]
+        kind = i % 8
+        if kind == 0 and rows:  # a near copy of an earlier text, on one line
+            text = [rng.choice(rows)[1].replace("\n", " ") + " more"]
+        if kind == 1:
+            text.insert(rng.randint(0, len(text)), rng.choice(shared)[: -rng.randint(0, 2) or None])
+        if kind == 2:
+            text.append(rng.choice(items)[1])
+        if kind == 3:
+            text.append("you vile scoundrel and filthy liar")
+        rows.append((i, "\n".join(text)))
+    rows += [(900, ""), (901, None), (902, "\n\n")]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int("vile" in (t or ""))) for i, t in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    first = {r.doc_id: r.text for r in corpus_pipeline.reject_toxic(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    assert all("vile" not in (t or "") for t in first.values()) and len(first) >= 0.8 * len(rows)
+    gone = _line_brute(list(first.items()))
+    texts = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not gone(i, k, x)) for i, t in first.items()}
+    root = {i: i for i in texts}
+    find = lambda i: i if root[i] == i else find(root[i])
+    sets = {i: _set(t) for i, t in texts.items()}
+    for i in texts:
+        for j in texts:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    left = {i: t for i, t in texts.items() if find(i) == i}
+    left = {i: t for i, t in left.items() if not (t and any(_contained(q, t) for _, q in items))}
+    assert len(left) < len(texts) < len(rows) and any(texts[i] != first[i] for i in texts)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in left.items()}
+
+
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary here")
 def test_pipeline_ids_give_the_text_back(spark):
     import corpus_pipeline
