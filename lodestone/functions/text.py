@@ -221,6 +221,15 @@ def personality(text: Column) -> dict[str, Column]:
     return {k: F.least(F.lit(1.0), hits(text, m) / n).alias(k) for k, (n, m) in PERSONALITY.items()}
 
 
+#: Characters of a text that are shown or sent, by purpose.
+PREVIEWS = {"payload": 200, "labels": 500, "embedding": 512, "context": 800, "entities": 2000, "recogniser": 5000}
+
+
+def preview(text: Column, purpose: str) -> Column:
+    """The beginning of a text, in code points."""
+    return F.substring(text, 1, PREVIEWS[purpose])
+
+
 def first_present(fields: list[Column]) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(f, F.lit("")) for f in fields))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,32 @@ def encode(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     return coded.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(-1)).alias("id")))), lambda s: s["id"]).alias("ids"))
 
 
+#: A byte-level BPE vocabulary (50,257 entries) of a public tokenizer.
+BPE = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def bpe_ids(chunks: DataFrame, vocabulary: str = BPE) -> DataFrame:
+    """(chunk_id, ids): byte-level BPE ids of each whole content; none for a null or empty one.
+
+    The vocabulary's text goes with the task, so that executors need no file.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        model = chunks.sparkSession.sparkContext.broadcast(f.read())  # some MB, whatever the data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_str(model.value)
+        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = t.encode_batch([x or "" for x in part.column("content").to_pylist()], add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([part.column("chunk_id"), pa.array([e.ids for e in found], pa.list_(pa.int32()))], ["chunk_id", "ids"])
+
+    return chunks.select("chunk_id", "content").mapInArrow(run, "chunk_id long, ids array<int>")
+
+
 def cluster(gate_id: Column) -> Column:
     return F.pmod(gate_id, F.lit(CLUSTERS))
 

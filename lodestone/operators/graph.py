@@ -33,6 +33,18 @@ def capitalised_entities(chunks: DataFrame, limit: int = 5000) -> DataFrame:
     return rows.select("chunk_id", F.col("pos").cast("int").alias("pos"), "text", kind.alias("type"), F.lit(1.0).alias("score"), F.lit("rule").alias("source"))
 
 
+#: Articles that noun chunks begin with; their words have so many letters at least, and this confidence.
+ARTICLES, NOUN, NOUN_SCORE = ("the", "a", "an"), 4, 0.7
+NOUN_CHUNK = rf"(?:^|[^\p{{L}}])(?:{'|'.join(ARTICLES)}) ([a-z]{{{NOUN},}})"
+
+
+def noun_chunks(chunks: DataFrame, limit: int = 5000) -> DataFrame:
+    """(chunk_id, pos, text, type, score, source): the longer words after an article, a stand-in for a parser's noun chunks."""
+    found = F.regexp_extract_all(F.substring("content", 1, limit), F.lit(NOUN_CHUNK), 1)
+    rows = chunks.select("chunk_id", F.posexplode(found).alias("pos", "text"))
+    return rows.select("chunk_id", F.col("pos").cast("int").alias("pos"), "text", F.lit("CONCEPT").alias("type"), F.lit(NOUN_SCORE).alias("score"), F.lit("chunk").alias("source"))
+
+
 def merge_entities(*lists: DataFrame) -> DataFrame:
     """One entity per chunk and lower-cased name of over two characters; earlier lists, then earlier places win."""
     rows = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -67,6 +68,23 @@ def gate_scores(query: Column, gates: dict[str, list[str]]) -> Column:
     return F.transform(F.array_sort(F.filter(F.array(*parts), lambda x: x["m"] > 0)), lambda x: F.struct(x["gate"].alias("gate"), (-x["negative"]).alias("score")))
 
 
+def inverse_frequencies(gates: dict[str, list[str]]) -> dict[str, float]:
+    """Of each keyword, the logarithm of one plus gates over gates that have it."""
+    return {k: math.log(1 + len(gates) / sum(k in words for words in gates.values())) for words in gates.values() for k in words}
+
+
+def tfidf_gate(queries: DataFrame, gates: dict[str, list[str]], default: str = G.DEFAULT_QUERY_GATE) -> DataFrame:
+    """(query_id, gate, score): the gate with the largest share of its keywords' weight in the text, the first declared of equals."""
+    weight = inverse_frequencies(gates)
+
+    def scored(low: Column) -> Column:
+        share = lambda words: T.total([F.when(F.contains(low, F.lit(k)), weight[k]).otherwise(0.0) for k in words]) / F.lit(sum(weight[k] for k in words))
+        return F.greatest(*(F.struct(F.round(share(words), 6).alias("score"), F.lit(-i).alias("order"), F.lit(g).alias("gate")) for i, (g, words) in enumerate(gates.items())))
+
+    best = queries.select("query_id", T.bound(F.lower("text"), scored).alias("b"))
+    return best.select("query_id", F.when(F.col("b.score") > 0, F.col("b.gate")).otherwise(default).alias("gate"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+
+
 def route(queries: DataFrame, gates: dict[str, list[str]], predictions: DataFrame | None = None, default: str = G.DEFAULT_QUERY_GATE, optimise: bool = True, accept: float = 0.6) -> DataFrame:
     """Routing decision of each (query_id, text): a confident prediction, else keywords, else the default gate.
 

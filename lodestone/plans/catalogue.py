@@ -793,7 +793,10 @@ def reasoning_loop(spark, d):
         word = asked.select("query_id", F.get(T.words(F.col("text")), F.lit(0)).alias("text"))
         return retrieve.text_fallback(word, c, 5).join(c.select("node_id", F.substring("content", 1, 200).alias("content")), "node_id").select("query_id", "node_id", "content")
 
-    answers, _ = reason.solve([("p1", "the thion of"), ("p2", "und der lich")], find, spark, rounds=2)
+    # a batch of user problems: the first turns of the conversations whose id is divisible by 100
+    t = X.table(spark, d, "conversations").where("role = 'user' and conv_id % 100 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    problems = [(f"c{r.conv_id}", r.text or "") for r in t.orderBy("conv_id").toLocalIterator()]
+    answers, _ = reason.solve(problems, find, spark, rounds=2)
     return answers
 
 

@@ -167,6 +167,16 @@ def embed_text(spark, d):
     return v.select("chunk_id", F.size("v").alias("size"), F.round(V.norm(F.col("v")), 4).alias("length"))
 
 
+@query("SELECT doc_id AS chunk_id, " + ", ".join(f"CAST(length(substr(text, 1, {n})) AS INTEGER) AS {k}" for k, n in T.PREVIEWS.items()) + " FROM documents")
+def previews(spark, d):
+    return X.chunks(spark, d).select("chunk_id", *(F.length(T.preview(F.col("content"), k)).alias(k) for k in T.PREVIEWS))
+
+
+@query()
+def bpe_tokens(spark, d):
+    return encode.bpe_ids(X.chunks(spark, d)).select("chunk_id", F.size("ids").alias("tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
+
+
 # ---------------------------------------------------------------- labels and routing
 
 @query(f"""
@@ -253,6 +263,21 @@ def cached_centroids(spark, d):
     return again.select("gate_id", F.size("centroid").alias("size"), F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
+_IDF = route.inverse_frequencies(G.SYNTHETIC_GATES)
+_TFIDF = " UNION ALL ".join(
+    f"SELECT query_id, {i} AS o, {S.lit(g)} AS gate, round(({' + '.join(f'CASE WHEN contains(lower(text), {S.lit(k)}) THEN {_IDF[k]!r}::DOUBLE ELSE 0 END' for k in words)}) / {sum(_IDF[k] for k in words)!r}::DOUBLE, 6) AS score FROM user_queries"
+    for i, (g, words) in enumerate(G.SYNTHETIC_GATES.items())
+)
+
+
+@query(f"""
+    WITH {X.USER_QUERIES}, s AS ({_TFIDF})
+    SELECT query_id, CASE WHEN score > 0 THEN gate ELSE {S.lit(G.DEFAULT_QUERY_GATE)} END AS gate, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) = 1
+""")
+def tfidf_route(spark, d):
+    return route.tfidf_gate(X.user_queries(spark, d), G.SYNTHETIC_GATES)
+
+
 # ---------------------------------------------------------------- retrieval
 
 @query(f"WITH {X.NODES} SELECT node_id, depth, quality FROM nodes WHERE gate_id = 2 AND difficulty_id <= 5 AND depth BETWEEN 1 AND 7 ORDER BY quality DESC NULLS FIRST, depth, node_id LIMIT 7")
@@ -372,6 +397,14 @@ def graph_counters(spark, d):
     return stats.graph_counters(X.chunks(spark, d), e, graph.cooccurrence_triplets(e), n, edges)
 
 
+@query(f"""
+    WITH f AS (SELECT doc_id AS chunk_id, regexp_extract_all(substr(text, 1, 5000), {S.lit(graph.NOUN_CHUNK)}, 1) AS x FROM documents)
+    SELECT chunk_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x) AS text, 'CONCEPT' AS type, 0.7::DOUBLE AS score FROM f
+""")
+def noun_chunks(spark, d):
+    return graph.noun_chunks(X.chunks(spark, d)).drop("source")
+
+
 # ---------------------------------------------------------------- streams
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")

@@ -1,6 +1,7 @@
 """Operators on small inputs: ties, cycles, invariants, hooks, sources, streaming."""
 
 import json
+import os
 import random
 
 import pytest
@@ -244,6 +245,17 @@ def test_vocabulary_ids_count_all_tokens(spark):
     assert packed[0] == b"\x01\xff" and packed[1] is None
 
 
+@pytest.mark.skipif(not os.path.exists(encode.BPE), reason="no vocabulary here")
+def test_bpe_ids_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  world", "", None, "naïve 日本 <|endoftext|> x", "a" * 5000, "\n\n tab\t"]
+    t = Tokenizer.from_file(encode.BPE)
+    t.encode_special_tokens = True
+    got = dict(rows(encode.bpe_ids(chunks(spark, texts))))
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+
+
 def test_agreement(spark):
     s = spark.createDataFrame([("same", "a b", "a b")] * 4 + [("fail", "a", None)] * 4 + [("empty", "", "x")] * 2 + [("split", "a", "a"), ("split", "a", "b")], "query_id string, answer string, sample string")
     got = {r.query_id: (r.confidence, r.confident) for r in reason.agreement(s).collect()}
