@@ -49,8 +49,8 @@ MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 MIN_POSITIVE, MIN_Z = 3, 2.5
 #: Features of the classifier at most: those that differ by the most standard errors.
 MAX_FEATURES = 4096
-#: Parts of P and U for the estimate of the prior, the share of P that a set must hold, and the prior's range.
-FOLDS, SUPPORT, LEAST_PRIOR, MOST_PRIOR = 5, 0.3, 1e-4, 0.9
+#: Parts of P and U for the estimate of the prior, the share of P that a set must hold, a first guess, and the prior's range.
+FOLDS, SUPPORT, GUESS, LEAST_PRIOR, MOST_PRIOR = 5, 0.5, 0.05, 1e-4, 0.9
 #: Weight of the squared weights in the risk, times the number of positives.
 PENALTY = 0.3
 
@@ -138,6 +138,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     pi, ui = np.searchsorted(used, pi), np.searchsorted(used, ui)
     w, b = np.zeros(len(used)), model.bias
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    # near the border of the risk the steps go back and forth: the model is the mean of the last third
+    last, mean_w, mean_b = -(-steps // 3), np.zeros_like(w), 0.0
 
     def back(g: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
         return np.bincount(at, g[row], len(used))
@@ -152,25 +154,34 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         step = rate / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= step * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    model.weights[used], model.bias = w, float(b)
+        if t > steps - last:
+            mean_w, mean_b = mean_w + w / last, mean_b + b / last
+    model.weights[used], model.bias = mean_w, float(mean_b)
     return model
 
 
 def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], dimensions: int = DIMENSIONS) -> float:
-    """The share of positives in U, from P and U alone (see the module's docstring)."""
+    """The share of positives in U, from P and U alone (see the module's docstring).
+
+    The classifiers need a prior themselves: a small guess first, then what it
+    gave. Their numbers of texts are no guess, as both samples are of bounded size.
+    """
     if len(positive) < FOLDS or len(unlabelled) < FOLDS:
         return LEAST_PRIOR
-    logits: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-    for k in range(FOLDS):
-        p, u = ([r for i, r in enumerate(rows) if i % FOLDS != k] for rows in (positive, unlabelled))
-        model = fit(p, u, min(0.5, len(p) / len(u)), dimensions, steps=100)
-        for out, rows in zip(logits, (positive, unlabelled), strict=True):
-            out.append(model.logits(*_csr(rows[k::FOLDS])))
-    sp, su = (np.sort(np.concatenate(z)) for z in logits)
-    at = np.unique(sp)
-    rp, ru = (1 - np.searchsorted(s, at) / len(s) for s in (sp, su))
-    known = rp >= SUPPORT
-    return float(min(max((ru[known] / rp[known]).min(), LEAST_PRIOR), MOST_PRIOR))
+    found = MOST_PRIOR
+    for guess in (GUESS, None):
+        logits: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        for k in range(FOLDS):
+            p, u = ([r for i, r in enumerate(rows) if i % FOLDS != k] for rows in (positive, unlabelled))
+            model = fit(p, u, guess or found, dimensions, steps=60)
+            for out, rows in zip(logits, (positive, unlabelled), strict=True):
+                out.append(model.logits(*_csr(rows[k::FOLDS])))
+        sp, su = (np.sort(np.concatenate(z)) for z in logits)
+        at = np.unique(sp)
+        rp, ru = (1 - np.searchsorted(s, at) / len(s) for s in (sp, su))
+        known = rp >= SUPPORT
+        found = min(found, max(float((ru[known] / rp[known]).min()), LEAST_PRIOR))
+    return found
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
