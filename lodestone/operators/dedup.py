@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
-from lodestone.runtime import drop, materialize
+from lodestone.runtime import drop, materialize, maybe_broadcast
 
 #: Similarity, permutations, and the bands that suit them.
 THRESHOLD, PERMUTATIONS, BANDS = 0.85, 128, 8
@@ -34,9 +33,9 @@ def classes(chunks: DataFrame, scope: str = "file") -> DataFrame:
 
     A chunk without words is like those of the same content only.
     """
-    words = F.array_sort(F.array_distinct(T.words(F.lower("content"))))
+    words = F.array_join(F.sort_array(F.array_distinct(T.words(F.lower("content")))), "\x01")
     text = F.sha2("content", 256)
-    key = F.when(F.size(words) > 0, F.sha2(F.array_join(words, "\x01"), 256)).otherwise(F.concat(F.lit("="), text))
+    key = F.coalesce(T.bound(words, lambda w: F.when(w != "", F.sha2(w, 256))), F.concat(F.lit("="), text))
     rows = chunks.select("chunk_id", "source", text.alias("content_hash"), key.alias("key"))
     by = ["key"] + (["source"] if scope == "file" else [])
     first = rows.groupBy(*by).agg(F.min("chunk_id").alias("rep"), F.min_by("content_hash", "chunk_id").alias("rep_hash"))
@@ -57,11 +56,11 @@ def similar_pairs(chunks: DataFrame, threshold: float = THRESHOLD, scope: str =
     t = F.lit(threshold)
     chunks = materialize(representatives(chunks, scope), "representatives")
     sets = word_sets(chunks)
-    df = sets.groupBy("word").agg(F.count("*").alias("df"))
-    sized = sets.join(df, "word")
-    order = F.row_number().over(Window.partitionBy("chunk_id").orderBy("df", "word"))
-    n = F.count("*").over(Window.partitionBy("chunk_id"))
-    prefix = sized.withColumn("rank", order).withColumn("n", n).where(F.col("rank") <= F.col("n") - F.ceil(t * F.col("n")) + 1).select("chunk_id", "source", "word", "n")
+    # counts of words are broadcast where their table is small, so that no common word is a key of an exchange
+    df = maybe_broadcast(materialize(sets.groupBy("word").agg(F.count("*").alias("df")), "df"))
+    ordered = sets.join(df, "word").groupBy("chunk_id", "source").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
+    n = F.size("w")
+    prefix = ordered.select("chunk_id", "source", n.alias("n"), F.explode(F.slice("w", F.lit(1), (n - F.ceil(t * n) + 1).cast("int"))).alias("x")).select("chunk_id", "source", "x.word", "n")
     prefix = materialize(prefix, "prefix")  # read by both sides
     a, b = prefix.alias("a"), prefix.alias("b")
     on = (F.col("a.word") == F.col("b.word")) & (F.col("a.chunk_id") < F.col("b.chunk_id")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))

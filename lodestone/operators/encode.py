@@ -38,7 +38,7 @@ def encode(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     joined, and adaptive execution splits the common tokens.
     """
     coded = occurrences(chunks).join(maybe_broadcast(vocab.select("token", "id")), "token", "left")
-    return coded.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(-1)).alias("id")))), lambda s: s["id"]).alias("ids"))
+    return coded.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(-1)).alias("id")))), lambda s: s["id"]).alias("ids"))
 
 
 #: A byte-level BPE vocabulary (50,257 entries) of a public tokenizer.

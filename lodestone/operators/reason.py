@@ -38,7 +38,7 @@ def context_verifiers(context: DataFrame, verifiers: DataFrame) -> DataFrame:
     """(query_id, verifiers): names of all verifiers (node_id, verifier, weight) of a query's context (query_id, node_id, rank), nearest and heaviest first."""
     rows = context.select("query_id", "node_id", "rank").join(verifiers, "node_id")
     order = F.struct("rank", (-F.col("weight")).alias("w"), "verifier")
-    found = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["verifier"]).alias("verifiers"))
+    found = rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["verifier"]).alias("verifiers"))
     return context.select("query_id").distinct().join(found, "query_id", "left")
 
 

@@ -65,7 +65,7 @@ def gate_scores(query: Column, gates: dict[str, list[str]]) -> Column:
     for i, (g, k) in enumerate(gates.items()):
         m = T.hits(query, k)
         parts.append(F.struct((-F.least(m / len(k) + m * F.lit(0.1), F.lit(1.0))).alias("negative"), F.lit(i).alias("order"), F.lit(g).alias("gate"), m.alias("m")))
-    return F.transform(F.array_sort(F.filter(F.array(*parts), lambda x: x["m"] > 0)), lambda x: F.struct(x["gate"].alias("gate"), (-x["negative"]).alias("score")))
+    return F.transform(F.sort_array(F.filter(F.array(*parts), lambda x: x["m"] > 0)), lambda x: F.struct(x["gate"].alias("gate"), (-x["negative"]).alias("score")))
 
 
 def inverse_frequencies(gates: dict[str, list[str]]) -> dict[str, float]:
@@ -117,7 +117,7 @@ def centroids(points: DataFrame, per_gate: int | None = None) -> DataFrame:
     if per_gate:
         p = p.withColumn("rank", F.row_number().over(Window.partitionBy("gate_id").orderBy("node_id"))).where(F.col("rank") <= per_gate)
     mean = p.select("gate_id", F.posexplode(V.doubles(F.col("vector"))).alias("at", "x")).groupBy("gate_id", "at").agg(F.avg("x").alias("x"))
-    return mean.groupBy("gate_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
+    return mean.groupBy("gate_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
 def centroid_route(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def multi_gate(scored: DataFrame, least: float = 0.15) -> DataFrame:
 def secondary_gates(scored: DataFrame, most: int = 3, above: float = 0.1) -> DataFrame:
     """(node_id, secondary): of the ``most`` likeliest gates those beside the best, above a probability, in order."""
     some = scored.where((F.col("rank") > 1) & (F.col("rank") <= most) & (F.col("probability") > above))
-    found = some.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gate_id"))), lambda x: x["gate_id"]).alias("secondary"))
+    found = some.groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "gate_id"))), lambda x: x["gate_id"]).alias("secondary"))
     return scored.select("node_id").distinct().join(found, "node_id", "left").select("node_id", F.coalesce("secondary", F.array().cast("array<int>")).alias("secondary"))
 
 
