@@ -287,7 +287,7 @@ def deduplicate(
     line = lambda i: _key(F.get(F.col(lines), i))
     short = F.filter(every, lambda i: F.length(line(i)) < min(exact_chars, min_chars))
     long = F.transform(F.filter(F.col(kept), lambda m: F.xxhash64(line(m["line"])) == m["h"]), lambda m: m["line"])
-    out = out.withColumn(lines, split).withColumn(stay, F.array_sort(F.concat(short, F.coalesce(long, F.array().cast("array<int>")))))
+    out = out.withColumn(lines, split).withColumn(stay, F.sort_array(F.concat(short, F.coalesce(long, F.array().cast("array<int>")))))
     # rows without an id stay whole
     unknown = docs.where("doc_id is null").withColumn(lines, split).withColumn(stay, every)
     out = out.drop(kept).unionByName(unknown)

@@ -41,6 +41,8 @@ from lodestone.runtime import drop, materialize
 
 #: Texts are mapped to this many hashed features.
 DIMENSIONS = 1 << 18
+#: Text bytes whose features are made at once.
+SLICE = 1 << 20
 #: Lengths in bytes of the beginnings of words that are features.
 STEMS = (5, 7)
 #: Bound on the confirmed toxic and on the unlabelled texts that are fitted (parameters of :func:`train`).
@@ -185,7 +187,7 @@ def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], dim
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in K.slices(batches, "text"):
+    for part in K.slices(batches, "text", SLICE):
         indices, offs = features(*K.texts(part.column("text")))
         rows = [indices[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(rows, pa.binary())], ["y", "f"])
@@ -199,6 +201,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             n[y, np.frombuffer(f.as_py(), np.int32)] += 1
     at = np.flatnonzero(n.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at])], ["feature", "p", "u"])
+    K.tidy()
 
 
 def _chosen_features(used: np.ndarray):
@@ -208,6 +211,7 @@ def _chosen_features(used: np.ndarray):
         for batch in batches:
             rows = (place[np.frombuffer(f.as_py(), np.int32)] for f in batch.column("f"))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([r[r >= 0].astype(np.uint16).tobytes() for r in rows], pa.binary())], ["y", "f"])
+        K.tidy()
 
     return run
 
@@ -251,7 +255,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights, bias, prior)
-        for part in K.slices(batches, "text"):
+        for part in K.slices(batches, "text", SLICE):
             s = m.score(*features(*K.texts(part.column("text"))))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -272,7 +276,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights, bias, prior)
-        for part in K.slices(batches, "text"):
+        for part in K.slices(batches, "text", SLICE):
             yield part.filter(pa.array(m.score(*features(*K.texts(part.column("text")))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
