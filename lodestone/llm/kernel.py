@@ -67,6 +67,11 @@ def tidy() -> None:
         _libc.malloc_trim(0)
 
 
+def small_batches(spark, most: int = 8 << 20) -> None:
+    """From now on, batches that go to Python hold so many bytes at most, in the executor's and the worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and row offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

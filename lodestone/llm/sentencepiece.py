@@ -25,7 +25,7 @@ from lodestone.llm import kernel as K
 from lodestone.llm.pieces import MODEL, SPACE, Pretokens, Vocabulary, pretokens
 
 #: Text bytes handled at once, words that a worker remembers.
-SLICE = 2 << 20
+SLICE = 1 << 20
 REMEMBERED = 400_000
 
 
@@ -218,6 +218,7 @@ class Decoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | str = MODEL, decode: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): token ids of every whole text and, from them, the text again."""
+    K.small_batches(docs.sparkSession)
     v = Vocabulary.load(vocabulary) if isinstance(vocabulary, str) else vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
