@@ -281,7 +281,7 @@ def tfidf_route(spark, d):
 # ---------------------------------------------------------------- retrieval
 
 @query(f"WITH {X.NODES} SELECT node_id, depth, quality FROM nodes WHERE gate_id = 2 AND difficulty_id <= 5 AND depth BETWEEN 1 AND 7 ORDER BY quality DESC NULLS FIRST, depth, node_id LIMIT 7")
-def optional_filters(spark, d):
+def unset_filters(spark, d):
     """A branch of 0 and an empty path don't filter."""
     return retrieve.by_hierarchy(X.nodes(spark, d), 2, branch_id=0, prefix=[], limit=7).select("node_id", "depth", "quality")
 
