@@ -30,7 +30,10 @@ SIZE, CHARS = 384, 512
 
 
 def hashed_embedding(text: Column, size: int = SIZE) -> Column:
-    """A deterministic stand-in for an encoder: signed word hashes summed by bucket, of unit length (zero without words)."""
+    """A deterministic stand-in for an encoder: signed word hashes summed by bucket, of unit length (zero without words).
+
+    Where the signs of all words cancel out, the words are counted without signs.
+    """
     words = F.filter(F.split(F.lower(F.substring(text, 1, CHARS)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return _embed(size)(F.transform(words, lambda w: F.xxhash64(w)))
 
@@ -42,7 +45,10 @@ def _embed(size: int):
         n = np.array([0 if h is None else len(h) for h in hashes])
         if n.sum():
             h = np.concatenate([h for h in hashes if h is not None and len(h)]).astype(np.int64)
-            np.add.at(out, (np.repeat(np.arange(len(n)), n), (h >> 1) % size), np.where(h & 1, 1.0, -1.0))
+            row, bucket = np.repeat(np.arange(len(n)), n), (h >> 1) % size
+            np.add.at(out, (row, bucket), np.where(h & 1, 1.0, -1.0))
+            gone = ~out.any(1)[row]
+            np.add.at(out, (row[gone], bucket[gone]), 1.0)
         length = np.sqrt((out * out).sum(1, keepdims=True))
         return pd.Series(list(np.divide(out, length, out=out, where=length > 0).astype(np.float32)))
 

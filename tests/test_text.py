@@ -125,3 +125,15 @@ def test_language_by_common_words(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.x for r in df.orderBy("i").select(T.language(F.col("t")).alias("x")).collect()]
     assert got[:6] == ["en", "de", "fr", "es", "en", "en"] and got[7] == "en"
+
+
+def test_embedding_of_words_whose_signs_cancel(spark):
+    """Two words of one bucket and opposite signs still give a vector of unit length."""
+    from lodestone.functions import vectors as V
+
+    of = {}
+    for w, h in spark.range(2000).select(F.concat(F.lit("w"), "id").alias("w")).select("w", F.xxhash64("w")).collect():
+        of.setdefault((h >> 1) % V.SIZE, {})[h & 1] = w
+    a, b = next((x[0], x[1]) for x in of.values() if len(x) == 2)
+    got = column(spark, [f"{a} {b}", f"{b}, {a} {a} {b}", a, "?!", None], F.round(V.norm(V.hashed_embedding(F.col("t"))), 4))
+    assert [x for (x,) in got] == [1.0, 1.0, 1.0, 0.0, 0.0]
