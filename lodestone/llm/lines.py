@@ -12,8 +12,8 @@ decided by banded bit-parallel edit distance between the common beginning and en
 band, which prefixes are within k edits; a character of the line updates all.
 Most candidates that aren't near are so after the first few characters.
 
-A segment that up to ``HOT`` classes share gives candidates as pairs of ids. The
-rows of a more common one carry their text and are put under a segment of the
+A segment that less than ``HOT`` classes share gives candidates as pairs of ids,
+so that their number is a small multiple of that of the probes at most. The rows of a more common one carry their text and are put under a segment of the
 rest of the line as well (the same principle holds for the rest with the edits
 that are left); there only the existence of one earlier line is asked for, by
 semi joins, which make no pairs and which Spark splits where a key is skewed.
@@ -42,8 +42,8 @@ from lodestone.runtime import drop, fresh, materialize
 
 #: Edits, and characters of a line that takes part in the edit join and in exact copies.
 THRESHOLD, MIN_CHARS, EXACT_CHARS = 2, 20, 1
-#: Classes that share a segment before their texts go along; such segments that are broadcast (8 bytes each).
-HOT, BROADCAST_KEYS = 32, 100_000
+#: Classes that share a segment before their texts go along, which bounds the pairs of a probe; such segments that are broadcast (8 bytes each).
+HOT, BROADCAST_KEYS = 8, 100_000
 #: Classes of pairs up to this number are broadcast (8 bytes each) to pick their texts.
 BROADCAST_IDS = 400_000
 #: Descending powers of two, by which the length of a common beginning is searched.
@@ -118,8 +118,9 @@ def _refined_probe(rows: DataFrame, threshold: int) -> DataFrame:
     at, n, t = _rest(threshold)
     more = F.when(F.col("i") == threshold, F.col("o")).otherwise(F.col("d") - F.col("o"))
     steps = [s for left in range(1, threshold + 1) for s in _steps(left, range(-left, left + 1))]
-    rows = rows.withColumn("p", at).withColumn("m", n).withColumn("t", t).withColumn("more", more).withColumn("s", F.explode(_array(steps)))
-    rows = rows.where("s.t = t and s.d = more")
+    rows = rows.withColumn("p", at).withColumn("m", n).withColumn("t", t).withColumn("more", more)
+    # only the steps that belong to a row become rows
+    rows = rows.withColumn("s", F.explode(F.filter(_array(steps), lambda s: (s["t"] == F.col("t")) & (s["d"] == F.col("more")))))
     start, size = _segment(F.col("m") - F.col("more"), F.col("s.i"), F.col("t"))
     rows = rows.withColumn("from", start + F.col("s.o")).withColumn("size", size).where("from >= 1 and from + size - 1 <= m")
     return rows.withColumn("k2", F.xxhash64("k", F.col("s.i").alias("j"), F.substring("key", F.col("p") - 1 + F.col("from"), F.col("size"))))

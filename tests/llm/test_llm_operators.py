@@ -201,6 +201,21 @@ def test_line_dedup_with_common_segments(spark, monkeypatch):
         assert {r.doc_id: r.n_removed == 1 for r in got.collect()} == want
 
 
+def test_line_dedup_makes_few_pairs_of_a_group(spark):
+    """Lines that share a segment: none of them is paired with all others, and the result is that of brute force."""
+    shared = "the same beginning of all of these lines"
+    rows = [(i, f"{shared} {k}") for i, k in enumerate(hashlib.sha256(str(j // 2).encode()).hexdigest()[: 40 + j % 2] for j in range(48))]
+    first = lines._classes(spark.createDataFrame(rows, "doc_id long, text string"), 20, 1).select("id", "doc_id", "line", "n", "key").localCheckpoint()
+    index, probe = lines._index(first, 2), lines._probe(first, 2)
+    hot = index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= lines.HOT).select("k")
+    pairs = lines._pairs(index.join(hot, "k", "left_anti"), probe, hot)
+    assert hot.count() and pairs.count() < 8 * len(rows)
+    gone = _line_brute(rows)
+    want = {i: gone(i, 0, t) for i, t in rows}
+    got = {r.doc_id: r.n_removed == 1 for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 0 < sum(want.values()) < len(rows)
+
+
 def test_line_dedup_with_clashing_names(spark):
     import corpus_pipeline
 
