@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from lodestone.functions.strings import Strings
 from lodestone.operators.vectorscan import scan
 from lodestone.runtime import materialize, maybe_broadcast
 
@@ -19,8 +24,8 @@ SUMMARY = [
     "about the content", "main points", "key takeaways", "what's inside", "what is inside",
 ]
 CANDIDATES = 20
-#: Text queries that are broadcast at once.
-QUERIES = 1000
+#: Text queries that are broadcast at once; strings that are looked for at once; bytes of text in which they are.
+QUERIES, STRINGS, SLICE = 1000, 20_000, 2 << 20
 
 
 def contains_all(path: Column, wanted: list[str]) -> Column:
@@ -142,18 +147,65 @@ def query_blocks(queries: DataFrame, most: int = QUERIES) -> Iterator[DataFrame]
 def text_fallback(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, gate_id: int | None = None, literal: bool = False) -> DataFrame:
     """(query_id, node_id, vector_score, rank): chunks that contain the query, best quality first, with a fixed score.
 
-    Every text is compared with the queries of a block where it is; only hits
-    are shuffled, k of a task and query at most. Null or empty queries find nothing.
+    Queries without wildcards are looked for all at once where the texts are;
+    others are compared one by one. Only hits are shuffled, of the former k of
+    a task and query at most. Null or empty queries find nothing.
     """
-    c = chunks if gate_id is None else chunks.where(F.col("gate_id") == gate_id)
-    found = None
-    for q in query_blocks(queries.select("query_id", F.col("text").alias("query")).where("query <> ''")):
-        some = c.join(q, ilike(F.col("content"), F.col("query"), literal)).select("query_id", "node_id", "quality")
-        found = some if found is None else found.unionAll(some)
+    c = (chunks if gate_id is None else chunks.where(F.col("gate_id") == gate_id)).select("node_id", "quality", "content")
+    asked = materialize(queries.select("query_id", F.col("text").alias("query"), F.lower("text").alias("string")).where("query <> ''"), "asked")
+    plain = F.lit(True) if literal else ~F.col("query").rlike(r"[%_\\\\]")
+    found = _strings_found(asked.where(plain), c, k)
+    if not literal and asked.where(~plain).limit(1).count():
+        for q in query_blocks(asked.where(~plain)):
+            found = found.unionAll(c.join(q, ilike(F.col("content"), F.col("query"))).select("query_id", "node_id", "quality"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("quality"), "node_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "node_id", F.lit(0.5).alias("vector_score"), "rank")
 
 
+def _strings_found(asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, node_id, quality): texts that contain the lower-cased string of a query, the k best of each task at least."""
+    spark = chunks.sparkSession
+    kinds = [chunks.schema[c].dataType for c in ("node_id", "quality")]
+    arrow = [to_arrow_type(t) for t in kinds]
+    schema = f"string string, node_id {kinds[0].simpleString()}, quality {kinds[1].simpleString()}"
+    low = chunks.select("node_id", "quality", F.lower("content").alias("content")).where("content is not null")
+    strings = asked.select("string").distinct()
+    number = -(-strings.count() // STRINGS)
+    hits = spark.createDataFrame([], schema)
+    for part in range(number):
+        some = sorted(r.string for r in strings.where(F.pmod(F.xxhash64("string"), F.lit(number)) == part).collect())  # a bounded number
+        shared = spark.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, held = Strings(shared.value), None
+            for batch in batches:
+                for table in index.slices(batch, "content", SLICE):
+                    row, which = index.find(table.column("content"))
+                    new = pa.table({"which": pa.array(which), "node_id": table.column("node_id").take(pa.array(row)), "quality": table.column("quality").take(pa.array(row))})
+                    held = best(new if held is None else pa.concat_tables([held, new]), k)
+            if held is not None:
+                for out in held.combine_chunks().to_batches():
+                    names = pa.array(shared.value, pa.string()).take(out.column("which"))
+                    yield pa.RecordBatch.from_arrays([names, *(out.column(c).cast(t) for c, t in zip(("node_id", "quality"), arrow, strict=True))], ["string", "node_id", "quality"])
+
+        hits = hits.unionAll(low.mapInArrow(run, schema))
+    return asked.select("query_id", "string").join(hits, "string").select("query_id", "node_id", "quality")
+
+
+def best(hits: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each value of ``which``: by falling quality (none last), then by id; null ids come first."""
+    quality, node = hits.column("quality"), hits.column("node_id")
+    # NaN is above all numbers, as in Spark
+    nan = pc.is_nan(quality).fill_null(False) if pa.types.is_floating(quality.type) else pa.array([False] * len(hits))
+    keys = pa.table({"which": hits.column("which"), "none": quality.is_null(), "nan": pc.cast(nan, pa.int8()), "quality": quality, "known": node.is_valid(), "node": node})
+    order = [("which", "ascending"), ("none", "ascending"), ("nan", "descending"), ("quality", "descending"), ("known", "ascending"), ("node", "ascending")]
+    hits = hits.take(pc.sort_indices(keys, order))
+    which = hits.column("which").to_numpy()
+    first = np.flatnonzero(np.append(True, which[1:] != which[:-1])[: len(which)])
+    place = np.arange(len(which)) - np.repeat(first, np.diff(np.append(first, len(which))))
+    return hits.filter(pa.array(place < k))
+
+
 def wants_summary(query: str) -> bool:
     return any(p in query.lower() for p in SUMMARY)
 

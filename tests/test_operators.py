@@ -1,6 +1,7 @@
 """Operators on small inputs: ties, cycles, invariants, hooks, sources, streaming."""
 
 import json
+import math
 import os
 import random
 
@@ -262,6 +263,31 @@ def test_agreement(spark):
     assert got == {"same": (1.0, True), "fail": (1.0, True), "empty": (1.0, True), "split": (0.75, False)}
 
 
+def test_text_fallback_looks_for_all_strings_at_once(spark):
+    """Against brute force, with wildcards and without; no text is compared with each query where none is a pattern."""
+    import re
+
+    rng = random.Random(3)
+    piece = lambda k: "".join(rng.choices("abÄ ß", k=k))
+    texts = [(i, rng.choice([None, piece(rng.randint(0, 90))]) if i % 9 == 0 else piece(rng.randint(0, 90)), rng.choice([None, 0.1, 0.5, float("nan")])) for i in range(300)]
+    asked = [(i, piece(rng.randint(1, 4))) for i in range(40)] + [(50 + i, rng.choice(texts)[1] or "b") for i in range(30)] + [(100, None), (101, "")]
+    c = spark.createDataFrame(texts, "node_id long, content string, quality double").repartition(3)
+    order = lambda r: (r[2] is None, -(math.inf if r[2] is not None and math.isnan(r[2]) else r[2] or 0), r[0])
+
+    def want(queries, hit):
+        return {(q, r[0], k + 1) for q, s in queries if s for k, r in enumerate(sorted((r for r in texts if r[1] is not None and hit(r[1].lower(), s.lower())), key=order)[:7])}
+
+    def got(queries, literal):
+        return {(r.query_id, r.node_id, r.rank) for r in retrieve.text_fallback(spark.createDataFrame(queries, "query_id long, text string"), c, 7, literal=literal).collect()}
+
+    assert got(asked, False) == want(asked, lambda t, s: s in t)
+    like = [(1, "a%b_ß"), (2, "_ä_"), (3, "%"), (4, "ab")]
+    assert got(like, False) == want(like, lambda t, s: re.search(re.escape(s).replace("%", ".*").replace("_", "."), t, re.S))
+    assert got(like, True) == want(like, lambda t, s: s in t)
+    plan = retrieve.text_fallback(spark.createDataFrame(asked, "query_id long, text string"), c)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "MapInArrow" in plan
+
+
 def test_reasoning_loop(spark):
     find = lambda asked: asked.select("query_id", F.lit(1).cast("long").alias("node_id"), F.lit("fact").alias("content"))
     answers, trace = reason.solve([("p", "two and two")], find, spark, Hooks(generate=lambda p, t: "four"), rounds=3)
