@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.runtime import drop, materialize, maybe_broadcast
+from lodestone.runtime import drop, materialize
 
 #: Similarity, permutations, and the bands that suit them.
 THRESHOLD, PERMUTATIONS, BANDS = 0.85, 128, 8
+#: Buckets by which words are counted, parity bits of a word set, ids of chunks that are broadcast.
+BUCKETS, BITS, BROADCAST_IDS = 1 << 17, 512, 400_000
 
 
 def exact(chunks: DataFrame, scope: str = "file") -> DataFrame:
@@ -33,10 +37,18 @@ def classes(chunks: DataFrame, scope: str = "file") -> DataFrame:
 
     A chunk without words is like those of the same content only.
     """
-    words = F.array_join(F.sort_array(F.array_distinct(T.words(F.lower("content")))), "\x01")
-    text = F.sha2("content", 256)
-    key = F.coalesce(T.bound(words, lambda w: F.when(w != "", F.sha2(w, 256))), F.concat(F.lit("="), text))
-    rows = chunks.select("chunk_id", "source", text.alias("content_hash"), key.alias("key"))
+    rows = chunks.select("chunk_id", "source", F.sha2("content", 256).alias("content_hash"), F.lower("content").alias("low"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for text, low in zip(batch.column("content_hash").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                words = None if low is None else set(low.split())
+                keys.append(None if words is None else hashlib.sha256("\x01".join(sorted(words)).encode()).hexdigest() if words else f"={text}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk_id", "source", "content_hash")), pa.array(keys, pa.string())], ["chunk_id", "source", "content_hash", "key"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    rows = materialize(rows.mapInArrow(run, f"chunk_id {kind}, source string, content_hash string, key string"), "keys")
     by = ["key"] + (["source"] if scope == "file" else [])
     first = rows.groupBy(*by).agg(F.min("chunk_id").alias("rep"), F.min_by("content_hash", "chunk_id").alias("rep_hash"))
     return rows.join(first, by).select("chunk_id", "content_hash", "rep", "rep_hash")
@@ -47,27 +59,82 @@ def representatives(chunks: DataFrame, scope: str = "file") -> DataFrame:
     return chunks.join(classes(chunks, scope).where("chunk_id = rep").select("chunk_id"), "chunk_id", "left_semi")
 
 
+def _hashed(low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of distinct words of lower-cased texts, and 64-bit hashes of these words; white space is that of ``T.WS``."""
+    words = [list(set(t.split())) if t else [] for t in low.to_pylist()]
+    flat = np.array([w for x in words for w in x], object)
+    return np.array([len(x) for x in words], np.int64), pd.util.hash_array(flat, categorize=False).view(np.int64) if len(flat) else np.zeros(0, np.int64)
+
+
+def _prefixes(chunks: DataFrame, threshold: float) -> DataFrame:
+    """(chunk_id, source, n, places, words, sketch): size, prefix and parity bits of each chunk's set of word hashes.
+
+    Words are in the order of how often their bucket occurs, which is any total
+    order as far as results go. Those that occur once aren't listed.
+    """
+    spark = chunks.sparkSession
+    low = chunks.select("chunk_id", "source", F.lower("content").alias("low"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            often += np.bincount(_hashed(batch.column("low"))[1] % BUCKETS, minlength=BUCKETS)
+        some = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(often[some])], ["bucket", "n"])
+
+    often = np.zeros(BUCKETS, np.int64)
+    found = low.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    often[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            n, h = _hashed(batch.column("low"))
+            row = np.repeat(np.arange(len(n)), n)
+            bits = (np.bincount(row * BITS + ((h >> 32) & (BITS - 1)), minlength=len(n) * BITS) & 1).astype(np.uint8)
+            sketch = np.packbits(bits).view(np.int64)
+            df = often[h % BUCKETS]
+            order = np.lexsort((h, df, row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + 1
+            listed = np.flatnonzero((place <= (n - np.ceil(threshold * n) + 1)[row]) & (df[order] > 1))
+            ends = np.append(0, np.cumsum(np.bincount(row[listed], minlength=len(n)))).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (place[listed].astype(np.int32), h[order][listed]))
+            words = BITS // 64
+            each = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * words, words, dtype=np.int32)), pa.array(sketch))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("source"), pa.array(n.astype(np.int32)), *lists, each], ["chunk_id", "source", "n", "places", "words", "sketch"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return low.mapInArrow(run, f"chunk_id {kind}, source string, n int, places array<int>, words array<long>, sketch array<long>")
+
+
 def similar_pairs(chunks: DataFrame, threshold: float = THRESHOLD, scope: str = "file") -> DataFrame:
     """Pairs (a < b) of the first chunks of their word sets with a Jaccard similarity of at least the threshold.
 
     Prefix filter: sets that similar share one of their rarest n - ceil(t n) + 1
-    words. Counts over the prefix give candidates; sets are compared for those.
+    words, after the first of which both have enough words left. Parity bits of
+    the sets, which differ in no more places than the sets do, leave few of
+    these candidates; their words are compared. Only these chunks' texts are moved.
     """
     t = F.lit(threshold)
-    chunks = materialize(representatives(chunks, scope), "representatives")
-    sets = word_sets(chunks)
-    # counts of words are broadcast where their table is small, so that no common word is a key of an exchange
-    df = maybe_broadcast(materialize(sets.groupBy("word").agg(F.count("*").alias("df")), "df"))
-    ordered = sets.join(df, "word").groupBy("chunk_id", "source").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
-    n = F.size("w")
-    prefix = ordered.select("chunk_id", "source", n.alias("n"), F.explode(F.slice("w", F.lit(1), (n - F.ceil(t * n) + 1).cast("int"))).alias("x")).select("chunk_id", "source", "x.word", "n")
-    prefix = materialize(prefix, "prefix")  # read by both sides
+    first = classes(chunks, scope).where("chunk_id = rep").select("chunk_id")
+    packed = materialize(_prefixes(chunks, threshold).where("n > 0").join(first, "chunk_id", "left_semi"), "prefixes")
+    prefix = packed.select("chunk_id", *(["source"] if scope == "file" else []), "n", F.explode(F.arrays_zip("places", "words")).alias("x")).select("*", "x.places", "x.words").drop("x")
     a, b = prefix.alias("a"), prefix.alias("b")
-    on = (F.col("a.word") == F.col("b.word")) & (F.col("a.chunk_id") < F.col("b.chunk_id")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))
+    on = (F.col("a.words") == F.col("b.words")) & (F.col("a.chunk_id") < F.col("b.chunk_id")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))
+    # of n words in both together, this many are common to similar sets (less what rounding may add)
+    on = on & (1 + F.least(F.col("a.n") - F.col("a.places"), F.col("b.n") - F.col("b.places")) >= t / (1 + t) * (F.col("a.n") + F.col("b.n")) - 1e-6)
     if scope == "file":
         on = on & (F.col("a.source") == F.col("b.source"))
     pairs = a.join(b, on).select(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b")).distinct()
-    return _similar(chunks, pairs).where(F.col("jaccard") >= t).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    x, y = (packed.select(F.col("chunk_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, d: s + d)
+    pairs = pairs.join(x, "a").join(y, "b").where(apart <= (1 - t) / (1 + t) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
+    pairs = materialize(pairs, "candidates")
+    some = materialize(pairs.select(F.col("a").alias("chunk_id")).unionAll(pairs.select("b")).distinct(), "ids")
+    # the ids are broadcast where they are few, so that other texts stay where they are
+    texts = chunks.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "chunk_id", "left_semi")
+    return _similar(texts, pairs).where(F.col("jaccard") >= t).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def _similar(chunks: DataFrame, pairs: DataFrame) -> DataFrame:

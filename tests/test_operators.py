@@ -35,6 +35,24 @@ def test_similar_pairs_at_the_threshold(spark):
     assert [r[:2] for r in rows(dedup.similar_pairs(c))] == [(0, 1)]  # 17 / 20
 
 
+def test_similar_pairs_equal_brute_force(spark):
+    """Sets of all sizes against all pairs; texts that are in no candidate pair aren't moved."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(12)], k=rng.randint(0, 9))) for _ in range(60)]
+    for _ in range(25):
+        base = [f"{rng.randrange(400)}x" for _ in range(rng.randint(10, 60))]
+        texts += [" ".join(base), " ".join(base[rng.randint(0, 4) :] + ["New"] * rng.randint(0, 2)), " ".join(base[: -rng.randint(1, 9)] + [f"{rng.randrange(400)}x"])]
+    texts += [None, "", " "]
+    sets = [frozenset((x or "").lower().split()) for x in texts]
+    first = [i for i, x in enumerate(sets) if x and x not in sets[:i]]
+    want = {(i, j) for i in first for j in first if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.85}
+    c = chunks(spark, texts).repartition(3)
+    for scope in ("file", "global"):
+        assert {tuple(r)[:2] for r in dedup.similar_pairs(c, scope=scope).collect()} == want and len(want) > 15
+    packed = dedup._prefixes(c, 0.85)
+    assert "content" not in packed.columns and all(len(r.words) <= r.n - math.ceil(0.85 * r.n) + 1 for r in packed.collect() if r.n)
+
+
 def test_first_wins_on_a_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(6)], "chunk_id long")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a long, b long")
