@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,31 +26,38 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-#: Size of a text's vector, and characters that it is made of.
-SIZE, CHARS = 384, 512
+#: Size of a text's vector; words and texts that are summed up at once.
+SIZE, WORDS, TEXTS = 384, 1 << 18, 1 << 10
 
 
 def hashed_embedding(text: Column, size: int = SIZE) -> Column:
-    """A deterministic stand-in for an encoder: signed word hashes summed by bucket, of unit length (zero without words).
+    """A deterministic stand-in for an encoder: signed hashes of all words summed by bucket, of unit length (zero without words).
 
     Where the signs of all words cancel out, the words are counted without signs.
     """
-    words = F.filter(F.split(F.lower(F.substring(text, 1, CHARS)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return _embed(size)(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def _embed(size: int):
-    @F.pandas_udf("array<float>")
-    def embed(hashes: pd.Series) -> pd.Series:
-        out = np.zeros((len(hashes), size))
-        n = np.array([0 if h is None else len(h) for h in hashes])
-        if n.sum():
-            h = np.concatenate([h for h in hashes if h is not None and len(h)]).astype(np.int64)
-            row, bucket = np.repeat(np.arange(len(n)), n), (h >> 1) % size
-            np.add.at(out, (row, bucket), np.where(h & 1, 1.0, -1.0))
-            gone = ~out.any(1)[row]
-            np.add.at(out, (row[gone], bucket[gone]), 1.0)
-        length = np.sqrt((out * out).sum(1, keepdims=True))
-        return pd.Series(list(np.divide(out, length, out=out, where=length > 0).astype(np.float32)))
+    @F.arrow_udf("array<float>")
+    def embed(hashes: pa.Array) -> pa.Array:
+        n = pc.list_value_length(hashes).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, h = np.append(0, np.cumsum(n)), hashes.flatten().to_numpy()
+        out = np.zeros((len(n), size), np.float32)
+        at = 0
+        while at < len(n):
+            # a longer text stands alone
+            to = min(at + TEXTS, max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS, "right")) - 1))
+            some, shape = h[ends[at] : ends[to]], (to - at, size)
+            place = np.repeat(np.arange(to - at) * size, n[at:to]) + (some >> 1) % size
+            v = np.bincount(place, np.where(some & 1, 1.0, -1.0), (to - at) * size).reshape(shape)
+            gone = ~v.any(1)
+            if n[at:to][gone].any():
+                v[gone] = np.bincount(place, minlength=(to - at) * size).reshape(shape)[gone]
+            length = np.sqrt((v * v).sum(1, keepdims=True))
+            np.divide(v, length, out=out[at:to], where=length > 0)
+            at = to
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * size, pa.int32()), pa.array(out.reshape(-1)))
 
     return embed

@@ -160,7 +160,7 @@ def composite_quality(spark, d):
     return X.table(spark, d, "embeddings").select(i.alias("node_id"), stats.composite_quality(*((i % k) / F.lit(float(k)) for k in (10, 7, 5, 3))).alias("quality"))
 
 
-@query("SELECT doc_id AS chunk_id, 384 AS size, CASE WHEN length(regexp_replace(substr(text, 1, 512), '[^\\p{L}\\p{N}]', '', 'g')) > 0 THEN 1.0::DOUBLE ELSE 0 END AS length FROM documents")
+@query("SELECT doc_id AS chunk_id, 384 AS size, CASE WHEN length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) > 0 THEN 1.0::DOUBLE ELSE 0 END AS length FROM documents")
 def embed_text(spark, d):
     """Vectors of whole size and unit length (zero for a text without words)."""
     v = X.chunks(spark, d).select("chunk_id", V.hashed_embedding(F.col("content")).alias("v"))

@@ -1,5 +1,6 @@
 """Text rules against plain Python specifications and boundary values."""
 
+import random
 import re
 
 import pytest
@@ -137,3 +138,24 @@ def test_embedding_of_words_whose_signs_cancel(spark):
     a, b = next((x[0], x[1]) for x in of.values() if len(x) == 2)
     got = column(spark, [f"{a} {b}", f"{b}, {a} {a} {b}", a, "?!", None], F.round(V.norm(V.hashed_embedding(F.col("t"))), 4))
     assert [x for (x,) in got] == [1.0, 1.0, 1.0, 0.0, 0.0]
+
+
+def test_embedding_of_whole_texts(spark):
+    """Words count wherever they stand in a text; the sums are those of a plain loop."""
+    import numpy as np
+
+    from lodestone.functions import vectors as V
+
+    rng = random.Random(5)
+    texts = [None, "", "?" * 600 + " Late", "a " * 300 + "Ünd b", *(" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(0, 400))) for _ in range(40)), "long word " * 150_000 + "end"]
+    texts += [""] * 1100 + ["x y z"]
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    of = dict(spark.createDataFrame([(w,) for w in sorted(set().union(*words))], "w string").select("w", F.xxhash64("w")).collect())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r.i: r.v for r in df.select("i", V.hashed_embedding(F.col("t")).alias("v")).collect()}
+    for i, ws in enumerate(words):
+        v = np.zeros(V.SIZE)
+        for w in ws:
+            v[(of[w] >> 1) % V.SIZE] += 1 if of[w] & 1 else -1
+        assert np.allclose(got[i], v / (np.linalg.norm(v) or 1), atol=1e-6), i
+    assert any(got[2])
