@@ -15,6 +15,7 @@ from lodestone.hooks import Hooks
 from lodestone.operators import clean, dedup, encode, graph, reason, retrieve, route, stats
 from lodestone.plans import fixtures as X
 from lodestone.plans import sql as S
+from lodestone.runtime import materialize, maybe_broadcast
 from lodestone.sources import catalogue as catalogue_sources
 from lodestone.sources import jsonl, stores
 
@@ -787,16 +788,22 @@ def trace_upsert(spark, d):
 
 @query()
 def reasoning_loop(spark, d):
+    """Every user turn is a problem; whole texts that contain its first word are its context."""
     c = X.chunks(spark, d).select(F.col("chunk_id").alias("node_id"), "content", F.lit(None).cast("double").alias("quality"))
+    problems = materialize(X.user_queries(spark, d), "problems")
+    # what is asked begins with the problem, so that its first word is the same in all rounds
+    first = lambda t: F.get(T.words(t), F.lit(0))
+    word = first(F.concat(F.coalesce("text", F.lit("")), F.lit(" Current thinking:")))
+    words = problems.select(word.alias("text")).distinct().select(F.col("text").alias("query_id"), "text")
+    hits = materialize(retrieve.text_fallback(words, c, reason.CONTEXTS).select("query_id", "node_id", "rank"), "hits")
 
     def find(asked: DataFrame) -> DataFrame:
-        word = asked.select("query_id", F.get(T.words(F.col("text")), F.lit(0)).alias("text"))
-        return retrieve.text_fallback(word, c, 5).join(c.select("node_id", F.substring("content", 1, 200).alias("content")), "node_id").select("query_id", "node_id", "content")
+        found = hits.join(asked.select("query_id"), "query_id", "left_semi")
+        shown = c.select("node_id", "content").join(maybe_broadcast(found.where(F.col("rank") <= reason.SHOWN)), "node_id")
+        others = found.where(F.col("rank") > reason.SHOWN).withColumn("content", F.lit(None).cast("string"))
+        return shown.unionByName(others).select("query_id", "node_id", "content", "rank")
 
-    # a batch of user problems: the first turns of the conversations whose id is divisible by 100
-    t = X.table(spark, d, "conversations").where("role = 'user' and conv_id % 100 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    problems = [(f"c{r.conv_id}", r.text or "") for r in t.orderBy("conv_id").toLocalIterator()]
-    answers, _ = reason.solve(problems, find, spark, rounds=2)
+    answers, _ = reason.solve(problems, find, spark, rounds=2, term=first)
     return answers
 
 

@@ -321,6 +321,62 @@ def test_reasoning_loop(spark):
     assert answers.first().status == "uncertain" and answers.first().confidence == 0.5 and trace.count() == 2
 
 
+def plain_loop(problems, texts, rounds):
+    """Answers of the loop, problem by problem, on (node_id, content) searched for the first word."""
+    from lodestone.hooks import stub_generate as generate
+
+    out, asked = {}, {}
+    for q, x in problems:
+        word = f"{x or ''} Current thinking:".split()[0]
+        context = [(i, t) for i, t in sorted(texts) if word.lower() in (t or "").lower()][:5]
+        y, z, status, confidence = "", [], "uncertain", 0.5
+        for n in range(1, rounds + 1):
+            z.append(generate(reason.step_prompt(x or "", y, z, [t for _, t in context]), 0.6))
+            y = generate(reason.answer_prompt(x or "", z), 0.2)
+            sims = []
+            for t in reason.TEMPERATURES:
+                a, b = set(y.lower().split()), set(generate(reason.answer_prompt(x or "", z), t).lower().split())
+                sims.append(len(a & b) / len(a | b) if a and b else 0)
+            v = sum(s * s for s in sims) / 4 - (sum(sims) / 4) ** 2
+            asked[q, n - 1] = [i for i, _ in context]
+            if v < reason.AGREE:
+                status, confidence = "confident", round(1 - v, 6)
+                break
+        out[q] = (y, status, pytest.approx(confidence, abs=2e-6), n)
+    return out, asked
+
+
+def test_reasoning_loop_takes_every_user_turn(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(600)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    # the word that a long text ends with is part of it as well
+    docs = [(i, None if i % 13 == 0 else say(rng.choice([0, 3, 40, 300])) + f" end{i}", "s", "en") for i in range(60)]
+    turns = [(i, t, "user" if (i + t) % 2 else "assistant", rng.choice([None, "", " "]) if (i, t) == (7, 2) else say(rng.choice([1, 5, 60, 120]))) for i in range(1, 40) for t in range(4)]
+    turns[1] = (1, 1, "user", None) if turns[1][2] == "user" else turns[1]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want, _ = plain_loop([(f"{i}-{t}", x) for i, t, role, x in turns if role == "user"], [d[:2] for d in docs], 2)
+    got = catalogue.QUERIES["reasoning_loop"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == 78 and {r.query_id: tuple(r)[1:] for r in got} == want
+    assert {r.status for r in got} == {"confident", "uncertain"} and {r.rounds for r in got} == {1, 2}
+
+
+def test_reasoning_loop_on_tables(spark):
+    """Problems as a table, contexts by rank and verifiers; the trace has a row of every round and problem."""
+    problems = [(f"p{i}", " ".join(f"w{i * j % 97}" for j in range(1, 90))) for i in range(30)] + [("e", ""), ("n", None)]
+    nodes = [(i, f"w{i} text") for i in range(9)]
+    find = lambda asked: asked.join(spark.createDataFrame(nodes, "node_id long, content string"), F.contains("content", F.split_part("text", F.lit(" "), F.lit(1)))).withColumn("rank", -F.col("node_id"))
+    verifiers = spark.createDataFrame([(3, "units", 0.5), (3, "limits", 0.9)], "node_id long, verifier string, weight double")
+    answers, trace = reason.solve(spark.createDataFrame(problems, "query_id string, text string"), find, spark, rounds=3, verifiers=verifiers)
+    got, rows = {r.query_id: r for r in answers.collect()}, trace.collect()
+    assert set(got) == {q for q, _ in problems} and len(rows) == sum(r.rounds for r in got.values()) == len({(r.query_id, r.iteration) for r in rows})
+    assert all(r.verification_passed for r in rows) and {tuple(r.nodes_used) for r in rows if r.query_id == "p3"} == {(3,)}
+    assert {r.verification_details for r in rows if 3 in r.nodes_used} == {"limits"} and {r.verification_details for r in rows if 3 not in r.nodes_used} == {"none"}
+    none, trace = reason.solve([], find, spark)
+    assert none.count() == trace.count() == 0
+
+
 def test_personality_means(spark):
     c = spark.createDataFrame([(0.5, None), (None, None), (1.0, 1.0)], "warm double, clear double")
     r = stats.mean_personality(c, ["warm", "clear"], {})
